@@ -5,21 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm.ngram_join import ngram_jaccard_join
+from marlstone.llm.packing import best_fit_packing
+from marlstone.llm.suffix_dedup import repeated_spans
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(_documents(spark, sf_dir))
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_documents(spark, sf_dir))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_documents(spark, sf_dir))
 
 
-QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
+QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+}
 
 _WORDS = r"regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+')"
 
 ORACLE = {
+    "op2_suffix_array_dedup": r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+s AS (SELECT doc_id, i - 1 AS p, hash(list_slice(w, i, i + 49)) AS h1, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h2
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+g AS (SELECT doc_id, p, row_number() OVER (PARTITION BY h1, h2 ORDER BY doc_id, p) = 1 AS is_first, count(*) OVER (PARTITION BY h1, h2) AS n FROM s),
+b AS (SELECT doc_id, p, is_first, coalesce(p > lag(p) OVER o + 50, true)::INT AS new FROM g WHERE n > 1 WINDOW o AS (PARTITION BY doc_id, is_first ORDER BY p)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY p) AS island FROM b)
+SELECT doc_id, min(p)::INT AS start_word, (max(p) + 50)::INT AS end_word, is_first FROM k GROUP BY doc_id, is_first, island""",
     "op7_ngram_jaccard_join": f"""
 WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
