@@ -348,15 +348,19 @@ def _verify(threshold: float, forest: bool, use_prefix: bool = True):
     return run
 
 
-def grouped_pairs(sets: DataFrame, meets: DataFrame, threshold: float, forest: bool, use_prefix: bool = True) -> DataFrame:
+def leaders(meets: DataFrame) -> DataFrame:
+    """Groups to compare, (sig, leader), from (sig, key): all sets with a key in common meet at the smallest of them."""
+    w = Window.partitionBy("key")
+    led = meets.select("sig", F.min("sig").over(w).alias("leader"), F.max("sig").over(w).alias("most"))
+    return written(led.where("leader < most").select("sig", "leader").distinct(), "groups")
+
+
+def pairs_of_groups(sets: DataFrame, led: DataFrame, threshold: float, forest: bool = False, use_prefix: bool = True) -> DataFrame:
     """Verified pairs of set representatives.
 
-    ``sets`` has (doc_id, sig, size, prefix, grams); ``meets`` has (sig, key):
-    two sets are candidates if they have a key in common.
+    ``sets`` has (doc_id, sig, size, prefix, grams) and ``led`` the groups of ``leaders``.
+    With ``forest`` only as many pairs of each group as connect what is alike.
     """
-    w = Window.partitionBy("key")
-    led = meets.select("sig", F.min("sig").over(w).alias("leader"), F.max("sig").over(w).alias("most")).where("leader < most").select("sig", "leader").distinct()
-    led = written(led, "groups")
     hot = led.groupBy("leader").count().where(F.col("count") > BLOCK).select("leader", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
     own = led.groupBy("sig").agg(F.collect_set("leader").alias("leaders"))
     reps = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"))
@@ -385,7 +389,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRES
     texts and texts without words give no pairs.
     """
     sets = written(candidate_sets(docs, n, threshold), "sets")
-    return grouped_pairs(sets, prefix_keys(sets), threshold, False).unionByName(copies(sets))
+    return pairs_of_groups(sets, leaders(prefix_keys(sets)), threshold).unionByName(copies(sets))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -416,7 +420,7 @@ def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     without a doc_id or without words stay.
     """
     sets = written(candidate_sets(docs, n, threshold), "sets")
-    edges = grouped_pairs(sets, prefix_keys(sets), threshold, True).unionByName(copies(sets))
+    edges = pairs_of_groups(sets, leaders(prefix_keys(sets)), threshold, True).unionByName(copies(sets))
     gone = written(components(edges).select("doc_id").distinct(), "gone")
     repeated = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(checked_broadcast(gone, gone.count() * 8), "doc_id", "left_anti").select(*docs.columns)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm.fingerprints import minhash_pairs
 from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import best_fit_packing
+from marlstone.llm.quality_classifier import quality_scores
+from marlstone.llm.quality_rules import quality_rules
 from marlstone.llm.suffix_dedup import repeated_spans
 
 
@@ -13,6 +16,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(_documents(spark, sf_dir))
 
@@ -25,10 +32,25 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(_documents(spark, sf_dir))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_pairs(_documents(spark, sf_dir))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
+    "op8_quality_classifier": op8_quality_classifier,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+')"

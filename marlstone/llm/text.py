@@ -18,6 +18,9 @@ SLICE_BYTES = 4 << 20
 
 _SEP = np.zeros(256, bool)
 _SEP[[9, 10, 11, 12, 13, 32]] = True
+_CLASS = np.ones(256, np.uint8)  # 0 white space, 1 letters, digits and bytes beyond ASCII, 2 punctuation
+_CLASS[_SEP] = 0
+_CLASS[[c for c in range(128) if not chr(c).isalnum() and not _SEP[c]]] = 2
 _MASK = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [0xFFFFFFFFFFFFFFFF], np.uint64)
 _K1 = np.uint64(0x9E3779B97F4A7C15)
 _K2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -59,15 +62,21 @@ def slices(offsets: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int,
 class Words:
     """Words of consecutive texts: ``start``/``end`` byte positions, ``row`` and ``bounds`` (first word of each row)."""
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, split: bool = False):
+        """``split``: words end where letters and punctuation meet, too."""
         n = len(raw)
         self.padded = np.zeros(n + 8, np.uint8)
         self.padded[:n] = raw
         word = ~_SEP[raw]
         first = word.copy()
-        first[1:] &= ~word[:-1]
         last = word.copy()
-        last[:-1] &= ~word[1:]
+        if split:
+            kind = _CLASS[raw]
+            change = kind[1:] != kind[:-1]
+        else:
+            change = word[1:] != word[:-1]
+        first[1:] &= change
+        last[:-1] &= change
         cut = offsets[1:-1]
         cut = cut[(cut > 0) & (cut < n)]
         first[cut] = word[cut]
