@@ -9,7 +9,9 @@ from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import best_fit_packing
 from marlstone.llm.quality_classifier import quality_scores
 from marlstone.llm.quality_rules import quality_rules
+from marlstone.llm import secret_scan, url_filters
 from marlstone.llm.suffix_dedup import repeated_spans
+from marlstone.llm.toxicity import toxic_documents
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,18 +46,53 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_findings(_documents(spark, sf_dir))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_documents(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_document_fingerprints": op4_document_fingerprints,
+    "op5_url_filters": op5_url_filters,
+    "op6_secret_scans": op6_secret_scans,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
+    "op10_toxicity": op10_toxicity,
 }
 
 _WORDS = r"regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+')"
 
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+_GLOBS = ", ".join(f"({k}, {_quoted(url_filters.regex(r))})" for k, r in enumerate(url_filters.RULES))
+
 ORACLE = {
+    "op6_secret_scans": " UNION ".join(
+        f"SELECT doc_id, {_quoted(r.name)} AS rule, {r.version} AS version, sha256(unnest(regexp_extract_all(text, {_quoted(r.pattern)}))) AS secret_sha256 FROM documents WHERE text IS NOT NULL" for r in secret_scan.RULES
+    ),
+    "op5_url_filters": rf"""
+WITH r(k, p) AS (VALUES {_GLOBS}),
+a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '(?s)#.*$', '') AS u FROM pages),
+b AS (SELECT page_id, u, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*') AS h FROM a),
+c AS (SELECT page_id, CASE WHEN h = '' THEN u ELSE regexp_replace(lower(h), '^(http://[^/]*):80$|^(https://[^/]*):443$', '\1\2')
+        || CASE WHEN starts_with(substr(u, length(h) + 1), '/') THEN '' ELSE '/' END || substr(u, length(h) + 1) END AS url FROM b),
+u AS (SELECT DISTINCT url FROM c),
+m AS (SELECT u.url, list(r.k ORDER BY r.k) FILTER (u.url <> '' AND regexp_full_match(u.url, r.p)) AS rules FROM u CROSS JOIN r GROUP BY u.url)
+SELECT page_id, c.url, coalesce(rules, []::INT[]) AS rules, rules IS NOT NULL AS blocked FROM c JOIN m USING (url)""",
     "op2_suffix_array_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\n\x0b\f\r]+') AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 s AS (SELECT doc_id, i - 1 AS p, hash(list_slice(w, i, i + 49)) AS h1, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h2
