@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.llm import secret_scan, url_filters
+from marlstone.llm.bpe import bpe_encode
 from marlstone.llm.fingerprints import minhash_pairs
 from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import best_fit_packing
 from marlstone.llm.quality_classifier import quality_scores
 from marlstone.llm.quality_rules import quality_rules
-from marlstone.llm import secret_scan, url_filters
 from marlstone.llm.suffix_dedup import repeated_spans
 from marlstone.llm.toxicity import toxic_documents
 
@@ -54,6 +55,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_findings(_documents(spark, sf_dir))
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_encode(_documents(spark, sf_dir))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_documents(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
+    "op9_byte_level_bpe": op9_byte_level_bpe,
     "op10_toxicity": op10_toxicity,
 }
 
