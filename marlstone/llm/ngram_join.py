@@ -52,8 +52,16 @@ THRESHOLD = 0.6
 
 
 def input_parts(df: DataFrame, target: int = 8 << 20) -> int:
-    """Partitions for a shuffle that grows with the input: one for ``target`` bytes as the planner estimates them, and no fewer than the session's."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """Partitions for a shuffle that grows with the input: one for ``target`` bytes of it, and no fewer than the session's.
+
+    The size is what the planner knows of the files of a plain scan; for other plans, whose
+    estimates can be off by any factor, the texts are measured.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if any(s in plan.toString() for s in ("Join", "LogicalRDD", "Aggregate", "InMemoryRelation", "Generate")):
+        size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
+    else:
+        size = int(plan.stats().sizeInBytes())
     return int(min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // target), 1 << 20))
 
 
@@ -362,11 +370,12 @@ def pairs_of_groups(sets: DataFrame, led: DataFrame, threshold: float, forest: b
     With ``forest`` only as many pairs of each group as connect what is alike.
     """
     hot = led.groupBy("leader").count().where(F.col("count") > BLOCK).select("leader", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
-    own = led.groupBy("sig").agg(F.collect_set("leader").alias("leaders"))
+    seats = led.join(hot, "leader", "left").select("sig", F.struct("leader", F.coalesce("cuts", F.lit(1)).alias("cuts")).alias("seat"))
+    own = seats.groupBy("sig").agg(F.array_sort(F.collect_set("seat")).alias("seats"))
     reps = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"))
-    placed = reps.join(own, "sig").withColumn("leader", F.explode("leaders")).join(hot, "leader", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    placed = reps.join(own, "sig").select("*", F.col("seats.leader").alias("leaders"), F.explode("seats").alias("seat")).select("*", "seat.leader", "seat.cuts")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    placed = placed.select("leader", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "rep", "size", "prefix", "grams", F.array_sort("leaders").alias("leaders"))
+    placed = placed.select("leader", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "rep", "size", "prefix", "grams", "leaders")
     return placed.repartition("leader", "ci", "cj").mapInArrow(_verify(threshold, forest, use_prefix), PAIRS)
 
 

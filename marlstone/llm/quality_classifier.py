@@ -116,26 +116,25 @@ def score_texts(column: pa.Array, weights: np.ndarray) -> np.ndarray:
 def _score(weights: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p = score_texts(batch.column(batch.num_columns - 1), weights)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p)], names=[*batch.schema.names[:-1], "__score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score_texts(batch.column(1), weights))], names=["doc", "score"])
 
     return run
 
 
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """The documents with their score in ``__score``; one narrow pass."""
-    own = docs.withColumn("__lower", F.lower("text"))
-    return own.mapInArrow(_score(weights), own.drop("__lower").withColumn("__score", F.lit(0.0)).schema)
+    """(doc, score): the rows as structs with their score; one narrow pass."""
+    own = docs.select(F.struct("*").alias("doc"), F.lower("text").alias("lower"))
+    return own.mapInArrow(_score(weights), own.select("doc", F.lit(0.0).alias("score")).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """The documents, with all their columns, whose quality score is at least ``cut``."""
-    weights = fit(docs, labels, sample)
-    return scored(docs, weights).where(F.col("__score") >= cut).select(*docs.columns)
+    return scored(docs, fit(docs, labels, sample)).where(F.col("score") >= cut).select("doc.*")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """(doc_id, score, keep) of the documents that the classifier keeps."""
     weights = fit(docs, labels, sample)
-    own = scored(docs.select("doc_id", "text"), weights).where(F.col("__score") >= cut)
-    return own.select("doc_id", F.col("__score").alias("score"), F.lit(True).alias("keep"))
+    own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc"), F.lower("text").alias("lower"))
+    own = own.mapInArrow(_score(weights), "doc struct<doc_id: long>, score double")
+    return own.where(F.col("score") >= cut).select("doc.doc_id", "score", F.lit(True).alias("keep"))

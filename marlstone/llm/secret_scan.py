@@ -147,15 +147,13 @@ def redacted(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, .
 
     ``n_chars``, if there, is counted again where a text changes.
     """
-    names = docs.columns
-    hit = written(scan(docs, ledger, rules).select(F.col("path").alias("__path"), F.col("blob").alias("__blob")).distinct(), "hits")
-    hit = checked_broadcast(hit, hit.count() * 100).withColumn("__hit", F.lit(True))
-    own = docs.withColumns({"__doc": F.col("doc_id").cast("long"), "__sha": F.sha2("text", 256)})
-    own = own.join(hit, F.col("__doc").eqNullSafe(F.col("__path")) & (F.col("__sha") == F.col("__blob")), "left")
-    clean = F.col("text")
+    hit = written(scan(docs, ledger, rules).select("path", "blob").distinct(), "hits")
+    hit = checked_broadcast(hit, hit.count() * 100).withColumn("hit", F.lit(True))
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.sha2("text", 256).alias("sha"))
+    own = own.join(hit, F.col("id").eqNullSafe(F.col("path")) & (F.col("sha") == F.col("blob")), "left")
+    clean = F.col("doc.text")
     for r in rules:
         clean = F.regexp_replace(clean, F.lit(r.pattern), F.lit(f"[{r.name}]"))
-    own = own.withColumn("text", F.when(F.col("__hit"), clean).otherwise(F.col("text")))
-    if "n_chars" in names:
-        own = own.withColumn("n_chars", F.when(F.col("__hit"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return own.select(*names)
+    own = own.withColumn("clean", F.when(F.col("hit"), clean))
+    new = {"text": F.coalesce("clean", "doc.text"), "n_chars": F.coalesce(F.length("clean"), "doc.n_chars") if "n_chars" in docs.columns else None}
+    return own.select(*(new[c].cast(docs.schema[c].dataType).alias(c) if c in new else F.col("doc").getField(c).alias(c) for c in docs.columns))

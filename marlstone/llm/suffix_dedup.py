@@ -226,12 +226,12 @@ def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     return _repeated(docs, depth).select("doc_id", "start_word", "end_word", "is_first")
 
 
-def _cut(names: list[str], text: int, chars: int | None, spans: int):
+def _cut(names: list[str], text: int, chars: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(spans)
+            lists = batch.column(1)
             rows = np.flatnonzero(np.asarray(lists.is_valid()))
-            columns = [c for k, c in enumerate(batch.columns) if k != spans]
+            columns = batch.column(0).flatten()
             if not len(rows):
                 yield pa.RecordBatch.from_arrays(columns, names=names)
                 continue
@@ -269,11 +269,9 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     document of which nothing is left goes; one without words stays.
     """
     spans = written(_repeated(docs, depth).where("not is_first"), "spans")
-    size = table_bytes(spans) * 8
-    listed = spans.groupBy(F.col("doc_id").alias("__doc"), F.col("crc").alias("__crc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("__spans"))
-    listed = checked_broadcast(listed, size)
+    listed = spans.groupBy(F.col("doc_id").alias("cut_id"), F.col("crc").alias("cut_crc")).agg(F.collect_list(F.struct("start_word", "end_word")).alias("spans"))
+    listed = checked_broadcast(listed, table_bytes(spans) * 8)
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.crc32(F.encode("text", "UTF-8")).alias("crc"))
+    joined = own.join(listed, (F.col("id") == F.col("cut_id")) & (F.col("crc") == F.col("cut_crc")), "left").select("doc", "spans")
     names = docs.columns
-    own = docs.select("*", F.col("doc_id").cast("long").alias("__id"), F.crc32(F.encode("text", "UTF-8")).alias("__sum"))
-    joined = own.join(listed, (F.col("__id") == F.col("__doc")) & (F.col("__sum") == F.col("__crc")), "left").select(*names, "__spans")
-    chars = names.index("n_chars") if "n_chars" in names else None
-    return joined.mapInArrow(_cut(names, names.index("text"), chars, len(names)), docs.schema)
+    return joined.mapInArrow(_cut(names, names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)

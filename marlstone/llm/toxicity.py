@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.labelled import labelled_sample
+from marlstone.llm.store import written
 
 SAMPLE = 20_000
 TERMS = 2048
@@ -180,57 +181,49 @@ def calibrated(curve: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarra
     return curve[1][np.clip(np.searchsorted(curve[0], x, "right") - 1, 0, None)]
 
 
-_TERMS_SCHEMA = "doc_id long, y int, hashes binary, counts binary"
-
-
 def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples and toxic examples of each term among a task's rows."""
+    total, bad = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for batch in batches:
-        ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        y = batch.column(2).to_numpy().astype(bool)
         raw, offsets = tx.text_buffers(batch.column(1))
         for i, j in tx.slices(offsets):
             r, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             order = np.lexsort((h, r))
             r, h = r[order], h[order]
-            edge = np.flatnonzero(np.concatenate([[True], (r[1:] != r[:-1]) | (h[1:] != h[:-1])])) if len(h) else np.zeros(0, int)
-            n = np.diff(np.append(edge, len(h))).astype(np.int32)
-            r, h = r[edge], h[edge]
-            cut = np.searchsorted(r, np.arange(j - i + 1))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[i:j]), pa.array(y[i:j]), *(pa.array([v[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()) for v in (h, n))], names=["doc_id", "y", "hashes", "counts"])
-
+            new = np.ones(len(h), bool)
+            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+            total.append(h[new])
+            bad.append(h[new & y[i + r]])
+    kinds, n = np.unique(np.concatenate(total), return_counts=True)
+    hits = np.zeros(len(kinds), np.int64)
+    k, c = np.unique(np.concatenate(bad), return_counts=True)
+    hits[np.searchsorted(kinds, k)] = c
+    yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(hits.astype(np.int32))], names=["term", "n", "hits"])
+
+
+def _vectors(hashes: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(hashes)
+        for batch in batches:
+            row, term, n = batch_counts(batch.column(1), vocabulary)
+            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32))) for v in (term, n)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "y", "terms", "counts"])
 
-_KEPT = "doc_id long, y int, hashes binary, counts binary, vocabulary binary"
+    return run
 
 
-def _choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In one task, over the whole sample: the significant terms, and the examples reduced to them."""
-    rows = []
-    for batch in batches:
-        rows += zip(*(batch.column(k).to_pylist() for k in range(4)))
-    rows.sort(key=lambda r: r[0])
-    y = np.array([r[1] for r in rows], bool)
-    if not y.any() or y.all():
-        return
-    share = y.mean()
-    all_terms = np.sort(np.concatenate([np.frombuffer(r[2], np.uint64) for r in rows]))
-    edge = np.flatnonzero(np.concatenate([[True], all_terms[1:] != all_terms[:-1]]))
-    n = np.diff(np.append(edge, len(all_terms)))
-    kinds = all_terms[edge]
-    del all_terms
-    kinds, n = kinds[n >= LEAST], n[n >= LEAST]
-    bad = np.sort(np.concatenate([np.frombuffer(r[2], np.uint64) for r, t in zip(rows, y) if t]))
-    hits = np.searchsorted(bad, kinds, "right") - np.searchsorted(bad, kinds, "left")
-    z = (hits - n * share) / np.sqrt(n * share * (1 - share))
-    order = np.lexsort((kinds, -z))[:TERMS]
-    chosen = np.sort(kinds[order[z[order] >= SIGNIFICANT]])
-    for a in range(0, len(rows), 1000):
-        out = []
-        for d, t, h, c in rows[a : a + 1000]:
-            h, c = np.frombuffer(h, np.uint64), np.frombuffer(c, np.int32)
-            keep = np.isin(h, chosen)
-            out.append((d, t, h[keep].tobytes(), c[keep].tobytes(), None))
-        if not a:
-            out[0] = (*out[0][:4], chosen.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["doc_id", "y", "hashes", "counts", "vocabulary"])
+def choose_terms(own: DataFrame, most: int = TERMS) -> np.ndarray:
+    """Hashes of the terms that toxic examples have significantly more often; at most ``most``, the strongest."""
+    examples, toxic = own.agg(F.count("*"), F.sum("y")).first()
+    if not toxic or toxic == examples:
+        return np.zeros(0, np.uint64)
+    share = toxic / examples
+    counts = own.mapInArrow(_sample_terms, "term long, n int, hits int").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(f"n >= {LEAST}")
+    z = (F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
+    best = counts.select("term", z.alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(most).collect()
+    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
 
 def _frequencies(hashes: np.ndarray):
@@ -258,22 +251,20 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
     """Index and calibration from the sample, IDF from all documents; None without toxic examples."""
     lower = docs.select("doc_id", F.lower("text").alias("text"))
-    rows = labelled_sample(lower, labels, "toxic", sample).mapInArrow(_sample_terms, _TERMS_SCHEMA).repartition(1).mapInArrow(_choose, _KEPT).toPandas()  # ``sample`` rows of a few terms
-    if not len(rows):
-        return None
-    hashes = np.frombuffer(rows["vocabulary"].dropna().iloc[0], np.uint64)
+    own = written(labelled_sample(lower, labels, "toxic", sample), "examples")
+    hashes = choose_terms(own)
     if not len(hashes):
         return None
+    rows = own.mapInArrow(_vectors(hashes), "doc_id long, y int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id")  # ``sample`` rows of a few terms
     counted = lower.select("text").mapInArrow(_frequencies(hashes), "term long, df long").groupBy("term").agg(F.sum("df")).collect()  # at most one row a term
     found = {t: n for t, n in counted}
     df = np.array([found.get(t, 0) for t in range(len(hashes))])
     idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
-    n = np.array([len(h) // 8 for h in rows["hashes"]])
+    n = np.array([len(t) for t in rows["terms"]])
     toxic = rows["y"].to_numpy(bool)
     some = np.flatnonzero(n)
     row = np.repeat(np.arange(len(some)), n[some])
-    term = np.searchsorted(hashes, np.concatenate([np.frombuffer(rows["hashes"].iloc[i], np.uint64) for i in some]))
-    count = np.concatenate([np.frombuffer(rows["counts"].iloc[i], np.int32) for i in some])
+    term, count = (np.concatenate(rows[c].iloc[some].to_list()).astype(np.int64) for c in ("terms", "counts"))
     weight = tfidf(row, term, count, idf)
     index = build(row, term, weight, rows["doc_id"].to_numpy()[some], toxic[some].astype(float), len(hashes))
     place = {d: i for i, d in enumerate(index.ids.tolist())}
