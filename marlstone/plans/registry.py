@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marlstone.plans import logs, words
+
 FLAGSHIP = "dup_collapse_15m"
-QUERIES: dict = {}
-ORACLE: dict = {}
+QUERIES: dict = logs.QUERIES | words.QUERIES
+ORACLE: dict = logs.ORACLE | words.ORACLE
