@@ -25,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
@@ -86,9 +86,10 @@ def batch_counts(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray,
 
 @dataclass
 class Index:
-    """Examples in blocks: ``weights`` (block, term, example of the block) and ``most`` (term, block)."""
+    """Examples in blocks: ``rows`` (weights of a block's examples for one term) at ``slot`` (block, term; 0: none), and ``most`` (term, block)."""
 
-    weights: np.ndarray
+    rows: np.ndarray
+    slot: np.ndarray
     most: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
@@ -113,10 +114,14 @@ def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     blocks = -(-n // block)
-    weights = np.zeros((blocks, size, block), np.float32)
     p = place[row]
-    weights[p // block, term, p % block] = weight
-    return Index(weights, weights.max(2).T.copy(), ids[order], toxic[order])
+    used, at = np.unique(p // block * size + term, return_inverse=True)
+    rows = np.zeros((len(used) + 1, block), np.float32)
+    rows[at + 1, p % block] = weight
+    slot = np.zeros(blocks * size, np.int32)
+    slot[used] = np.arange(1, len(used) + 1)
+    slot = slot.reshape(blocks, size)
+    return Index(rows, slot, rows.max(1)[slot].T.copy(), ids[order], toxic[order])
 
 
 def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +139,7 @@ def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray,
     bound = np.add.reduceat(index.most[term] * weight[:, None].astype(np.float32), first, axis=0)
     turn = np.argsort(-bound, axis=1)
     live = np.arange(n)
-    width = index.weights.shape[2]
+    width = index.rows.shape[1]
     for visit in range(blocks):
         b = turn[live, visit]
         go = bound[live, b] * (1 + 1e-5) > best[live, -1]
@@ -145,7 +150,7 @@ def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray,
             q, c = live[a : a + 2048], b[a : a + 2048]
             lens = ends[q] - first[q]
             entry = np.repeat(first[q] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            part = index.weights[np.repeat(c, lens), term[entry]] * weight[entry, None].astype(np.float32)
+            part = index.rows[index.slot[np.repeat(c, lens), term[entry]]] * weight[entry, None].astype(np.float32)
             sims = np.add.reduceat(part, np.cumsum(lens) - lens, axis=0)
             ids = c[:, None] * width + np.arange(width)
             sims[ids >= len(index.ids)] = 0
@@ -181,25 +186,29 @@ def calibrated(curve: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarra
     return curve[1][np.clip(np.searchsorted(curve[0], x, "right") - 1, 0, None)]
 
 
-def _sample_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Examples and toxic examples of each term among a task's rows."""
-    total, bad = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-    for batch in batches:
-        y = batch.column(2).to_numpy().astype(bool)
-        raw, offsets = tx.text_buffers(batch.column(1))
-        for i, j in tx.slices(offsets):
-            r, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            order = np.lexsort((h, r))
-            r, h = r[order], h[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-            total.append(h[new])
-            bad.append(h[new & y[i + r]])
-    kinds, n = np.unique(np.concatenate(total), return_counts=True)
-    hits = np.zeros(len(kinds), np.int64)
-    k, c = np.unique(np.concatenate(bad), return_counts=True)
-    hits[np.searchsorted(kinds, k)] = c
-    yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int32)), pa.array(hits.astype(np.int32))], names=["term", "n", "hits"])
+def _term_examples(only: np.ndarray | None):
+    """Examples that have each term, among a task's rows; ``only`` the given terms (sorted), if any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(0, np.uint64)]
+        for batch in batches:
+            raw, offsets = tx.text_buffers(batch.column(1))
+            for i, j in tx.slices(offsets):
+                r, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                if only is not None:
+                    at = np.searchsorted(only, h)
+                    hit = at < len(only)
+                    hit[hit] = only[at[hit]] == h[hit]
+                    r, h = r[hit], h[hit]
+                order = np.lexsort((h, r))
+                r, h = r[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
+                found.append(h[new])
+        kinds, n = np.unique(np.concatenate(found), return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int32))], names=["term", "n"])
+
+    return run
 
 
 def _vectors(hashes: np.ndarray):
@@ -220,9 +229,18 @@ def choose_terms(own: DataFrame, most: int = TERMS) -> np.ndarray:
     if not toxic or toxic == examples:
         return np.zeros(0, np.uint64)
     share = toxic / examples
-    counts = own.mapInArrow(_sample_terms, "term long, n int, hits int").groupBy("term").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).where(f"n >= {LEAST}")
-    z = (F.col("hits") - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share)))
-    best = counts.select("term", z.alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(most).collect()
+
+    def z(hits: Column, n: Column) -> Column:
+        return (hits - n * share) / F.sqrt(n * (share * (1 - share)))
+
+    hits = own.where("y = 1").mapInArrow(_term_examples(None), "term long, n int").groupBy("term").agg(F.sum("n").alias("hits"))
+    # the fewest examples a term can have in all make its z largest: who falls short even so need not be counted elsewhere
+    hits = hits.where(z(F.col("hits"), F.greatest("hits", F.lit(LEAST))) >= SIGNIFICANT - 1e-9)
+    hits = written(hits, "terms")
+    likely = np.sort(np.array([r["term"] for r in hits.select("term").collect()], np.int64).view(np.uint64))  # bounded by the sample's toxic examples
+    rest = own.where("y = 0").mapInArrow(_term_examples(likely), "term long, n int").groupBy("term").agg(F.sum("n").alias("rest"))
+    counts = hits.join(rest, "term", "left").withColumn("n", F.col("hits") + F.coalesce("rest", F.lit(0))).where(f"n >= {LEAST}")
+    best = counts.select("term", z(F.col("hits"), F.col("n")).alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(most).collect()
     return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
 
