@@ -1,7 +1,8 @@
 """Structured Streaming forms: the policy filter runs on a stream as it is; collapsing keeps state by key.
 
 The state of a key is its open group and its last time.  A group goes out when an event of its key
-lies beyond the window, or when the watermark passes its end.  Late events go out alone, as in a batch.
+lies beyond the window, or when the watermark passes its end.  Late events go out alone, as in a batch, unless
+the watermark has passed them: those Spark drops, so ``delay`` should cover what lags behind.
 """
 
 from __future__ import annotations
