@@ -10,11 +10,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d+)?$"
-_STRIP = r"(?U)^\s+|\s+$"
+_WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, _STRIP, "")
+    return F.btrim(c, F.lit(_WHITE))
 
 
 def is_blank(c: Column) -> Column:
@@ -67,7 +67,7 @@ def tokenize(c: Column) -> Column:
 def number(c: Column) -> Column:
     """A finite double, or null; digits may be grouped by single underscores, as canonical values have them."""
     text = F.lower(strip(c))
-    value = F.regexp_replace(F.when(text.rlike(FLOAT), text), "_", "").try_cast("double")
+    value = F.replace(F.when(text.rlike(FLOAT), text), F.lit("_"), F.lit("")).try_cast("double")
     return F.when(F.abs(value) < float("inf"), value)
 
 

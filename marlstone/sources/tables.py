@@ -27,6 +27,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, if a small input has fewer partitions than there are cores; for wide projections."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def header(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> list[str]:
     """Column names of one CSV file; an empty file is an error."""
     line = spark.read.option("encoding", encoding).option("multiLine", True).option("sep", delimiter).option("quote", '"').option("escape", '"').csv(path).limit(1).collect()
