@@ -9,7 +9,8 @@ it has documents.  Shingle sets are then made again for candidates only, and eve
 similarity is computed from whole sets, once.
 
 With 20 bands of 5 rows a pair of similarity 0.7 is a candidate with probability 0.975, one
-of 0.8 with 0.9996.  Rows without a doc_id and texts without words take no part; documents with
+of 0.8 with 0.9996.  The query looks for ``NEAR`` = 0.5 with 48 bands of 4 rows: a pair of
+similarity 0.5 is a candidate with probability 0.955, one of 0.6 with 0.9987.  Rows without a doc_id and texts without words take no part; documents with
 the same set are reported with the smallest doc_id of it (see ``ngram_join``).
 Other columns are ignored.  An empty table gives an empty result.
 """
@@ -31,6 +32,9 @@ SHINGLE = 3
 BANDS = 20
 ROWS = 5
 THRESHOLD = 0.7
+NEAR = 0.5
+NEAR_BANDS = 48
+NEAR_ROWS = 4
 SEED = 20240607
 SLICE = 512 << 10
 """Bytes of text whose shingles are permuted together; they then stay in the processor's cache."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import secret_scan, url_filters
 from marlstone.llm.bpe import bpe_encode
-from marlstone.llm.fingerprints import minhash_pairs
+from marlstone.llm.fingerprints import NEAR, NEAR_BANDS, NEAR_ROWS, minhash_pairs
 from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import best_fit_packing
 from marlstone.llm.quality_classifier import quality_scores
@@ -40,7 +40,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_pairs(_documents(spark, sf_dir))
+    return minhash_pairs(_documents(spark, sf_dir), bands=NEAR_BANDS, rows=NEAR_ROWS, threshold=NEAR)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ from itertools import combinations
 
 import pytest
 
-from marlstone.llm import ngram_join, suffix_dedup
+from marlstone.llm import ngram_join, queries, suffix_dedup
 from marlstone.llm.fingerprints import minhash_pairs
 from tests.llm.test_text import words_of
 
@@ -104,6 +104,14 @@ def test_fingerprints_find_what_is_alike(spark):
     assert len(got) >= 0.9 * len(want)
 
 
+def test_fingerprint_query_finds_near_copies_from_a_half_on(spark, tmp_path):
+    rows = corpus(12, 60)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {k: v for k, v in brute_pairs(rows, 0.5).items() if v < 0.7}
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.op4_document_fingerprints(spark, str(tmp_path)).collect()}
+    assert len(want) >= 10 and sum(got.get(k) == pytest.approx(v) for k, v in want.items()) >= 0.9 * len(want)
+
+
 def brute_spans(rows, depth):
     where = defaultdict(set)
     for i, t in rows:
