@@ -441,6 +441,21 @@ def indicator_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("true_positives", "false_positives", "false_negatives", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")))
 
 
+def _html_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.inline(indicators.extract(F.col("html"))))
+
+
+@query()
+def indicator_set_compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the html of all pages has, against what all their addresses have."""
+    return indicators.compare(_html_iocs(spark, sf_dir), _page_iocs(spark, sf_dir))
+
+
+@query()
+def indicator_quality_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return indicators.quality(indicator_set_compare_whole(spark, sf_dir))
+
+
 @query(
     """WITH i AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS id FROM orders), g AS (SELECT id, 'org_' || ((row_number() OVER (ORDER BY sha256('42|' || id), id) - 1) % 4 + 1) AS org FROM i),
 r AS (SELECT o_orderkey, a.org AS x, b.org AS y FROM orders LEFT JOIN g a ON a.id = CAST(o_custkey AS VARCHAR) LEFT JOIN g b ON o_orderkey % 2 = 0 AND b.id = CAST(o_custkey + o_orderkey % 3 AS VARCHAR))

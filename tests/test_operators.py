@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import net, text, times
 from marlstone.operators import collapse, indicators, model, orgs, profile, signals
+from marlstone.plans import registry
 from marlstone.sources import sinks, tables
 from marlstone.streaming.collapse import collapse_stream
 
@@ -248,3 +249,14 @@ def test_stix_files(spark, tmp_path):
     (tmp_path / "l.jsonl").write_text('{"type": "indicator", "pattern": "[domain-name:value = \'a.com\']"}\nbad\n')
     a, b = (indicators.stix_indicators(indicators.read_stix(spark, str(tmp_path / n))) for n in ("b.json", "l.jsonl"))
     assert indicators.quality(indicators.compare(a, b)).first().f1 == 1.0
+
+
+PAGES = [(1, "http://a.example.com/x", '<a href="http://a.example.com/x">seen</a> from 10.0.0.1 today'), (5, "http://b.example.org/", "nothing"), (6, None, None)]
+
+
+def test_whole_sets_of_page_indicators_are_compared(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r.indicator_type: tuple(r)[1:] for r in registry.QUERIES["indicator_set_compare_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"url": (1, 2, 1, 0, 1), "domain": (1, 2, 1, 0, 1), "ipv4": (1, 0, 0, 1, 0)}
+    q = registry.QUERIES["indicator_quality_whole"](spark, str(tmp_path)).first()
+    assert (q.true_positives, q.false_positives, q.false_negatives) == (2, 1, 2)
