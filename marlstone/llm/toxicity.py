@@ -1,47 +1,70 @@
-"""Toxicity by the nearest labelled examples, with exact TF-IDF cosine on a block-max inverted index.
+"""Toxicity by the nearest labelled examples, with exact TF-IDF cosine on an inverted index.
 
 Terms are lower-case words and their beginnings of four to six bytes (which catch inflected and compounded forms).
-The vocabulary is what tells the classes apart in the labelled sample: terms of at least ``LEAST`` examples
-that are significantly more frequent in toxic ones.  Document frequencies for the IDF are counted over
-all documents, once each.  An example or a document is the L2-normalised TF-IDF vector of the vocabulary's terms.
-
-Examples are held in blocks.  For each term the index has the largest weight in a block, so a query's
-dot product with those maxima bounds its similarity to every example of the block; blocks are visited from the best bound
-down, and a query stops when the bound can't beat its k-th neighbour.  This prunes without changing any
-result.  Queries of a batch advance together, one block each a round, in numpy.  The k nearest examples vote with
+The vocabulary is every term of the labelled sample; nothing is left out of it.  Document frequencies for the
+IDF are counted over all documents, once each.  An example or a document is the L2-normalised TF-IDF vector of the
+vocabulary's terms.
+
+A query's similarity to every example is summed: over the ``DENSE`` most frequent terms by a matrix product, over
+the others by their postings.  How the terms are split changes no result.  The k nearest examples vote with
 weights ``1 / (distance + 0.1)``; votes are turned into probabilities by isotonic regression on
 leave-one-out votes of the sample.  Documents with no term of the vocabulary get the share of toxic ones
-among the sample's documents without any.
+among the sample's documents without any, or in the sample if there are none.
 
-What is sent to the tasks is bounded by parameters: ``sample`` labelled documents, ``TERMS`` terms.
+What is sent to the tasks is bounded by ``sample`` labelled documents and their distinct terms; they lie in one file in the shared folder.
 A null text has no terms.  A null doc_id is scored like any other row; rows that repeat are scored
 each.  Without toxic examples nothing is found.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.labelled import labelled_sample
-from marlstone.llm.store import written
+from marlstone.llm.store import shared_dir, written
 
 SAMPLE = 20_000
-TERMS = 2048
-LEAST = 5
-SIGNIFICANT = 6.0
-BLOCK = 64
+DENSE = 1024
+BLOCK = 256
+SLICE = 1 << 20
 NEIGHBOURS = 15
 CUT = 0.5
 STEMS = (4, 5, 6)
 
 
+class Shared:
+    """A value in a file in the shared folder; a process reads it once and holds the last one read."""
+
+    held: dict = {}
+
+    def __init__(self, spark: SparkSession, value):
+        self.url = f"{shared_dir(spark)}/toxicity-{uuid.uuid4().hex}"
+        where, path = fs.FileSystem.from_uri(self.url)
+        with where.open_output_stream(path) as f:
+            pickle.dump(value, f, 5)
+
+    @property
+    def value(self):
+        from marlstone.llm.toxicity import Shared as kept  # the class of the process, whatever was unpickled
+
+        if self.url not in kept.held:
+            kept.held.clear()
+            where, path = fs.FileSystem.from_uri(self.url)
+            with where.open_input_file(path) as f:
+                kept.held[self.url] = pickle.load(f)
+        return kept.held[self.url]
+
+
 def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every word, and of the beginning of longer words."""
     w = tx.Words(raw, offsets, split=True)
@@ -55,17 +78,17 @@ def terms(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class Vocabulary:
-    """Numbers of chosen hashes, found through a small filter first."""
+    """Numbers of known hashes, found through a small filter first."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.sort(hashes)
-        self.filter = np.zeros(1 << 18, bool)
-        self.filter[self.hashes >> np.uint64(46)] = True
+        self.filter = np.zeros(1 << 22, bool)
+        self.filter[self.hashes >> np.uint64(42)] = True
 
     def counts(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, frequency) sorted by row and term."""
         row, h = terms(raw, offsets)
-        near = self.filter[h >> np.uint64(46)]
+        near = self.filter[h >> np.uint64(42)]
         row, h = row[near], h[near]
         if not len(self.hashes) or not len(h):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -75,24 +98,37 @@ class Vocabulary:
         return key // len(self.hashes), key % len(self.hashes), n
 
 
-def batch_counts(column: pa.Array, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def batch_counts(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, row from the first on, term, frequency) of each slice of a text column."""
     raw, offsets = tx.text_buffers(column)
-    out = [(np.zeros(0, np.int64),) * 3]
-    for i, j in tx.slices(offsets):
-        r, t, n = vocabulary.counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        out.append((r + i, t, n))
-    return tuple(np.concatenate([o[k] for o in out]) for k in range(3))
+    for i, j in tx.slices(offsets, SLICE):
+        yield i, j, *vocabulary.counts(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 @dataclass
 class Index:
-    """Examples in blocks: ``rows`` (weights of a block's examples for one term) at ``slot`` (block, term; 0: none), and ``most`` (term, block)."""
+    """Examples by term: those of term t are ``who[first[t] : first[t + 1]]``, with their weights; ``column`` numbers the terms of the dense part (-1: none)."""
 
-    rows: np.ndarray
-    slot: np.ndarray
-    most: np.ndarray
+    first: np.ndarray
+    who: np.ndarray
+    weight: np.ndarray
+    column: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
+    made: np.ndarray | None = None
+
+    def dense(self) -> np.ndarray:
+        """(column, example) weights of the most frequent terms; made once in each process."""
+        if self.made is None:
+            at = np.flatnonzero(self.column >= 0)
+            self.made = np.zeros((len(at), len(self.ids)), np.float32)
+            for t in at:
+                part = slice(self.first[t], self.first[t + 1])
+                self.made[self.column[t], self.who[part]] = self.weight[part]
+        return self.made
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"made": None}
 
 
 def tfidf(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -105,67 +141,58 @@ def tfidf(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) ->
     return w / np.repeat(norm, np.diff(np.append(edge, len(w))))
 
 
-def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, size: int, block: int = BLOCK) -> Index:
-    """Rows are numbered from 0; examples are put in order of their heaviest term, so that blocks hold like ones."""
-    n = len(ids)
-    edge = np.searchsorted(row, np.arange(n + 1))
-    top = np.array([term[a + np.argmax(weight[a:b])] if b > a else 0 for a, b in zip(edge[:-1], edge[1:])], np.int64)
-    order = np.lexsort((ids, top))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
-    blocks = -(-n // block)
-    p = place[row]
-    used, at = np.unique(p // block * size + term, return_inverse=True)
-    rows = np.zeros((len(used) + 1, block), np.float32)
-    rows[at + 1, p % block] = weight
-    slot = np.zeros(blocks * size, np.int32)
-    slot[used] = np.arange(1, len(used) + 1)
-    slot = slot.reshape(blocks, size)
-    return Index(rows, slot, rows.max(1)[slot].T.copy(), ids[order], toxic[order])
+def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, size: int, block: int = DENSE) -> Index:
+    """Rows are numbered from 0 and keep their order; at most ``block`` terms are held densely."""
+    order = np.argsort(term, kind="stable")
+    df = np.bincount(term, minlength=size)
+    column = np.full(size, -1, np.int32)
+    top = np.argsort(-df, kind="stable")[:block]
+    column[top] = np.arange(len(top))
+    return Index(np.concatenate([[0], np.cumsum(df)]), row[order], weight[order].astype(np.float32), column, ids, toxic)
 
 
 def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, example numbers, similarities) of the k nearest examples, exactly; -1 where there are fewer.
 
-    Entries come sorted by row.  ``skip`` has an example's number to leave out for each query.
+    Entries come sorted by row.  ``skip`` has an example's number to leave out for each query, or -1.
     """
     queries, first = np.unique(row, return_index=True)
     ends = np.append(first[1:], len(row))
-    n, blocks = len(queries), index.most.shape[1]
+    n, examples = len(queries), len(index.ids)
     best = np.zeros((n, k), np.float32)
     who = np.full((n, k), -1, np.int64)
-    if not n or not blocks:
+    if not n or not examples:
         return queries, who, best
-    bound = np.add.reduceat(index.most[term] * weight[:, None].astype(np.float32), first, axis=0)
-    turn = np.argsort(-bound, axis=1)
-    live = np.arange(n)
-    width = index.rows.shape[1]
-    for visit in range(blocks):
-        b = turn[live, visit]
-        go = bound[live, b] * (1 + 1e-5) > best[live, -1]
-        live, b = live[go], b[go]
-        if not len(live):
-            break
-        for a in range(0, len(live), 2048):
-            q, c = live[a : a + 2048], b[a : a + 2048]
-            lens = ends[q] - first[q]
-            entry = np.repeat(first[q] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
-            part = index.rows[index.slot[np.repeat(c, lens), term[entry]]] * weight[entry, None].astype(np.float32)
-            sims = np.add.reduceat(part, np.cumsum(lens) - lens, axis=0)
-            ids = c[:, None] * width + np.arange(width)
-            sims[ids >= len(index.ids)] = 0
-            if skip is not None:
-                sims[ids == skip[q][:, None]] = 0
-            ids = np.where(sims > 0, ids, -1)
-            all_s, all_i = np.concatenate([best[q], sims], 1), np.concatenate([who[q], ids], 1)
-            order = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best[q], who[q] = np.take_along_axis(all_s, order, 1), np.take_along_axis(all_i, order, 1)
+    dense, number = index.dense(), np.repeat(np.arange(n), ends - first)
+    column = index.column[term]
+    for a in range(0, n, BLOCK):
+        z = min(a + BLOCK, n)
+        part = slice(first[a], ends[z - 1])
+        hit = column[part] >= 0
+        front = np.zeros((z - a, len(dense)), np.float32)
+        front[number[part][hit] - a, column[part][hit]] = weight[part][hit]
+        block = front @ dense
+        for q in range(a, z):
+            sims = block[q - a]
+            rare = np.flatnonzero(column[first[q] : ends[q]] < 0) + first[q]
+            if len(rare):
+                lo, hi = index.first[term[rare]], index.first[term[rare] + 1]
+                spans = list(zip(lo.tolist(), hi.tolist()))
+                x = np.concatenate([index.weight[i:j] for i, j in spans])
+                x *= np.repeat(weight[rare].astype(np.float32), hi - lo)
+                sims = sims + np.bincount(np.concatenate([index.who[i:j] for i, j in spans]), x, examples).astype(np.float32)
+            if skip is not None and skip[q] >= 0:
+                sims[skip[q]] = 0
+            least = np.partition(sims, examples - k)[examples - k] if examples > k else 0
+            found = np.flatnonzero((sims >= least) & (sims > 0))
+            found = found[np.lexsort((found, -sims[found]))[:k]]
+            best[q, : len(found)], who[q, : len(found)] = sims[found], found
     return queries, who, best
 
 
 def votes(index: Index, who: np.ndarray, sims: np.ndarray) -> np.ndarray:
     """Distance-weighted share of toxic neighbours."""
-    w = np.where(who >= 0, 1 / (np.maximum(1 - sims, 0) + 0.1), 0.0)
+    w = np.where(who >= 0, 1 / (np.maximum(1 - sims.astype(float), 0) + 0.1), 0.0)
     return np.minimum((w * index.toxic[who]).sum(1) / np.maximum(w.sum(1), 1e-9), 1.0)
 
 
@@ -186,141 +213,131 @@ def calibrated(curve: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarra
     return curve[1][np.clip(np.searchsorted(curve[0], x, "right") - 1, 0, None)]
 
 
-def _term_examples(only: np.ndarray | None):
-    """Examples that have each term, among a task's rows; ``only`` the given terms (sorted), if any."""
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Examples of a slice in one row: ids, labels and numbers of terms; hashes and frequencies of the terms."""
+    for batch in batches:
+        raw, offsets = tx.text_buffers(batch.column(1))
+        ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        for i, j in tx.slices(offsets, SLICE):
+            row, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            edge = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
+            n = np.diff(np.append(edge, len(h)))
+            own = [ids[i:j].astype(np.int64), y[i:j].astype(np.int32), np.bincount(row[edge], minlength=j - i).astype(np.int32), h[edge], np.minimum(n, 65535).astype(np.uint16)]
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in own], names=["ids", "y", "sizes", "hashes", "counts"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = [np.zeros(0, np.uint64)]
-        for batch in batches:
-            raw, offsets = tx.text_buffers(batch.column(1))
-            for i, j in tx.slices(offsets):
-                r, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                if only is not None:
-                    at = np.searchsorted(only, h)
-                    hit = at < len(only)
-                    hit[hit] = only[at[hit]] == h[hit]
-                    r, h = r[hit], h[hit]
-                order = np.lexsort((h, r))
-                r, h = r[order], h[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (r[1:] != r[:-1]) | (h[1:] != h[:-1])
-                found.append(h[new])
-        kinds, n = np.unique(np.concatenate(found), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int32))], names=["term", "n"])
 
-    return run
-
-
-def _vectors(hashes: np.ndarray):
+def _frequencies(sent: Shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(hashes)
+        vocabulary, docs = Vocabulary(sent.value), 0
+        df = np.zeros(len(sent.value), np.int32)
         for batch in batches:
-            row, term, n = batch_counts(batch.column(1), vocabulary)
-            cut = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(cut), pa.array(v.astype(np.int32))) for v in (term, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], names=["doc_id", "y", "terms", "counts"])
+            for _, _, _, term, _ in batch_counts(batch.column(0), vocabulary):
+                np.add.at(df, term, 1)
+            docs += batch.num_rows
+        hit = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], docs).astype(np.int64))], names=["term", "df"])
 
     return run
 
 
-def choose_terms(own: DataFrame, most: int = TERMS) -> np.ndarray:
-    """Hashes of the terms that toxic examples have significantly more often; at most ``most``, the strongest."""
-    examples, toxic = own.agg(F.count("*"), F.sum("y")).first()
-    if not toxic or toxic == examples:
-        return np.zeros(0, np.uint64)
-    share = toxic / examples
-
-    def z(hits: Column, n: Column) -> Column:
-        return (hits - n * share) / F.sqrt(n * (share * (1 - share)))
+@dataclass
+class Model:
+    hashes: np.ndarray
+    idf: np.ndarray
+    index: Index
 
-    hits = own.where("y = 1").mapInArrow(_term_examples(None), "term long, n int").groupBy("term").agg(F.sum("n").alias("hits"))
-    # the fewest examples a term can have in all make its z largest: who falls short even so need not be counted elsewhere
-    hits = hits.where(z(F.col("hits"), F.greatest("hits", F.lit(LEAST))) >= SIGNIFICANT - 1e-9)
-    hits = written(hits, "terms")
-    likely = np.sort(np.array([r["term"] for r in hits.select("term").collect()], np.int64).view(np.uint64))  # bounded by the sample's toxic examples
-    rest = own.where("y = 0").mapInArrow(_term_examples(likely), "term long, n int").groupBy("term").agg(F.sum("n").alias("rest"))
-    counts = hits.join(rest, "term", "left").withColumn("n", F.col("hits") + F.coalesce("rest", F.lit(0))).where(f"n >= {LEAST}")
-    best = counts.select("term", z(F.col("hits"), F.col("n")).alias("z")).where(F.col("z") >= SIGNIFICANT).orderBy(F.desc("z"), "term").limit(most).collect()
-    return np.sort(np.array([r["term"] for r in best], np.int64).view(np.uint64))
 
+def _left_out(sent: Shared):
+    """The votes for examples, each without itself."""
 
-def _frequencies(hashes: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, df, docs = Vocabulary(hashes), np.zeros(len(hashes), np.int64), 0
+        model = sent.value
+        vocabulary, place = Vocabulary(model.hashes), {d: i for i, d in enumerate(model.index.ids.tolist())}
         for batch in batches:
-            _, term, _ = batch_counts(batch.column(0), vocabulary)
-            df += np.bincount(term, minlength=len(hashes))
-            docs += batch.num_rows
-        hit = np.flatnonzero(df)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(hit, -1)), pa.array(np.append(df[hit], docs))], names=["term", "df"])
+            ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+            for i, _, row, term, n in batch_counts(batch.column(1), vocabulary):
+                skip = np.array([place[d] for d in ids[i + np.unique(row)].tolist()], np.int64)
+                queries, who, sims = nearest(model.index, row, term, tfidf(row, term, n, model.idf), NEIGHBOURS, skip)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + queries]), pa.array(votes(model.index, who, sims)), pa.array(y[i + queries].astype(float))], names=["doc_id", "vote", "y"])
 
     return run
 
 
 @dataclass
-class Model:
-    hashes: np.ndarray
-    idf: np.ndarray
-    index: Index
+class Fitted:
+    model: Shared
     curve: tuple[np.ndarray, np.ndarray]
     rest: float
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted | None:
     """Index and calibration from the sample, IDF from all documents; None without toxic examples."""
     lower = docs.select("doc_id", F.lower("text").alias("text"))
     own = written(labelled_sample(lower, labels, "toxic", sample), "examples")
-    hashes = choose_terms(own)
-    if not len(hashes):
+    if own.where("y = 1").isEmpty():
         return None
-    rows = own.mapInArrow(_vectors(hashes), "doc_id long, y int, terms array<int>, counts array<int>").toPandas().sort_values("doc_id")  # ``sample`` rows of a few terms
-    counted = lower.select("text").mapInArrow(_frequencies(hashes), "term long, df long").groupBy("term").agg(F.sum("df")).collect()  # at most one row a term
-    found = {t: n for t, n in counted}
-    df = np.array([found.get(t, 0) for t in range(len(hashes))])
-    idf = np.log((1 + found.get(-1, 0)) / (1 + df)) + 1
-    n = np.array([len(t) for t in rows["terms"]])
-    toxic = rows["y"].to_numpy(bool)
-    some = np.flatnonzero(n)
-    row = np.repeat(np.arange(len(some)), n[some])
-    term, count = (np.concatenate(rows[c].iloc[some].to_list()).astype(np.int64) for c in ("terms", "counts"))
-    weight = tfidf(row, term, count, idf)
-    index = build(row, term, weight, rows["doc_id"].to_numpy()[some], toxic[some].astype(float), len(hashes))
-    place = {d: i for i, d in enumerate(index.ids.tolist())}
-    skip = np.array([place[d] for d in rows["doc_id"].to_numpy()[some].tolist()])
-    _, who, sims = nearest(index, row, term, weight, NEIGHBOURS, skip)
-    curve = isotonic(votes(index, who, sims), toxic[some].astype(float))
-    without = toxic[n == 0]
-    return Model(hashes, idf, index, curve, float((without.sum() + 0.5) / (len(without) + 1)))
+    parts = own.repartition(max(8, own.rdd.getNumPartitions()))
+    kinds = (np.int64, np.int32, np.int32, np.uint64, np.uint16)
+    found = []
+    hashes = np.zeros(0, np.uint64)
+    for r in parts.mapInArrow(_entries, "ids binary, y binary, sizes binary, hashes binary, counts binary").toLocalIterator():  # the terms of ``sample`` rows, a part at a time
+        found.append([np.frombuffer(v, k) for v, k in zip(r, kinds)])
+        hashes = np.union1d(hashes, found[-1][3])
+    for part in found:
+        part[3] = np.searchsorted(hashes, part[3]).astype(np.int32)
+    counted = lower.select("text").mapInArrow(_frequencies(Shared(docs.sparkSession, hashes)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most one row a term
+    df = np.zeros(len(hashes) + 1, np.int64)  # the last is the number of documents
+    df[counted["term"].to_numpy()] = counted["df"].to_numpy()
+    del counted
+    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
+    for part in found:
+        part[4] = tfidf(np.repeat(np.arange(len(part[2])), part[2]), part[3], part[4].astype(np.float32), idf)
+    columns = []
+    for c in range(5):
+        columns.append(np.concatenate([part[c] for part in found]))
+        for part in found:
+            part[c] = None
+    ids, toxic, sizes, term, weight = columns
+    del found, columns
+    row = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)
+    model = Shared(docs.sparkSession, Model(hashes, idf, build(row, term, weight, ids, toxic.astype(float), len(hashes))))
+    del row, term, weight
+    voted = parts.mapInArrow(_left_out(model), "doc_id long, vote double, y double").toPandas().sort_values("doc_id")  # ``sample`` rows
+    curve = isotonic(voted["vote"].to_numpy(), voted["y"].to_numpy()) if len(voted) else (np.zeros(1), np.zeros(1))
+    without = toxic[sizes == 0]
+    return Fitted(model, curve, float((without.sum() + toxic.mean()) / (len(without) + 1)))
 
 
 FOUND = "doc_id long, score double, evidence array<string>"
 
 
-def score_batch(model: Model, vocabulary: Vocabulary, column: pa.Array) -> tuple[np.ndarray, dict[int, list[str]]]:
-    """(probability for each text, evidence by row): the neighbours as id:similarity:label, nearest first."""
-    score = np.full(len(column), model.rest)
-    row, term, n = batch_counts(column, vocabulary)
-    queries, who, sims = nearest(model.index, row, term, tfidf(row, term, n, model.idf), NEIGHBOURS)
-    if len(queries):
-        score[queries] = calibrated(model.curve, votes(model.index, who, sims))
-    ids, toxic = model.index.ids, model.index.toxic
-    return score, {int(q): [f"{ids[i]}:{s:.4f}:{int(toxic[i])}" for i, s in zip(w, x) if i >= 0] for q, w, x in zip(queries, who, sims)}
-
+def _score(fitted: Fitted, cut: float):
+    sent, curve, rest = fitted.model, fitted.curve, fitted.rest
 
-def _score(model: Model, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.hashes)
+        model = sent.value
+        vocabulary, ids, toxic = Vocabulary(model.hashes), model.index.ids, model.index.toxic
         for batch in batches:
-            score, evidence = score_batch(model, vocabulary, batch.column(1))
-            hit = np.flatnonzero(score >= cut)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(score[hit]), pa.array([evidence.get(int(r), []) for r in hit], pa.list_(pa.string()))], names=["doc_id", "score", "evidence"])
+            for i, j, row, term, n in batch_counts(batch.column(1), vocabulary):
+                score, evidence = np.full(j - i, rest), {}
+                queries, who, sims = nearest(model.index, row, term, tfidf(row, term, n, model.idf), NEIGHBOURS)
+                if len(queries):
+                    score[queries] = calibrated(curve, votes(model.index, who, sims))
+                hit = np.flatnonzero(score >= cut)
+                at = np.searchsorted(queries, hit)
+                for r, q in zip(hit.tolist(), at.tolist()):  # the neighbours as id:similarity:label, nearest first
+                    if q < len(queries) and queries[q] == r:
+                        evidence[r] = [f"{ids[e]}:{s:.4f}:{int(toxic[e])}" for e, s in zip(who[q], sims[q]) if e >= 0]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + hit)), pa.array(score[hit]), pa.array([evidence.get(r, []) for r in hit.tolist()], pa.list_(pa.string()))], names=["doc_id", "score", "evidence"])
 
     return run
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
     """(doc_id, score, evidence) of the documents whose probability of being toxic is at least ``cut``."""
-    model = fit(docs, labels, sample)
-    if model is None:
+    fitted = fit(docs, labels, sample)
+    if fitted is None:
         return docs.sparkSession.createDataFrame([], FOUND)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_score(model, cut), FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_score(fitted, cut), FOUND)

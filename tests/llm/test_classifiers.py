@@ -70,6 +70,15 @@ def test_toxic_documents_are_found_with_evidence(tables):
     assert all(0.5 <= r.score <= 1 and r.evidence for r in found.values())
 
 
+def test_copy_of_a_rare_toxic_example_is_found(spark):
+    vile = [f"grue{a} snark{a} blight mordant" for a in "abcd"]
+    rows = [(i, t) for i, t in enumerate(vile)] + [(i, f"calm{i} prose{i % 7} about gardens") for i in range(10, 50)]
+    docs = spark.createDataFrame([(*r, None, 1, "x") for r in [*rows, (100, vile[2]), (101, "calm11 gardens"), (102, None)]], DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i < 4)) for i, _ in rows], LABELS)
+    found = {r.doc_id: r for r in tx.toxic_documents(docs, labels).collect()}
+    assert set(found) == {0, 1, 2, 3, 100} and found[100].evidence[0] == "2:1.0000:1"
+
+
 @pytest.mark.parametrize("make", [qc.quality_scores, qc.keep_good, qr.quality_rules, tx.toxic_documents])
 def test_odd_rows_and_empty_tables(spark, tables, make):
     docs, labels, _ = tables
