@@ -445,6 +445,11 @@ def _html_iocs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.inline(indicators.extract(F.col("html"))))
 
 
+@query()
+def ioc_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _html_iocs(spark, sf_dir)
+
+
 @query()
 def indicator_set_compare_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the html of all pages has, against what all their addresses have."""

@@ -260,3 +260,9 @@ def test_whole_sets_of_page_indicators_are_compared(spark, tmp_path):
     assert got == {"url": (1, 2, 1, 0, 1), "domain": (1, 2, 1, 0, 1), "ipv4": (1, 0, 0, 1, 0)}
     q = registry.QUERIES["indicator_quality_whole"](spark, str(tmp_path)).first()
     assert (q.true_positives, q.false_positives, q.false_negatives) == (2, 1, 2)
+
+
+def test_indicators_of_html_are_found(spark, tmp_path):
+    spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {tuple(r) for r in registry.QUERIES["ioc_html"](spark, str(tmp_path)).collect()}
+    assert got == {(1, "url", "http://a.example.com/x"), (1, "domain", "a.example.com"), (1, "ipv4", "10.0.0.1")}
