@@ -1,19 +1,26 @@
-"""Toxicity by the nearest labelled examples, with exact TF-IDF cosine on an inverted index.
+"""Toxicity by the nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
 Terms are lower-case words and their beginnings of four to six bytes (which catch inflected and compounded forms).
-The vocabulary is every term of the labelled sample; nothing is left out of it.  Document frequencies for the
-IDF are counted over all documents, once each.  An example or a document is the L2-normalised TF-IDF vector of the
-vocabulary's terms.
-
-A query's similarity to every example is summed: over the ``DENSE`` most frequent terms by a matrix product, over
-the others by their postings.  How the terms are split changes no result.  The k nearest examples vote with
-weights ``1 / (distance + 0.1)``; votes are turned into probabilities by isotonic regression on
+The vocabulary is every term of the labelled sample; nothing is left out of it.  Document frequencies
+are counted over all documents, once each.  An example or a document is the vector of ``(1 + ln tf) * idf ** POWER`` over
+the vocabulary's terms, of unit length.
+
+Examples lie in blocks of ``BLOCK``, like next to like (by their nearest pivot, then by their number of terms).  Postings of
+rare terms are summed for all examples.  For each of the ``DENSE`` most frequent terms and each block the index has the
+largest weight, so the sum so far plus these maxima bounds the similarity to every example of a block.  The blocks of the
+largest bounds are summed first; of the others only those whose bound reaches the k-th similarity found are.  The k
+nearest are therefore exact; how terms and blocks are split changes no result.  Similarities are
+rounded to five decimals, and of equal ones the example with the smaller doc_id is nearer.
+
+The k nearest examples vote with weights ``1 / (distance + 0.1)``; votes are turned into probabilities by isotonic regression on
 leave-one-out votes of the sample.  Documents with no term of the vocabulary get the share of toxic ones
-among the sample's documents without any, or in the sample if there are none.
+among the sample's documents without any, or in the sample if there are none.  The evidence of a document are its
+``EVIDENCE`` nearest examples.
 
-What is sent to the tasks is bounded by ``sample`` labelled documents and their distinct terms; they lie in one file in the shared folder.
-A null text has no terms.  A null doc_id is scored like any other row; rows that repeat are scored
-each.  Without toxic examples nothing is found.  Other columns are ignored.
+The index is made in one task from ``sample`` labelled documents at most and lies in one file in the shared folder; the driver holds
+the distinct terms of the sample and their frequencies only.  A null text has no terms.  A null doc_id is scored like any
+other row; rows that repeat are scored each.  Very long texts are read whole, a slice of rows at a time.  Without toxic examples, or with an empty table, nothing
+is found.  A score equal to the cut counts as toxic.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,18 +33,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.labelled import labelled_sample
 from marlstone.llm.store import shared_dir, written
 
-SAMPLE = 20_000
-DENSE = 1024
-BLOCK = 256
+SAMPLE = 6_000
+DENSE = 2048
+BLOCK = 32
+BATCH = 64
+PIVOTS = 48
 SLICE = 1 << 20
-NEIGHBOURS = 15
+NEIGHBOURS = 120
+POWER = 1.5
+EVIDENCE = 10
 CUT = 0.5
 STEMS = (4, 5, 6)
 
@@ -47,8 +58,10 @@ class Shared:
 
     held: dict = {}
 
-    def __init__(self, spark: SparkSession, value):
-        self.url = f"{shared_dir(spark)}/toxicity-{uuid.uuid4().hex}"
+    def __init__(self, folder: str, value=None, url: str | None = None):
+        self.url = url or f"{folder}/toxicity-{uuid.uuid4().hex}"
+        if url:
+            return
         where, path = fs.FileSystem.from_uri(self.url)
         with where.open_output_stream(path) as f:
             pickle.dump(value, f, 5)
@@ -107,7 +120,10 @@ def batch_counts(column: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[int
 
 @dataclass
 class Index:
-    """Examples by term: those of term t are ``who[first[t] : first[t + 1]]``, with their weights; ``column`` numbers the terms of the dense part (-1: none)."""
+    """Examples by term: those of term t are ``who[first[t] : first[t + 1]]``, with their weights; ``column`` numbers the frequent terms (-1: none).
+
+    ``edges`` are the first examples of the blocks; ``most`` has the largest weight of each frequent term in each block.
+    """
 
     first: np.ndarray
     who: np.ndarray
@@ -115,16 +131,20 @@ class Index:
     column: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    made: np.ndarray | None = None
+    edges: np.ndarray
+    made: tuple | None = None
 
-    def dense(self) -> np.ndarray:
-        """(column, example) weights of the most frequent terms; made once in each process."""
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each block its (frequent term, example) weights, and (frequent term, block) maxima; made once in each process."""
         if self.made is None:
             at = np.flatnonzero(self.column >= 0)
-            self.made = np.zeros((len(at), len(self.ids)), np.float32)
+            size = int(self.edges[1]) if len(self.edges) > 1 else len(self.ids)
+            table = np.zeros((len(self.edges), len(at), size), np.float32)
             for t in at:
                 part = slice(self.first[t], self.first[t + 1])
-                self.made[self.column[t], self.who[part]] = self.weight[part]
+                block, place = np.divmod(self.who[part], size)
+                table[block, self.column[t], place] = self.weight[part]
+            self.made = table, np.ascontiguousarray(table.max(2).T)
         return self.made
 
     def __getstate__(self) -> dict:
@@ -141,52 +161,87 @@ def tfidf(row: np.ndarray, term: np.ndarray, n: np.ndarray, idf: np.ndarray) ->
     return w / np.repeat(norm, np.diff(np.append(edge, len(w))))
 
 
-def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, size: int, block: int = DENSE) -> Index:
-    """Rows are numbered from 0 and keep their order; at most ``block`` terms are held densely."""
-    order = np.argsort(term, kind="stable")
+def _neighbourly(row: np.ndarray, term: np.ndarray, weight: np.ndarray, column: np.ndarray, top: int, ids: np.ndarray) -> np.ndarray:
+    """An order of the examples that puts like ones together."""
+    n = len(ids)
+    pivots = np.unique(np.linspace(0, n - 1, PIVOTS).astype(int))
+    place = np.full(n, -1)
+    place[pivots] = np.arange(len(pivots))
+    hit = column[term] >= 0
+    row, col, w = row[hit], column[term[hit]], weight[hit]
+    own = place[row] >= 0
+    table = np.zeros((top, len(pivots)), np.float32)
+    table[col[own], place[row[own]]] = w[own]
+    near = np.zeros((n, len(pivots)), np.float32)
+    for a in range(0, n, 1024):
+        i, j = np.searchsorted(row, [a, a + 1024])
+        part = np.zeros((min(1024, n - a), top), np.float32)
+        part[row[i:j] - a, col[i:j]] = w[i:j]
+        near[a : a + 1024] = part @ table
+    return np.lexsort((ids, np.bincount(row, minlength=n), near.argmax(1)))
+
+
+def build(row: np.ndarray, term: np.ndarray, weight: np.ndarray, ids: np.ndarray, toxic: np.ndarray, size: int, dense: int = DENSE, block: int = BLOCK) -> Index:
+    """Rows are numbered from 0 and come sorted; at most ``dense`` terms are held as a table."""
     df = np.bincount(term, minlength=size)
     column = np.full(size, -1, np.int32)
-    top = np.argsort(-df, kind="stable")[:block]
+    top = np.argsort(-df, kind="stable")[:dense]
+    top = top[df[top] > 0]
     column[top] = np.arange(len(top))
-    return Index(np.concatenate([[0], np.cumsum(df)]), row[order], weight[order].astype(np.float32), column, ids, toxic)
+    order = _neighbourly(row, term, weight, column, len(top), ids)
+    new = np.empty(len(ids), np.int32)
+    new[order] = np.arange(len(ids))
+    by_term = np.argsort(term, kind="stable")
+    return Index(np.concatenate([[0], np.cumsum(df)]), new[row[by_term]], weight[by_term].astype(np.float32), column, ids[order], toxic[order], np.arange(0, len(ids), block))
 
 
-def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest(index: Index, row: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None, seen: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query rows, example numbers, similarities) of the k nearest examples, exactly; -1 where there are fewer.
 
     Entries come sorted by row.  ``skip`` has an example's number to leave out for each query, or -1.
+    ``seen`` gets the share of (query, block) pairs that were summed.
     """
-    queries, first = np.unique(row, return_index=True)
-    ends = np.append(first[1:], len(row))
+    queries, begin = np.unique(row, return_index=True)
+    finish = np.append(begin[1:], len(row))
     n, examples = len(queries), len(index.ids)
     best = np.zeros((n, k), np.float32)
     who = np.full((n, k), -1, np.int64)
     if not n or not examples:
         return queries, who, best
-    dense, number = index.dense(), np.repeat(np.arange(n), ends - first)
-    column = index.column[term]
-    for a in range(0, n, BLOCK):
-        z = min(a + BLOCK, n)
-        part = slice(first[a], ends[z - 1])
-        hit = column[part] >= 0
-        front = np.zeros((z - a, len(dense)), np.float32)
-        front[number[part][hit] - a, column[part][hit]] = weight[part][hit]
-        block = front @ dense
-        for q in range(a, z):
-            sims = block[q - a]
-            rare = np.flatnonzero(column[first[q] : ends[q]] < 0) + first[q]
-            if len(rare):
-                lo, hi = index.first[term[rare]], index.first[term[rare] + 1]
-                spans = list(zip(lo.tolist(), hi.tolist()))
-                x = np.concatenate([index.weight[i:j] for i, j in spans])
-                x *= np.repeat(weight[rare].astype(np.float32), hi - lo)
-                sims = sims + np.bincount(np.concatenate([index.who[i:j] for i, j in spans]), x, examples).astype(np.float32)
-            if skip is not None and skip[q] >= 0:
-                sims[skip[q]] = 0
-            least = np.partition(sims, examples - k)[examples - k] if examples > k else 0
-            found = np.flatnonzero((sims >= least) & (sims > 0))
-            found = found[np.lexsort((found, -sims[found]))[:k]]
-            best[q, : len(found)], who[q, : len(found)] = sims[found], found
+    table, most = index.dense()
+    edges = np.append(index.edges, examples)
+    number, column, weight = np.repeat(np.arange(n), finish - begin), index.column[term], weight.astype(np.float32)
+    ahead = min(2 * -(-k // max(int(edges[1]), 1)), len(edges) - 1)
+    for a in range(0, n, BATCH):
+        z = min(a + BATCH, n)
+        part = slice(begin[a], finish[z - 1])
+        q, c, w, t = number[part] - a, column[part], weight[part], term[part]
+        front = np.zeros((z - a, len(most)), np.float32)
+        front[q[c >= 0], c[c >= 0]] = w[c >= 0]
+        q, w, t = q[c < 0], w[c < 0], t[c < 0]
+        size = index.first[t + 1] - index.first[t]
+        at = np.repeat(index.first[t] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        rare = np.bincount(np.repeat(q * examples, size) + index.who[at], np.repeat(w, size) * index.weight[at], (z - a) * examples).reshape(z - a, examples)
+        bound = (front @ most + np.maximum.reduceat(rare, index.edges, 1)) * (1 + 1e-5) + 1e-5
+        sims = np.full((z - a, examples), -1.0, np.float32)
+        todo = np.zeros(bound.shape, bool)
+        np.put_along_axis(todo, np.argpartition(-bound, ahead - 1, 1)[:, :ahead], True, 1)
+        for wave in range(2):
+            for b in np.flatnonzero(todo.any(0)):
+                own, cut = np.flatnonzero(todo[:, b]), slice(edges[b], edges[b + 1])
+                sims[own, cut] = np.round(rare[own, cut] + (front if len(own) == z - a else front[own]) @ table[b][:, : edges[b + 1] - edges[b]], 5)
+            if skip is not None:
+                out = np.flatnonzero(skip[a:z] >= 0)
+                sims[out, skip[a:z][out]] = -1
+            least = np.maximum(np.partition(sims, examples - k, 1)[:, examples - k], 0) if examples > k else np.zeros(z - a)
+            if not wave:
+                done, todo = todo, (bound >= least[:, None]) & ~todo
+        if seen is not None:
+            seen.append((done | todo).mean())
+        for r in range(z - a):
+            found = np.flatnonzero((sims[r] >= least[r]) & (sims[r] > 0))
+            found = found[np.lexsort((index.ids[found], -sims[r][found]))[:k]]
+            best[a + r, : len(found)], who[a + r, : len(found)] = sims[r][found], found
     return queries, who, best
 
 
@@ -213,19 +268,12 @@ def calibrated(curve: tuple[np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarra
     return curve[1][np.clip(np.searchsorted(curve[0], x, "right") - 1, 0, None)]
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Examples of a slice in one row: ids, labels and numbers of terms; hashes and frequencies of the terms."""
+def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct terms of each slice."""
     for batch in batches:
         raw, offsets = tx.text_buffers(batch.column(1))
-        ids, y = batch.column(0).to_numpy(), batch.column(2).to_numpy()
         for i, j in tx.slices(offsets, SLICE):
-            row, h = terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-            order = np.lexsort((h, row))
-            row, h = row[order], h[order]
-            edge = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
-            n = np.diff(np.append(edge, len(h)))
-            own = [ids[i:j].astype(np.int64), y[i:j].astype(np.int32), np.bincount(row[edge], minlength=j - i).astype(np.int32), h[edge], np.minimum(n, 65535).astype(np.uint16)]
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in own], names=["ids", "y", "sizes", "hashes", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])[1]).astype(np.int64))], names=["term"])
 
 
 def _frequencies(sent: Shared):
@@ -249,6 +297,29 @@ class Model:
     index: Index
 
 
+def _indexed(known: Shared, folder: str):
+    """Make the index of all examples, which come in one task, write it, and return where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, idf = known.value
+        vocabulary, found, ids, toxic, base = Vocabulary(hashes), [], [], [], 0
+        for batch in batches:
+            for i, _, row, term, n in batch_counts(batch.column(1), vocabulary):
+                found.append(((row + (base + i)).astype(np.int32), term.astype(np.int32), tfidf(row, term, n, idf).astype(np.float32)))
+            ids.append(batch.column(0).to_numpy().astype(np.int64))
+            toxic.append(batch.column(2).to_numpy().astype(float))
+            base += batch.num_rows
+        if not base:
+            return
+        row, term, weight = (np.concatenate([f[c] for f in found]) for c in range(3))
+        del found
+        ids, toxic = np.concatenate(ids), np.concatenate(toxic)
+        model = Model(hashes, idf, build(row, term, weight, ids, toxic, len(hashes)))
+        yield pa.RecordBatch.from_arrays([pa.array([Shared(folder, model).url])], names=["url"])
+
+    return run
+
+
 def _left_out(sent: Shared):
     """The votes for examples, each without itself."""
 
@@ -274,40 +345,24 @@ class Fitted:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted | None:
     """Index and calibration from the sample, IDF from all documents; None without toxic examples."""
-    lower = docs.select("doc_id", F.lower("text").alias("text"))
+    lower, folder = docs.select("doc_id", F.lower("text").alias("text")), shared_dir(docs.sparkSession)
     own = written(labelled_sample(lower, labels, "toxic", sample), "examples")
     if own.where("y = 1").isEmpty():
         return None
-    parts = own.repartition(max(8, own.rdd.getNumPartitions()))
-    kinds = (np.int64, np.int32, np.int32, np.uint64, np.uint16)
-    found = []
-    hashes = np.zeros(0, np.uint64)
-    for r in parts.mapInArrow(_entries, "ids binary, y binary, sizes binary, hashes binary, counts binary").toLocalIterator():  # the terms of ``sample`` rows, a part at a time
-        found.append([np.frombuffer(v, k) for v, k in zip(r, kinds)])
-        hashes = np.union1d(hashes, found[-1][3])
-    for part in found:
-        part[3] = np.searchsorted(hashes, part[3]).astype(np.int32)
-    counted = lower.select("text").mapInArrow(_frequencies(Shared(docs.sparkSession, hashes)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most one row a term
+    hashes = np.sort(own.mapInArrow(_distinct, "term long").distinct().toArrow()["term"].to_numpy().view(np.uint64))  # the terms of ``sample`` rows
+    counted = lower.select("text").mapInArrow(_frequencies(Shared(folder, hashes)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # at most one row a term
     df = np.zeros(len(hashes) + 1, np.int64)  # the last is the number of documents
     df[counted["term"].to_numpy()] = counted["df"].to_numpy()
     del counted
-    idf = (np.log((1 + df[-1]) / (1 + df[:-1])) + 1).astype(np.float32)
-    for part in found:
-        part[4] = tfidf(np.repeat(np.arange(len(part[2])), part[2]), part[3], part[4].astype(np.float32), idf)
-    columns = []
-    for c in range(5):
-        columns.append(np.concatenate([part[c] for part in found]))
-        for part in found:
-            part[c] = None
-    ids, toxic, sizes, term, weight = columns
-    del found, columns
-    row = np.repeat(np.arange(len(sizes), dtype=np.min_scalar_type(len(sizes))), sizes)
-    model = Shared(docs.sparkSession, Model(hashes, idf, build(row, term, weight, ids, toxic.astype(float), len(hashes))))
-    del row, term, weight
-    voted = parts.mapInArrow(_left_out(model), "doc_id long, vote double, y double").toPandas().sort_values("doc_id")  # ``sample`` rows
+    idf = ((np.log((1 + df[-1]) / (1 + df[:-1])) + 1) ** POWER).astype(np.float32)
+    url = own.repartition(1).mapInArrow(_indexed(Shared(folder, (hashes, idf)), folder), "url string").first()["url"]
+    model = Shared(folder, url=url)
+    voted = own.mapInArrow(_left_out(model), "doc_id long, vote double, y double").toPandas().sort_values("doc_id")  # ``sample`` rows
     curve = isotonic(voted["vote"].to_numpy(), voted["y"].to_numpy()) if len(voted) else (np.zeros(1), np.zeros(1))
-    without = toxic[sizes == 0]
-    return Fitted(model, curve, float((without.sum() + toxic.mean()) / (len(without) + 1)))
+    bare = own.count() - len(voted)
+    share = own.agg(F.avg("y")).first()[0]
+    without = (own.where("y = 1").count() - voted["y"].sum() + share) / (bare + 1)
+    return Fitted(model, curve, float(without))
 
 
 FOUND = "doc_id long, score double, evidence array<string>"
@@ -329,7 +384,7 @@ def _score(fitted: Fitted, cut: float):
                 at = np.searchsorted(queries, hit)
                 for r, q in zip(hit.tolist(), at.tolist()):  # the neighbours as id:similarity:label, nearest first
                     if q < len(queries) and queries[q] == r:
-                        evidence[r] = [f"{ids[e]}:{s:.4f}:{int(toxic[e])}" for e, s in zip(who[q], sims[q]) if e >= 0]
+                        evidence[r] = [f"{ids[e]}:{s:.4f}:{int(toxic[e])}" for e, s in zip(who[q, :EVIDENCE], sims[q, :EVIDENCE]) if e >= 0]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + hit)), pa.array(score[hit]), pa.array([evidence.get(r, []) for r in hit.tolist()], pa.list_(pa.string()))], names=["doc_id", "score", "evidence"])
 
     return run

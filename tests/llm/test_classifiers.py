@@ -152,7 +152,7 @@ def test_nearest_is_exact(seed):
     dense[:, 0] += 0.01
     dense /= np.linalg.norm(dense, axis=1, keepdims=True)
     row, term = np.nonzero(dense)
-    index = tx.build(row, term, dense[row, term], np.arange(150) * 3, np.zeros(150), 40, block=8)
+    index = tx.build(row, term, dense[row, term], np.arange(150) * 3, np.zeros(150), 40, dense=8, block=16)
     q = np.where(rng.random((60, 40)) < 0.2, rng.random((60, 40)), 0)
     q[:, 0] += 0.01
     q /= np.linalg.norm(q, axis=1, keepdims=True)
