@@ -8,26 +8,29 @@ thin the candidates, and each pair that is left is verified once.
 
 How that is laid out for Spark:
 
-* *Census.*  Each task turns its documents into chunks and sends, for every
-  n-gram, six bytes (a 32-bit key within a hash range and the document's slot in
-  the chunk) to the n-gram's hash range.  There n-grams of one document only
+* *Census.*  Each task turns its documents into chunks and sends every n-gram of
+  a chunk once to the n-gram's hash range: six bytes (48 bits of its hash), and two for the document's slot
+  in the chunk or, where several documents of the chunk have it, four for their number; their slots then
+  stay with the chunk.  However many documents have an n-gram, its range gets one entry a chunk.  There n-grams of one document only
   are found; they can match nothing, so only the others travel back, with their
   document frequency.  N-grams are never a row of their own, and nothing is
-  broadcast.  An n-gram is known by 32 bits and the number of its hash range,
+  broadcast.  An n-gram is known by 48 bits and the number of its hash range,
   so the number of bits follows the size of the input.
 * *Prefixes.*  A document whose prefix has only n-grams of its own is done: this
   is nearly all of a corpus.
 * *Groups.*  A prefix n-gram's documents all go to the group of the smallest
   signature among them, so the number of rows stays in proportion to the prefixes
   however long the list is, and two documents that share a prefix n-gram always meet.  A pair
-  that meets in several groups is reported by the first of them only.  A group
-  of more than ``BLOCK`` documents is cut into a triangle of cells.
-* *Copies.*  Documents with the same n-gram set are one node; each copy
-  is reported with the smallest doc_id of its set.
-
-Rows without a doc_id and texts without words take no part.  Rows repeating a
-doc_id are one document for each distinct n-gram set; a document is never paired with
-itself.  Other columns are ignored.  The input must be deterministic (a table
+  that meets in several groups counts in the first of them only.  A group
+  of more than ``BLOCK`` sets, or of more than ``CELL_GRAMS`` n-grams, is cut into a triangle of cells, which a task takes one
+  after the other.
+* *Classes.*  Documents with the same n-gram set are one node.  A cell gives each node its number of
+  links and one edge to the smallest node that it is connected with there; pairs are
+  never a row.  Connected nodes are a class.
+
+Rows without a doc_id and texts without words take no part.  A doc_id that repeats with
+another n-gram set is another document; with the same set it is one.  A text of 1 or 2
+words has one n-gram, the whole; a very long one is read whole, in a slice of its own.  N-grams of equal frequency go by their hash.  Other columns are ignored.  The input must be deterministic (a table
 read from files is), as tasks may run again after an executor is lost.
 """
 
@@ -37,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
@@ -45,14 +48,17 @@ from marlstone.llm.store import written
 
 CHUNK_GRAMS = 2_000_000
 CHUNK_DOCS = 65_535
-BLOCK = 2048
+BLOCK = 1024
+CELL_GRAMS = 4_000_000
 BROADCAST_BYTES = 64 << 20
+RELATION_ROW = 64
+"""Bytes that a row of a few numbers takes in a hashed relation, with its slot in the table."""
 NGRAM = 3
 THRESHOLD = 0.6
 
 
 def input_parts(df: DataFrame, target: int = 8 << 20) -> int:
-    """Partitions for a shuffle that grows with the input: one for ``target`` bytes of it, and no fewer than the session's.
+    """Partitions for a shuffle that grows with the input: one for ``target`` bytes of it, beyond 16,384 for up to 16 times that, and no fewer than the session's.
 
     The size is what the planner knows of the files of a plain scan; for other plans, whose
     estimates can be off by any factor, the texts are measured.
@@ -62,7 +68,7 @@ def input_parts(df: DataFrame, target: int = 8 << 20) -> int:
         size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
     else:
         size = int(plan.stats().sizeInBytes())
-    return int(min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // target), 1 << 20))
+    return int(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size // target, 16_384), size // (16 * target)))
 
 
 def by_id(df: DataFrame, parts: int, column: str) -> DataFrame:
@@ -74,64 +80,78 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def gram_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, distinct n-gram hashes, bounds) for each slice of a text column."""
+def gram_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, distinct n-gram hashes, bounds, signatures of the sets) for each slice of a text column."""
     raw, offsets = tx.text_buffers(column)
     for i, j in tx.slices(offsets):
         w = tx.Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-        yield i, j, *tx.distinct(*tx.ngrams(w.hashes(), w.bounds, n))
+        g, b = tx.distinct(*tx.ngrams(w.hashes(), w.bounds, n))
+        yield i, j, g, b, tx.set_signatures(g, b)
 
 
-CENSUS = "part long, chunk long, keys binary, slots binary, dfs binary, ids binary, sizes binary, sigs binary"
-_CENSUS_ARROW = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), *((k, pa.binary()) for k in ("keys", "slots", "dfs", "ids", "sizes", "sigs"))])
+_PARTS = ("low", "high", "slots", "dfs", "many", "many_slots", "ids", "rows", "sizes", "sigs")
+CENSUS = "part long, chunk long, " + ", ".join(f"{k} binary" for k in _PARTS)
+_CENSUS_ARROW = pa.schema([("part", pa.int64()), ("chunk", pa.int64()), *((k, pa.binary()) for k in _PARTS)])
 
 
 def _emit(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([_column([r[i] for r in rows], f.type) for i, f in enumerate(_CENSUS_ARROW)], schema=_CENSUS_ARROW)
 
 
-def _census(n: int, parts: int):
+def _range_of(h: np.ndarray, parts: int) -> np.ndarray:
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
+
+
+def _identity(low: np.ndarray, high: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """One 64-bit number of an n-gram from 48 bits of its hash and its range."""
+    return tx.mix((low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)) + np.asarray(part).astype(np.uint64) * tx._K1).astype(np.int64)
+
+
+def _census(sets, parts: int):
+    """``sets`` makes (first row, last row, keys, bounds, signatures) from a text column."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task, count = TaskContext.get().partitionId(), 0
-        grams: list[np.ndarray] = []
-        ids: list[np.ndarray] = []
-        sizes: list[np.ndarray] = []
-        sigs: list[np.ndarray] = []
-        held = docs = 0
+        held: list[tuple] = []
+        grams = docs = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal grams, ids, sizes, sigs, held, docs, count
+            nonlocal held, grams, docs, count
             chunk = (task << 24) + count
-            h, size = np.concatenate(grams), np.concatenate(sizes)
+            h, ids, rows, size, sigs = (np.concatenate([x[c] for x in held]) for c in range(5))
+            held, grams, docs, count = [], 0, 0, count + 1
             slot = np.repeat(np.arange(len(size), dtype=np.uint16), size)
-            part = (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
-            order = np.argsort(part, kind="stable")
-            key, slot, part = h[order].astype(np.uint32), slot[order], part[order]
+            order = np.argsort(h, kind="stable")  # ranges are in the order of the hash
+            h, slot = h[order], slot[order]
+            edge = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
+            run = np.diff(np.append(edge, len(h)))
+            key, part = h[edge], _range_of(h[edge], parts)
+            low, high = key.astype(np.uint32), (key >> np.uint64(32)).astype(np.uint16)
+            one = run == 1
+            first = slot[edge]
             found, starts = np.unique(part, return_index=True)
-            ends = np.append(starts[1:], len(part))
-            rows = [(int(p), chunk, key[a:b].tobytes(), slot[a:b].tobytes(), None, None, None, None) for p, a, b in zip(found, starts, ends)]
-            rows.append((chunk, chunk, None, None, None, np.concatenate(ids).tobytes(), size.astype(np.int32).tobytes(), np.concatenate(sigs).tobytes()))
-            grams, ids, sizes, sigs, held, docs, count = [], [], [], [], 0, 0, count + 1
-            return _emit(rows)
+            out = []
+            for p, a, z in zip(found, starts, np.append(starts[1:], len(part))):
+                s, m = one[a:z], ~one[a:z]  # n-grams of one document of the chunk come first
+                out.append((int(p), chunk, np.concatenate([low[a:z][s], low[a:z][m]]).tobytes(), np.concatenate([high[a:z][s], high[a:z][m]]).tobytes(), first[a:z][s].tobytes(), run[a:z][m].astype(np.uint32).tobytes(), *[None] * 6))
+            own = np.repeat(~one, run)
+            many = np.repeat(_identity(low[~one], high[~one], part[~one]), run[~one])
+            out.append((chunk, chunk, None, None, None, None, many.tobytes(), slot[own].tobytes(), ids.tobytes(), rows.tobytes(), size.astype(np.int32).tobytes(), sigs.tobytes()))
+            return _emit(out)
 
         for batch in batches:
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, g, b in gram_sets(batch.column(1), n):
-                if docs and (held + len(g) > CHUNK_GRAMS or docs + j - i > CHUNK_DOCS):
+            doc, row = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
+            for i, j, g, b, sig in sets(batch.column(1)):
+                if docs and (grams + len(g) > CHUNK_GRAMS or docs + j - i > CHUNK_DOCS):
                     yield flush()
                 for a in range(0, j - i, CHUNK_DOCS):
                     z = min(a + CHUNK_DOCS, j - i)
                     if a:
                         yield flush()
-                    cut = b[a : z + 1]
-                    part = g[cut[0] : cut[-1]]
-                    grams.append(part)
-                    ids.append(doc[i + a : i + z].astype(np.int64))
-                    sizes.append(np.diff(cut))
-                    sigs.append(tx.set_signatures(part, cut - cut[0]))
-                    held, docs = held + len(part), docs + z - a
+                    held.append((g[b[a] : b[z]], doc[i + a : i + z], row[i + a : i + z], np.diff(b[a : z + 1]), sig[a:z]))
+                    grams, docs = grams + int(b[z] - b[a]), docs + z - a
         if docs:
             yield flush()
 
@@ -140,37 +160,39 @@ def _census(n: int, parts: int):
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In one hash range: keep the n-grams of two documents or more, with their number."""
-    ranges: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    ranges: dict[int, list[tuple]] = {}
     for batch in batches:
-        rows = batch.to_pylist()
-        if meta := [tuple(r.values()) for r in rows if r["keys"] is None]:
+        rows = [tuple(r.values()) for r in batch.to_pylist()]
+        if meta := [r for r in rows if r[2] is None]:
             yield _emit(meta)
         for r in rows:
-            if r["keys"] is not None:
-                ranges.setdefault(r["part"], []).append((r["chunk"], r["keys"], r["slots"]))
+            if r[2] is not None:
+                ranges.setdefault(r[0], []).append(r[1:6])
     for part in sorted(ranges):
         rows = ranges.pop(part)
-        keys = np.concatenate([np.frombuffer(r[1], np.uint32) for r in rows])
-        order = np.argsort(keys)
-        s = keys[order]
-        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
-        run = np.diff(edge)
-        df = np.empty(len(keys), np.uint16)
-        df[order] = np.repeat(np.minimum(run, 65535), run)
+        low, high, slots, many = ([np.frombuffer(r[c], t) for r in rows] for c, t in ((1, np.uint32), (2, np.uint16), (3, np.uint16), (4, np.uint32)))
+        key = np.concatenate([x.astype(np.uint64) | y.astype(np.uint64) << np.uint64(32) for x, y in zip(low, high)])
+        own = np.concatenate([np.concatenate([np.ones(len(x), np.int64), y]) for x, y in zip(slots, many)])
+        order = np.argsort(key)
+        s = key[order]
+        edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        df = np.empty(len(key), np.int64)
+        df[order] = np.repeat(np.add.reduceat(own[order], edge), np.diff(np.append(edge, len(s))))
+        df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
+        del key, own, order, s
         out, at = [], 0
-        for chunk, k, sl in rows:
-            m = len(k) // 4
-            d = df[at : at + m]
+        for (chunk, *_), x, y, sl in zip(rows, low, high, slots):
+            d = df[at : at + len(x)]
             keep = d > 1
             if keep.any():
-                out.append((part, chunk, keys[at : at + m][keep].tobytes(), np.frombuffer(sl, np.uint16)[keep].tobytes(), d[keep].tobytes(), None, None, None))
-            at += m
+                out.append((part, chunk, x[keep].tobytes(), y[keep].tobytes(), sl[keep[: len(sl)]].tobytes(), d[keep].tobytes(), *[None] * 6))
+            at += len(x)
         if out:
             yield _emit(out)
 
 
-SETS = "doc_id long, sig long, size int, prefix int, grams array<long>"
-_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("grams", pa.list_(pa.int64()))])
+SETS = "doc_id long, row long, sig long, size int, prefix int, grams array<long>"
+_SETS_ARROW = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("sig", pa.int64()), ("size", pa.int32()), ("prefix", pa.int32()), ("grams", pa.list_(pa.int64()))])
 
 
 def overlap_needed(size: np.ndarray, threshold: float) -> np.ndarray:
@@ -178,47 +200,65 @@ def overlap_needed(size: np.ndarray, threshold: float) -> np.ndarray:
     return np.ceil(threshold * size - 1e-9).astype(np.int64)
 
 
-def _prefixes(threshold: float):
+def _prefixes(threshold: float | None):
+    """Chunks put together again; without a threshold every document with a shared key stays."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         meta: dict[int, tuple] = {}
         parts: dict[int, list[tuple]] = {}
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["keys"] is None:
-                    meta[r["chunk"]] = (np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["sigs"], np.int64))
+            for r in (tuple(r.values()) for r in batch.to_pylist()):
+                if r[2] is None:
+                    meta[r[1]] = tuple(np.frombuffer(v, t) for v, t in zip(r[6:], (np.int64, np.uint16, np.int64, np.int64, np.int32, np.int64)))
                 else:
-                    parts.setdefault(r["chunk"], []).append((r["part"], r["keys"], r["slots"], r["dfs"]))
+                    parts.setdefault(r[1], []).append((r[0], *(np.frombuffer(v, t) for v, t in zip(r[2:6], (np.uint32, np.uint16, np.uint16, np.uint32)))))
         for chunk in sorted(parts):
-            ids, sizes, sigs = meta[chunk]
+            many, many_slots, ids, hashes, sizes, sigs = meta.pop(chunk)
             rows = parts.pop(chunk)
-            key = np.concatenate([np.frombuffer(r[1], np.uint32).astype(np.int64) | (r[0] << 32) for r in rows])
-            slot = np.concatenate([np.frombuffer(r[2], np.uint16) for r in rows])
-            df = np.concatenate([np.frombuffer(r[3], np.uint16) for r in rows])
+            known = [_identity(r[1], r[2], r[0]) for r in rows]
+            key = np.concatenate([*(k[: len(r[3])] for k, r in zip(known, rows)), many])
+            slot = np.concatenate([*(r[3] for r in rows), many_slots])
+            several, dfs = (np.concatenate([x[len(r[3]) :] for x, r in zip(v, rows)]) for v in (known, [r[4] for r in rows]))
+            order = np.argsort(several)
+            own = dfs[order][np.searchsorted(several[order], many)] if len(many) else np.zeros(0, np.uint32)
+            df = np.concatenate([*(r[4][: len(r[3])] for r in rows), own])
             shared = np.bincount(slot, minlength=len(sizes))
-            prefix = sizes - overlap_needed(sizes, threshold) + 1 - (sizes - shared)
+            prefix = shared if threshold is None else sizes - overlap_needed(sizes, threshold) + 1 - (sizes - shared)
             alive = prefix > 0
-            keep = alive[slot]
+            live = np.flatnonzero(alive & (sizes > 0))
+            order = live[np.lexsort((hashes[live], ids[live], sigs[live]))]
+            again = np.zeros(len(sizes), bool)
+            again[order[1:][sigs[order][1:] == sigs[order][:-1]]] = True  # a copy in the chunk leaves the n-grams to the first
+            keep = (alive & ~again)[slot]
             key, slot, df = key[keep], slot[keep], df[keep]
             order = np.lexsort((key, df, slot))
             key = key[order]
-            live = np.flatnonzero(alive & (sizes > 0))
+            prefix, shared = np.where(again, 0, prefix), np.where(again, 0, shared)
             ends = np.cumsum(shared[live])
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(key))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[live]), pa.array(sigs[live]), pa.array(sizes[live], pa.int32()), pa.array(prefix[live], pa.int32()), lists], schema=_SETS_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[live]), pa.array(hashes[live]), pa.array(sigs[live]), pa.array(sizes[live], pa.int32()), pa.array(prefix[live], pa.int32()), lists], schema=_SETS_ARROW)
 
     return run
 
 
-def candidate_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that may have a partner: (doc_id, sig, size, prefix, grams).
+def shared_keys(docs: DataFrame, sets, threshold: float | None) -> tuple[DataFrame, int]:
+    """The documents that may have a partner, with the keys they share: (doc_id, row, sig, size, prefix, grams), written; and the partitions to use.
+
+    ``row`` is a hash of the text as it is.  Of the copies in a chunk one has keys, the others have a prefix of 0.
+    """
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.xxhash64("text").alias("row")).where("doc_id is not null and text is not null")
+    parts = input_parts(own)
+    census = by_id(own.mapInArrow(_census(sets, parts), CENSUS), parts, "part").mapInArrow(_count, CENSUS)
+    return written(census.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), SETS), "sets"), parts
+
+
+def candidate_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
+    """The documents that may have a partner; see ``shared_keys``.
 
     ``grams`` are the n-grams that other documents have too, rarest first;
     ``size`` counts all; ``prefix`` is the number of ``grams`` in the prefix.
     """
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).where("doc_id is not null and text is not null")
-    parts = input_parts(own)
-    census = by_id(own.mapInArrow(_census(n, parts), CENSUS), parts, "part").mapInArrow(_count, CENSUS)
-    return census.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), SETS)
+    return shared_keys(docs, lambda column: gram_sets(column, n), threshold)
 
 
 def _blocked_products(doc: np.ndarray, col: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
@@ -270,14 +310,16 @@ def pairs_in_group(sizes: np.ndarray, grams: list[np.ndarray], prefix: np.ndarra
     keep = alive[doc]
     doc, gram, pos = new[doc[keep]], gram[keep], pos[keep]
     size, m = sizes[live].astype(np.float64), len(live)
-    alpha = np.ceil(threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-9)
+    alpha = np.ceil(threshold / (1 + threshold) * (size[:, None] + size[None, :]) - 1e-9).astype(np.float32)
     ok = np.triu((np.minimum(size[:, None], size[None, :]) >= threshold * np.maximum(size[:, None], size[None, :]) - 1e-9), 1)
     if prefix is not None:
         front = pos < prefix[live][doc]
         common = _blocked_products(*_compact(doc[front], gram[front]), m)
         rest = (need[live] - 1).astype(np.float64)
-        ok &= (common > 0) & (common + np.maximum(rest[:, None], rest[None, :]) >= alpha)
+        ok &= (common > 0) & (common + np.maximum(rest[:, None], rest[None, :]).astype(np.float32) >= alpha)
+        del common
     i, j = np.nonzero(ok)
+    del ok
     if not len(i):
         return none
     d, c = _compact(doc, gram)
@@ -317,97 +359,124 @@ def _roots(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     return root
 
 
-PAIRS = "doc_a long, doc_b long, jaccard double"
-_PAIRS_ARROW = pa.schema([("doc_a", pa.int64()), ("doc_b", pa.int64()), ("jaccard", pa.float64())])
+FOUND = "sig long, root long, links long"
+_FOUND_ARROW = pa.schema([("sig", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
 
 
-def _verify(threshold: float, forest: bool, use_prefix: bool = True):
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """Rows of one cell after the other; they come sorted by cell."""
+    now, rows = None, []
+    for batch in batches:
+        cell = [batch.column(k).to_numpy() for k in range(3)]
+        rest = [batch.column(k).to_numpy() for k in range(3, 8)]
+        lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (8, 9)]
+        for r in range(batch.num_rows):
+            key = tuple(c[r] for c in cell)
+            if key != now:
+                if len(rows) > 1:
+                    yield now, rows
+                now, rows = key, []
+            rows.append((*(v[r] for v in rest), *(v[o[r] : o[r + 1]].copy() for o, v in lists)))
+    if len(rows) > 1:
+        yield now, rows
+
+
+def _verify(threshold: float, use_prefix: bool = True):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict[tuple, list[tuple]] = {}
-        for batch in batches:
-            leader, ci, cj, side, rep, size, prefix = (batch.column(k).to_numpy() for k in range(7))
-            lists = [(batch.column(k).offsets.to_numpy(), batch.column(k).values.to_numpy()) for k in (7, 8)]
-            for r in range(batch.num_rows):
-                cells.setdefault((leader[r], ci[r], cj[r]), []).append((rep[r], size[r], prefix[r], side[r], *(v[o[r] : o[r + 1]] for o, v in lists)))
-        for (leader, ci, cj), rows in cells.items():
-            if len(rows) < 2:
-                continue
+        for (leader, ci, cj), rows in _cells(batches):
             rows.sort(key=lambda r: r[0])
-            rep, size, prefix, side = (np.array([r[k] for r in rows]) for k in range(4))
-            i, j, jac = pairs_in_group(size, [r[4] for r in rows], prefix if use_prefix else None, threshold)
+            sig, copies, size, prefix, side = (np.array([r[k] for r in rows]) for k in range(5))
+            i, j, _ = pairs_in_group(size, [r[5] for r in rows], prefix if use_prefix else None, threshold)
             if ci != cj:
                 keep = side[i] != side[j]
-                i, j, jac = i[keep], j[keep], jac[keep]
+                i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            met = [r[5][r[5] < leader] for r in rows]  # groups before this one in which a pair has met already
+            met = [r[6][r[6] < leader] for r in rows]  # groups before this one in which a pair has met already
             if any(map(len, met)):
                 d, c = _compact(np.repeat(np.arange(len(rows)), list(map(len, met))), np.concatenate(met))
                 if len(c):
                     first = _blocked_products(d, c, len(rows))[i, j] == 0
-                    i, j, jac = i[first], j[first], jac[first]
-            if forest:
-                root = _roots(i, j, len(rows))
-                j = np.flatnonzero(root != np.arange(len(rows)))
-                i, jac = root[j], np.ones(len(j))
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(rep[i]), pa.array(rep[j]), pa.array(jac)], schema=_PAIRS_ARROW)
+                    i, j = i[first], j[first]
+            if not len(i):
+                continue
+            links = np.bincount(i, copies[j], len(rows)) + np.bincount(j, copies[i], len(rows))
+            own = np.flatnonzero(links)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[own]), pa.array(sig[_roots(i, j, len(rows))[own]]), pa.array(links[own].astype(np.int64))], schema=_FOUND_ARROW)
 
     return run
 
 
 def leaders(meets: DataFrame) -> DataFrame:
-    """Groups to compare, (sig, leader), from (sig, key): all sets with a key in common meet at the smallest of them."""
-    w = Window.partitionBy("key")
-    led = meets.select("sig", F.min("sig").over(w).alias("leader"), F.max("sig").over(w).alias("most"))
-    return written(led.where("leader < most").select("sig", "leader").distinct(), "groups")
+    """Groups to compare, (sig, size, leader), from (sig, size, key): all sets with a key in common meet at the smallest of them.
+
+    Copies of a chunk have gone already.  Keys are reduced to their smallest and largest set before they are shuffled, and a hot
+    key's sets are joined with one row, which adaptive execution can split.
+    """
+    led = meets.groupBy("key").agg(F.min("sig").alias("leader"), F.max("sig").alias("most")).where("leader < most").select("key", "leader")
+    return written(meets.join(led, "key").select("sig", "size", "leader").distinct(), "groups")
 
 
-def pairs_of_groups(sets: DataFrame, led: DataFrame, threshold: float, forest: bool = False, use_prefix: bool = True) -> DataFrame:
-    """Verified pairs of set representatives.
+def linked_sets(sets: DataFrame, led: DataFrame, threshold: float, parts: int, use_prefix: bool = True, copies: DataFrame | None = None) -> DataFrame:
+    """(sig, root, links) of each set in each cell where it has a partner, from whole sets verified once per pair.
 
-    ``sets`` has (doc_id, sig, size, prefix, grams) and ``led`` the groups of ``leaders``.
-    With ``forest`` only as many pairs of each group as connect what is alike.
+    ``sets`` has (doc_id, row, sig, size, prefix, grams) and ``led`` the groups of ``leaders``.  Given ``copies``, (sig, copies),
+    ``sets`` has one row for each set.
     """
-    hot = led.groupBy("leader").count().where(F.col("count") > BLOCK).select("leader", F.ceil(F.col("count") / BLOCK).cast("int").alias("cuts"))
+    cuts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / CELL_GRAMS)).cast("int")
+    hot = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where((F.col("n") > BLOCK) | (F.col("grams") > CELL_GRAMS)).select("leader", cuts.alias("cuts"))
     seats = led.join(hot, "leader", "left").select("sig", F.struct("leader", F.coalesce("cuts", F.lit(1)).alias("cuts")).alias("seat"))
     own = seats.groupBy("sig").agg(F.array_sort(F.collect_set("seat")).alias("seats"))
-    reps = sets.groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("grams").alias("grams"))
-    placed = reps.join(own, "sig").select("*", F.col("seats.leader").alias("leaders"), F.explode("seats").alias("seat")).select("*", "seat.leader", "seat.cuts")
+    if copies is not None:
+        reps = sets.select("sig", "size", "prefix", "grams").join(copies, "sig").join(own, "sig").dropDuplicates(["sig"])
+    else:  # one of each set, found by its smallest row, so that no copies of a set travel with their n-grams
+        least = sets.groupBy("sig").agg(F.countDistinct("doc_id").alias("copies"), F.min(F.when(F.col("prefix") > 0, F.struct("doc_id", "row"))).alias("rep"))
+        chosen = least.join(own, "sig").select("sig", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.row").alias("row"), "seats")
+        reps = sets.where("prefix > 0").join(chosen, ["sig", "doc_id", "row"]).dropDuplicates(["sig"])
+    placed = reps.select("*", F.col("seats.leader").alias("leaders"), F.explode("seats").alias("seat")).select("*", "seat.leader", "seat.cuts")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    placed = placed.select("leader", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "rep", "size", "prefix", "grams", "leaders")
-    return placed.repartition("leader", "ci", "cj").mapInArrow(_verify(threshold, forest, use_prefix), PAIRS)
+    placed = placed.select("leader", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "sig", "copies", "size", "prefix", "side", "grams", "leaders")
+    return placed.repartition(parts, "leader", "ci", "cj").sortWithinPartitions("leader", "ci", "cj").mapInArrow(_verify(threshold, use_prefix), FOUND)
 
 
-def copies(sets: DataFrame) -> DataFrame:
-    """(smallest doc_id, other doc_id, 1.0) of the documents with the same n-gram set."""
-    rep = sets.groupBy("sig").agg(F.min("doc_id").alias("doc_a"), F.max("doc_id").alias("most")).where("doc_a < most").select("sig", "doc_a")
-    return sets.select("sig", F.col("doc_id").alias("doc_b")).join(rep, "sig").where("doc_a < doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).distinct()
+def classed(sets: DataFrame, found: DataFrame) -> DataFrame:
+    """(doc_id, row, sig, class_id, links) of every document with a link, from the links of the sets."""
+    found = written(found, "links")
+    roots = components(found.select(F.col("sig").alias("a"), F.col("root").alias("b")))
+    links = found.groupBy("sig").agg(F.sum("links").alias("links"))
+    near = written(links.join(roots, "sig", "left").select("sig", "links", F.coalesce("root", "sig").alias("root")), "near")
+    docs = sets.select("doc_id", "row", "sig").distinct()
+    own = docs.groupBy("sig").agg(F.min("doc_id").alias("least"), F.countDistinct("doc_id").alias("copies"))
+    own = own.join(near, "sig", "left").select("sig", "least", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "sig").alias("root"))
+    own = own.where("copies > 1 or links > 0 ")
+    first = own.groupBy("root").agg(F.min("least").alias("class_id"))
+    own = own.join(first, "root").select("sig", "class_id", (F.col("links") + F.col("copies") - 1).alias("links"))
+    return docs.join(own, "sig").select("doc_id", "row", "sig", "class_id", "links")
 
 
 def prefix_keys(sets: DataFrame) -> DataFrame:
-    return sets.select("sig", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("key"))
+    return sets.select("sig", "size", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("key"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs (doc_a < doc_b, jaccard) with a Jaccard similarity of ``threshold`` or more.
+    """(doc_id, class_id, links): one row for each document that is like another one.
 
-    Of documents with the same n-gram set only the smallest doc_id is paired
-    with others; the rest of them are each paired with it, at 1.0, so the result
-    stays in proportion to the copies and still says all.  An empty table, null
-    texts and texts without words give no pairs.
+    Two documents are linked if their n-gram sets have a Jaccard similarity of ``threshold`` or more;
+    ``links`` counts a document's partners, and ``class_id`` is the smallest doc_id of all that it is connected with.  Documents without a
+    link have no row.  An empty table, null texts and texts without words give no rows.
     """
-    sets = written(candidate_sets(docs, n, threshold), "sets")
-    return pairs_of_groups(sets, leaders(prefix_keys(sets)), threshold).unionByName(copies(sets))
+    sets, parts = candidate_sets(docs, n, threshold)
+    found = linked_sets(sets, leaders(prefix_keys(sets)), threshold, parts)
+    return classed(sets, found).select("doc_id", "sig", "class_id", "links").distinct().select("doc_id", "class_id", "links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(doc_id, root) of each node but the roots: the smallest doc_id of its connected component.
+    """(sig, root) of each node but the roots, from edges (a, b): the smallest node of its connected component.
 
     Alternates large-star and small-star steps; every step is written to the shared
-    folder, and the number of steps grows with the logarithm of the size.
+    folder, and the number of steps grows with the logarithm of the size.  An edge of a node with itself says nothing.
     """
-    now = written(edges.select(F.greatest("doc_a", "doc_b").alias("u"), F.least("doc_a", "doc_b").alias("v")).where("u <> v").distinct(), "edges")
+    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -418,27 +487,31 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(small, "edges")
         last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == last:
-            return now.select(F.col("u").alias("doc_id"), F.col("v").alias("root"))
+            return now.select(F.col("u").alias("sig"), F.col("v").alias("root"))
 
 
 def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
     """The documents without those that are like one of a smaller doc_id, directly or through others.
 
-    Of each connected group of like documents the smallest doc_id stays, with all
-    its columns.  A row that repeats a doc_id and its text goes too.  Documents
+    Of each class the smallest doc_id stays, with all
+    its columns (the smallest hash of the text, if it has several in the class).  Rows that repeat a doc_id and its text are one.  Documents
     without a doc_id or without words stay.
     """
-    sets = written(candidate_sets(docs, n, threshold), "sets")
-    edges = pairs_of_groups(sets, leaders(prefix_keys(sets)), threshold, True).unionByName(copies(sets))
-    gone = written(components(edges).select("doc_id").distinct(), "gone")
-    repeated = sets.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    kept = docs.join(checked_broadcast(gone, gone.count() * 8), "doc_id", "left_anti").select(*docs.columns)
+    sets, parts = candidate_sets(docs, n, threshold)
+    found = classed(sets, linked_sets(sets, leaders(prefix_keys(sets)), threshold, parts))
+    found = written(found.select("doc_id", "row", "class_id"), "classes")
+    kept_rows = found.where("doc_id = class_id").groupBy("class_id").agg(F.min("row").alias("kept"))
+    gone = found.join(kept_rows, "class_id").where("doc_id <> class_id or row <> kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
+    gone = written(gone, "gone")
+    own = docs.select("*", F.xxhash64("text").alias("__row"), F.col("doc_id").cast("long").alias("__id"))
+    kept = own.join(checked_broadcast(gone, gone.count() * RELATION_ROW), (F.col("__id") == F.col("gone_id")) & (F.col("__row") == F.col("gone_row")), "left_anti")
+    repeated = sets.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("two_id"), F.col("row").alias("two_row"))
     if not repeated.isEmpty():
         twice = written(repeated, "repeated")
-        once = checked_broadcast(twice, twice.count() * 8)
-        again = kept.join(once, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-        kept = kept.join(once, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
-    return kept
+        once, same = checked_broadcast(twice, twice.count() * RELATION_ROW), (F.col("__id") == F.col("two_id")) & (F.col("__row") == F.col("two_row"))
+        again = kept.join(once, same, "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(once, same, "left_anti").unionByName(again)
+    return kept.select(*docs.columns)
 
 
 def checked_broadcast(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:

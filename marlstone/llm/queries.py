@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marlstone.llm import secret_scan, url_filters
 from marlstone.llm.bpe import bpe_encode
-from marlstone.llm.fingerprints import NEAR, NEAR_BANDS, NEAR_ROWS, minhash_pairs
+from marlstone.llm.fingerprints import NEAR, NEAR_BANDS, NEAR_ROWS, minhash_classes
 from marlstone.llm.ngram_join import ngram_jaccard_join
 from marlstone.llm.packing import best_fit_packing
 from marlstone.llm.quality_classifier import quality_scores
@@ -40,7 +40,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash_pairs(_documents(spark, sf_dir), bands=NEAR_BANDS, rows=NEAR_ROWS, threshold=NEAR)
+    return minhash_classes(_documents(spark, sf_dir), bands=NEAR_BANDS, rows=NEAR_ROWS, threshold=NEAR)
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,14 +108,19 @@ b AS (SELECT doc_id, p, is_first, coalesce(p > lag(p) OVER o + 50, true)::INT AS
 k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, is_first ORDER BY p) AS island FROM b)
 SELECT doc_id, min(p)::INT AS start_word, (max(p) + 50)::INT AS end_word, is_first FROM k GROUP BY doc_id, is_first, island""",
     "op7_ngram_jaccard_join": f"""
-WITH w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
         ELSE [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS g FROM w WHERE len(w) > 0),
 s AS (SELECT doc_id, count(*) AS n, list(g ORDER BY g) AS gs FROM g GROUP BY doc_id),
 r AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY gs) AS rep FROM s),
 gr AS (SELECT g.doc_id, g.g, r.n FROM g JOIN r ON g.doc_id = r.doc_id AND r.rep = r.doc_id),
-p AS (SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, count(*) AS o, any_value(a.n) AS x, any_value(b.n) AS y
-      FROM gr a JOIN gr b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL)
-SELECT doc_a, doc_b, o / (x + y - o)::DOUBLE AS jaccard FROM p WHERE o / (x + y - o)::DOUBLE >= 0.6
-UNION ALL SELECT rep, doc_id, 1.0::DOUBLE FROM r WHERE rep <> doc_id""",
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o, any_value(a.n) AS x, any_value(b.n) AS y
+      FROM gr a JOIN gr b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE o / (x + y - o)::DOUBLE >= 0.6),
+c AS (SELECT rep, count(*) AS copies FROM r GROUP BY rep),
+l AS (SELECT e.a AS rep, sum(c.copies) AS links FROM e JOIN c ON c.rep = e.b GROUP BY e.a),
+t(node, root) AS (SELECT a, a FROM e UNION SELECT e.b, t.root FROM t JOIN e ON e.a = t.node WHERE t.root < e.b),
+k AS (SELECT node, min(root) AS root FROM t GROUP BY node)
+SELECT doc_id, coalesce(k.root, r.rep) AS class_id, (c.copies - 1 + coalesce(l.links, 0))::BIGINT AS links
+FROM r JOIN c USING (rep) LEFT JOIN l USING (rep) LEFT JOIN k ON k.node = r.rep WHERE c.copies - 1 + coalesce(l.links, 0) > 0""",
 }

@@ -1,13 +1,13 @@
 """N-gram join, fingerprints and repeated passages against brute force."""
 
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pytest
 
 from marlstone.llm import ngram_join, queries, suffix_dedup
-from marlstone.llm.fingerprints import minhash_pairs
+from marlstone.llm.fingerprints import minhash_classes
 from tests.llm.test_text import words_of
 
 SCHEMA = "doc_id long, text string"
@@ -30,33 +30,47 @@ def corpus(seed=5, groups=12):
 
 
 def gram_sets(rows, n=3):
-    out = {}
+    """Documents as (doc_id, n-gram set), with the texts they have."""
+    out = defaultdict(set)
     for i, t in rows:
         w = words_of(t and t.lower())
         if i is not None and w:
-            out[i] = frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))
+            out[i, frozenset(tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1)))].add(t)
     return out
 
 
-def brute_pairs(rows, t, n=3):
-    sets = gram_sets(rows, n)
-    rep = {}
-    for i in sorted(sets):
-        rep.setdefault(sets[i], i)
-    out = {(rep[s], i): 1.0 for i, s in sets.items() if rep[s] != i}
-    for a, b in combinations(sorted(rep.values()), 2):
-        j = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-        if j >= t:
-            out[a, b] = j
-    return out
+def brute_classes(rows, t, n=3):
+    """(doc_id, class_id, links) and the (doc_id, set) of every document with a link."""
+    docs = sorted(gram_sets(rows, n), key=lambda d: (d[0], sorted(d[1])))
+    links, parent = Counter(), {d: d for d in docs}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(docs, 2):
+        if len(a[1] & b[1]) / len(a[1] | b[1]) >= t:
+            links[a] += 1
+            links[b] += 1
+            x, y = sorted((find(a), find(b)), key=lambda d: (d[0], sorted(d[1])))
+            parent[y] = x
+    return [(d[0], find(d)[0], k) for d, k in links.items()], {d: find(d) for d in docs}
 
 
 @pytest.mark.parametrize("t", [0.4, 0.6, 0.9])
 def test_join_is_exact(spark, t):
     rows = corpus()
     got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA), threshold=t).collect()
-    assert len({(r.doc_a, r.doc_b) for r in got}) == len(got)
-    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == brute_pairs(rows, t)
+    assert sorted(map(tuple, got)) == sorted(brute_classes(rows, t)[0])
+
+
+def test_a_repeated_id_with_two_texts_is_two_documents(spark):
+    rows = [(1, "a b c d e f g"), (2, "a b c d e f g"), (2, "p q r s t u v w"), (3, "p q r s t u v w"), (4, "unlike all the others here")]
+    got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 1)]
+    kept = ngram_join.one_per_group(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(map(tuple, kept)) == [rows[0], rows[2], rows[4]]
 
 
 def test_large_groups_are_cut_into_cells(spark, monkeypatch):
@@ -69,47 +83,59 @@ def test_large_groups_are_cut_into_cells(spark, monkeypatch):
         t[rnd.randrange(60)] = f"x{i}"
         rows.append((i, " ".join(t)))
     got = ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, SCHEMA), threshold=0.6).collect()
-    assert {(r.doc_a, r.doc_b): pytest.approx(r.jaccard) for r in got} == brute_pairs(rows, 0.6) and len(got) == 300
+    assert sorted(map(tuple, got)) == [(i, 0, 24) for i in range(25)]
 
 
-def test_one_per_group_keeps_the_smallest_of_each_component(spark):
-    rows = corpus(9)
-    parent = {}
+@pytest.mark.parametrize("grams", [40, 2_000_000])
+def test_copies_in_and_across_chunks(spark, monkeypatch, grams):
+    """A third of all rows are one text, others are copies of it but for a word."""
+    import pyarrow as pa
 
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(30)]
+    rows = [(i, " ".join(base)) for i in range(0, 90, 3)] + [(i, " ".join(base[:20] + [f"x{i}"] + base[21:])) for i in range(1, 30, 3)] + [(i, " ".join(f"u{rnd.random()}" for _ in range(20))) for i in range(2, 90, 3)]
+    monkeypatch.setattr(ngram_join, "CHUNK_GRAMS", grams)
+    monkeypatch.setattr(ngram_join.tx, "SLICE_BYTES", 300)
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part]), pa.array([hash(r[1]) for r in part])], names=["doc_id", "text", "row"]) for part in (rows[:25], rows[25:])]
+
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 3)
+
+    monkeypatch.setattr("pyspark.TaskContext", Task)
+    sent = list(ngram_join._census(lambda c: ngram_join.gram_sets(c, 3), 5)(iter(batches)))
+    back = [x for k in range(5) for x in ngram_join._count(b.filter(pa.array([r["part"] % 5 == k for r in b.to_pylist()])) for b in sent)]
+    got = [r for b in ngram_join._prefixes(0.6)(iter(back)) for r in b.to_pylist()]
+    assert {r["doc_id"] for r in got} == {d for d, _, _ in brute_classes(rows, 0.6)[0]}
+    assert all(r["size"] == 28 and r["prefix"] in (0, 28 - 17 + 1 - (28 - len(r["grams"]))) for r in got)
+    assert len({tuple(r["grams"]) for r in got if r["prefix"] and r["doc_id"] % 3 == 0}) == 1
 
-    for a, b in brute_pairs(rows, 0.6):
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
+
+def test_one_per_group_keeps_the_smallest_of_each_component(spark):
+    rows = corpus(9)
+    sets, roots = gram_sets(rows), brute_classes(rows, 0.6)[1]
     kept = ngram_join.one_per_group(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA + ", sig int, root string"), threshold=0.6)
     assert kept.columns == ["doc_id", "text", "sig", "root"]
-    want = sorted({r for r in rows if r[0] is None or find(r[0]) == r[0]}, key=repr)
+    stay = {(d[0], t) for d, r in roots.items() if d == r for t in sets[d]}
+    want = sorted({r for r in rows if r[0] is None or r in stay or not words_of(r[1])}, key=repr)
     assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=repr) == want
 
 
 def test_components_of_a_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "doc_a long, doc_b long")
-    got = {r.doc_id: r.root for r in ngram_join.components(edges).collect()}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    got = {r.sig: r.root for r in ngram_join.components(edges).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-def test_fingerprints_find_what_is_alike(spark):
+@pytest.mark.parametrize("t", [0.7, 0.5])
+def test_fingerprints_find_what_is_alike(spark, tmp_path, t):
     rows = corpus(11, 40)
-    want = brute_pairs(rows, 0.7)
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in minhash_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert all(want[k] == pytest.approx(v) for k, v in got.items())
-    assert len(got) >= 0.9 * len(want)
-
-
-def test_fingerprint_query_finds_near_copies_from_a_half_on(spark, tmp_path):
-    rows = corpus(12, 60)
     spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "documents.parquet"))
-    want = {k: v for k, v in brute_pairs(rows, 0.5).items() if v < 0.7}
-    got = {(r.doc_a, r.doc_b): r.jaccard for r in queries.op4_document_fingerprints(spark, str(tmp_path)).collect()}
-    assert len(want) >= 10 and sum(got.get(k) == pytest.approx(v) for k, v in want.items()) >= 0.9 * len(want)
+    want = {d: k for d, _, k in brute_classes(rows, t)[0]}
+    found = minhash_classes(spark.createDataFrame(rows, SCHEMA)) if t == 0.7 else queries.op4_document_fingerprints(spark, str(tmp_path))
+    got = {r.doc_id: r.links for r in found.collect()}
+    assert all(v <= want[k] for k, v in got.items())
+    assert sum(got.values()) >= 0.9 * sum(want.values()) and len(got) >= 0.9 * len(want)
 
 
 def brute_spans(rows, depth):
@@ -190,7 +216,7 @@ def test_cutting_leaves_one_of_each_passage(spark):
     assert all(r.n_chars in (-1, len(r.text or "")) for r in got.collect())
 
 
-@pytest.mark.parametrize("make", [ngram_join.ngram_jaccard_join, minhash_pairs, suffix_dedup.repeated_spans, suffix_dedup.without_repeats, ngram_join.one_per_group])
+@pytest.mark.parametrize("make", [ngram_join.ngram_jaccard_join, minhash_classes, suffix_dedup.repeated_spans, suffix_dedup.without_repeats, ngram_join.one_per_group])
 def test_empty_tables_and_clashing_columns(spark, make):
     assert make(spark.createDataFrame([], ODD)).count() == 0
     odd = spark.createDataFrame([(1, "a b c d e", None, "s", 1, None, 0, 9, None), (None, None, None, None, None, None, None, None, None), (2, "x" * 300000, "", "", 0, 0.0, 0, 0, "")], ODD)

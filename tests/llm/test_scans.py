@@ -14,7 +14,7 @@ from marlstone.llm import bpe, ngram_join, packing, quality_classifier, secret_s
 from marlstone.llm import url_filters as uf
 from marlstone.llm.queries import ORACLE, QUERIES
 from tests.compare import connect, differences
-from tests.llm.test_duplicates import brute_pairs, brute_spans
+from tests.llm.test_duplicates import brute_classes, brute_spans
 from tests.llm.test_packing import brute as brute_packing
 from tests.llm.test_text import words_of
 
@@ -134,17 +134,8 @@ def test_every_stage_is_the_brute_force_one(spark, sf_dir):
     assert sorted(first) == sorted(kept) and first[0].asDict().keys() == dict.fromkeys(names).keys()
 
     second = stages["n-gram Jaccard join"](spark, spark.createDataFrame(kept, docs.schema), sf_dir).collect()
-    parent = {}
-
-    def find(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in brute_pairs([(r.doc_id, r.text) for r in kept], ngram_join.THRESHOLD):
-        a, b = sorted((find(a), find(b)))
-        parent[b] = a
-    want = [r for r in kept if find(r.doc_id) == r.doc_id]
+    classes = {d: c for d, c, _ in brute_classes([(r.doc_id, r.text) for r in kept], ngram_join.THRESHOLD)[0]}
+    want = [r for r in kept if classes.get(r.doc_id, r.doc_id) == r.doc_id]
     assert sorted(second) == sorted(want)
 
     third = stages["suffix-array dedup"](spark, spark.createDataFrame(want, docs.schema), sf_dir).collect()
