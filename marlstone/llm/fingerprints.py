@@ -72,7 +72,7 @@ def _banded(n: int, bands: int, rows: int):
     """The band keys of each text, in the form of sets for the census."""
     a, b = permutations(bands * rows)
 
-    def sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    def sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         raw, offsets = tx.text_buffers(column)
         for i, j in tx.slices(offsets, SLICE):
             w = tx.Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
@@ -80,7 +80,7 @@ def _banded(n: int, bands: int, rows: int):
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
             keys = band_keys(signatures(g, np.append(bounds[full], bounds[-1]), a, b), bands, rows) if len(full) else np.zeros((0, bands), np.int64)
-            yield i, j, keys.ravel().view(np.uint64), np.concatenate([[0], np.cumsum((sizes > 0) * bands)]), tx.set_signatures(g, bounds)
+            yield i, j, keys.ravel().view(np.uint64), np.concatenate([[0], np.cumsum((sizes > 0) * bands)]), tx.set_signatures(g, bounds), sizes
 
     return sets
 
@@ -89,8 +89,8 @@ def _shingled(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, rows = batch.column(0), batch.column(2)
-            for i, j, g, bounds, sigs in gram_sets(batch.column(1), n):
-                size = pa.array(np.diff(bounds), pa.int32())
+            for i, j, g, bounds, sigs, sizes in gram_sets(batch.column(1), n):
+                size = pa.array(sizes, pa.int32())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), rows.slice(i, j - i), pa.array(sigs), size, size, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(g.astype(np.int64)))], schema=_SETS_ARROW)
 
     return run
@@ -103,11 +103,11 @@ def minhash_classes(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows:
     all that a document is connected with.  Documents without a link have no row.
     """
     signed, parts = shared_keys(docs, _banded(n, bands, rows), None)
-    led = leaders(signed.select("sig", "size", F.explode("grams").alias("key")))
+    led = leaders(signed.select("sig", F.explode("grams").alias("key")))
     reps = signed.groupBy("sig").agg(F.min(F.struct("doc_id", "row")).alias("rep")).join(led, "sig", "left_semi").select(F.col("rep.doc_id").alias("rep_id"), F.col("rep.row").alias("rep_row"))
     reps = written(reps.distinct(), "representatives")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.xxhash64("text").alias("row")).where("doc_id is not null and text is not null")
     own = own.join(checked_broadcast(reps, reps.count() * RELATION_ROW), (F.col("doc_id") == F.col("rep_id")) & (F.col("row") == F.col("rep_row")), "left_semi")
     copies = signed.groupBy("sig").agg(F.countDistinct("doc_id").alias("copies"))
     sets = own.select("doc_id", "text", "row").mapInArrow(_shingled(n), SETS)
-    return classed(signed, linked_sets(sets, led, threshold, parts, False, copies)).select("doc_id", "sig", "class_id", "links").distinct().select("doc_id", "class_id", "links")
+    return classed(signed, linked_sets(sets, led, threshold, parts, False, copies, signed)).select("doc_id", "sig", "class_id", "links").distinct().select("doc_id", "class_id", "links")

@@ -80,13 +80,13 @@ def _column(values: list, kind: pa.DataType) -> pa.Array:
     return pa.array(values, kind)
 
 
-def gram_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, last row, distinct n-gram hashes, bounds, signatures of the sets) for each slice of a text column."""
+def gram_sets(column: pa.Array, n: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, last row, distinct n-gram hashes, bounds, signatures of the sets, their sizes) for each slice of a text column."""
     raw, offsets = tx.text_buffers(column)
     for i, j in tx.slices(offsets):
         w = tx.Words(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
         g, b = tx.distinct(*tx.ngrams(w.hashes(), w.bounds, n))
-        yield i, j, g, b, tx.set_signatures(g, b)
+        yield i, j, g, b, tx.set_signatures(g, b), np.diff(b)
 
 
 _PARTS = ("low", "high", "slots", "dfs", "many", "many_slots", "ids", "rows", "sizes", "sigs")
@@ -108,7 +108,7 @@ def _identity(low: np.ndarray, high: np.ndarray, part: np.ndarray | int) -> np.n
 
 
 def _census(sets, parts: int):
-    """``sets`` makes (first row, last row, keys, bounds, signatures) from a text column."""
+    """``sets`` makes (first row, last row, keys, bounds, signatures, sizes) from a text column; the sizes are those of the sets that the keys stand for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -120,9 +120,9 @@ def _census(sets, parts: int):
         def flush() -> pa.RecordBatch:
             nonlocal held, grams, docs, count
             chunk = (task << 24) + count
-            h, ids, rows, size, sigs = (np.concatenate([x[c] for x in held]) for c in range(5))
+            h, ids, rows, keys, sigs, size = (np.concatenate([x[c] for x in held]) for c in range(6))
             held, grams, docs, count = [], 0, 0, count + 1
-            slot = np.repeat(np.arange(len(size), dtype=np.uint16), size)
+            slot = np.repeat(np.arange(len(keys), dtype=np.uint16), keys)
             order = np.argsort(h, kind="stable")  # ranges are in the order of the hash
             h, slot = h[order], slot[order]
             edge = np.flatnonzero(np.concatenate([np.ones(min(len(h), 1), bool), h[1:] != h[:-1]]))
@@ -136,21 +136,20 @@ def _census(sets, parts: int):
             for p, a, z in zip(found, starts, np.append(starts[1:], len(part))):
                 s, m = one[a:z], ~one[a:z]  # n-grams of one document of the chunk come first
                 out.append((int(p), chunk, np.concatenate([low[a:z][s], low[a:z][m]]).tobytes(), np.concatenate([high[a:z][s], high[a:z][m]]).tobytes(), first[a:z][s].tobytes(), run[a:z][m].astype(np.uint32).tobytes(), *[None] * 6))
-            own = np.repeat(~one, run)
-            many = np.repeat(_identity(low[~one], high[~one], part[~one]), run[~one])
-            out.append((chunk, chunk, None, None, None, None, many.tobytes(), slot[own].tobytes(), ids.tobytes(), rows.tobytes(), size.astype(np.int32).tobytes(), sigs.tobytes()))
+            own = np.repeat(~one, run)  # they come back in the same order
+            out.append((chunk, chunk, None, None, None, None, run[~one].astype(np.uint16).tobytes(), slot[own].tobytes(), ids.tobytes(), rows.tobytes(), size.astype(np.int32).tobytes(), sigs.tobytes()))
             return _emit(out)
 
         for batch in batches:
             doc, row = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), batch.column(2).to_numpy().astype(np.int64)
-            for i, j, g, b, sig in sets(batch.column(1)):
+            for i, j, g, b, sig, weight in sets(batch.column(1)):
                 if docs and (grams + len(g) > CHUNK_GRAMS or docs + j - i > CHUNK_DOCS):
                     yield flush()
                 for a in range(0, j - i, CHUNK_DOCS):
                     z = min(a + CHUNK_DOCS, j - i)
                     if a:
                         yield flush()
-                    held.append((g[b[a] : b[z]], doc[i + a : i + z], row[i + a : i + z], np.diff(b[a : z + 1]), sig[a:z]))
+                    held.append((g[b[a] : b[z]], doc[i + a : i + z], row[i + a : i + z], np.diff(b[a : z + 1]), sig[a:z], weight[a:z]))
                     grams, docs = grams + int(b[z] - b[a]), docs + z - a
         if docs:
             yield flush()
@@ -178,7 +177,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
         df = np.empty(len(key), np.int64)
         df[order] = np.repeat(np.add.reduceat(own[order], edge), np.diff(np.append(edge, len(s))))
-        df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32)
+        df = np.minimum(df, 0xFFFFFFFF).astype(np.uint32 if df.max() > 0xFFFF else np.uint16)
         del key, own, order, s
         out, at = [], 0
         for (chunk, *_), x, y, sl in zip(rows, low, high, slots):
@@ -209,19 +208,18 @@ def _prefixes(threshold: float | None):
         for batch in batches:
             for r in (tuple(r.values()) for r in batch.to_pylist()):
                 if r[2] is None:
-                    meta[r[1]] = tuple(np.frombuffer(v, t) for v, t in zip(r[6:], (np.int64, np.uint16, np.int64, np.int64, np.int32, np.int64)))
+                    meta[r[1]] = tuple(np.frombuffer(v, t) for v, t in zip(r[6:], (np.uint16, np.uint16, np.int64, np.int64, np.int32, np.int64)))
                 else:
-                    parts.setdefault(r[1], []).append((r[0], *(np.frombuffer(v, t) for v, t in zip(r[2:6], (np.uint32, np.uint16, np.uint16, np.uint32)))))
+                    wide = len(r[5]) == len(r[2])
+                    parts.setdefault(r[1], []).append((r[0], *(np.frombuffer(v, t) for v, t in zip(r[2:6], (np.uint32, np.uint16, np.uint16, np.uint32 if wide else np.uint16)))))
         for chunk in sorted(parts):
             many, many_slots, ids, hashes, sizes, sigs = meta.pop(chunk)
-            rows = parts.pop(chunk)
+            rows = sorted(parts.pop(chunk), key=lambda r: r[0])
             known = [_identity(r[1], r[2], r[0]) for r in rows]
-            key = np.concatenate([*(k[: len(r[3])] for k, r in zip(known, rows)), many])
-            slot = np.concatenate([*(r[3] for r in rows), many_slots])
             several, dfs = (np.concatenate([x[len(r[3]) :] for x, r in zip(v, rows)]) for v in (known, [r[4] for r in rows]))
-            order = np.argsort(several)
-            own = dfs[order][np.searchsorted(several[order], many)] if len(many) else np.zeros(0, np.uint32)
-            df = np.concatenate([*(r[4][: len(r[3])] for r in rows), own])
+            key = np.concatenate([*(k[: len(r[3])] for k, r in zip(known, rows)), np.repeat(several, many)])
+            slot = np.concatenate([*(r[3] for r in rows), many_slots])
+            df = np.concatenate([*(r[4][: len(r[3])] for r in rows), np.repeat(dfs, many)])
             shared = np.bincount(slot, minlength=len(sizes))
             prefix = shared if threshold is None else sizes - overlap_needed(sizes, threshold) + 1 - (sizes - shared)
             alive = prefix > 0
@@ -408,23 +406,24 @@ def _verify(threshold: float, use_prefix: bool = True):
 
 
 def leaders(meets: DataFrame) -> DataFrame:
-    """Groups to compare, (sig, size, leader), from (sig, size, key): all sets with a key in common meet at the smallest of them.
+    """Groups to compare, (sig, leader), from (sig, key): all sets with a key in common meet at the smallest of them.
 
     Copies of a chunk have gone already.  Keys are reduced to their smallest and largest set before they are shuffled, and a hot
     key's sets are joined with one row, which adaptive execution can split.
     """
     led = meets.groupBy("key").agg(F.min("sig").alias("leader"), F.max("sig").alias("most")).where("leader < most").select("key", "leader")
-    return written(meets.join(led, "key").select("sig", "size", "leader").distinct(), "groups")
+    return written(meets.join(led, "key").select("sig", "leader").distinct(), "groups")
 
 
-def linked_sets(sets: DataFrame, led: DataFrame, threshold: float, parts: int, use_prefix: bool = True, copies: DataFrame | None = None) -> DataFrame:
+def linked_sets(sets: DataFrame, led: DataFrame, threshold: float, parts: int, use_prefix: bool = True, copies: DataFrame | None = None, sized: DataFrame | None = None) -> DataFrame:
     """(sig, root, links) of each set in each cell where it has a partner, from whole sets verified once per pair.
 
     ``sets`` has (doc_id, row, sig, size, prefix, grams) and ``led`` the groups of ``leaders``.  Given ``copies``, (sig, copies),
-    ``sets`` has one row for each set.
+    ``sets`` has one row for each set, and ``sized`` tells the sizes without making them.
     """
     cuts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("grams") / CELL_GRAMS)).cast("int")
-    hot = led.groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where((F.col("n") > BLOCK) | (F.col("grams") > CELL_GRAMS)).select("leader", cuts.alias("cuts"))
+    sizes = (sets if sized is None else sized).where("prefix > 0").groupBy("sig").agg(F.max("size").alias("size"))
+    hot = led.join(sizes, "sig").groupBy("leader").agg(F.count("*").alias("n"), F.sum("size").alias("grams")).where((F.col("n") > BLOCK) | (F.col("grams") > CELL_GRAMS)).select("leader", cuts.alias("cuts"))
     seats = led.join(hot, "leader", "left").select("sig", F.struct("leader", F.coalesce("cuts", F.lit(1)).alias("cuts")).alias("seat"))
     own = seats.groupBy("sig").agg(F.array_sort(F.collect_set("seat")).alias("seats"))
     if copies is not None:
@@ -455,7 +454,7 @@ def classed(sets: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def prefix_keys(sets: DataFrame) -> DataFrame:
-    return sets.select("sig", "size", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("key"))
+    return sets.select("sig", F.explode(F.slice("grams", F.lit(1), F.col("prefix"))).alias("key"))
 
 
 def ngram_jaccard_join(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> DataFrame:
