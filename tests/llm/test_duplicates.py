@@ -184,17 +184,31 @@ def test_spans_are_the_repeated_windows(spark, depth):
     assert sorted(map(tuple, got)) == sorted(brute_spans(rows, depth))
 
 
-def test_chunks_may_cut_documents(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "CHUNK", 16)
+@pytest.mark.parametrize("chunk", [16, 90, 1 << 20])
+def test_chunks_may_cut_documents(monkeypatch, chunk):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
     rows = passages(4)
     run = suffix_dedup._suffixes(8, 3)
     import pyarrow as pa
 
     keep = [(i, t or "", 0) for i, t in rows if i is not None]
     batch = pa.RecordBatch.from_arrays([pa.array([r[k] for r in keep], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64()))], names=["doc_id", "text", "crc"])
-    found = list(suffix_dedup._groups(3)(iter(list(run(iter([batch]))))))
-    spans = [tuple(r.values()) for b in suffix_dedup._spans(8)(iter(found)) for r in b.to_pylist()]
+    sent = list(run(iter([batch])))
+    places = sum(len(r["head"] or b"") // 3 for b in sent for r in b.to_pylist())
+    found = list(suffix_dedup._groups(3)(iter(sent)))
+    ids = [[r["part"] for r in b.to_pylist()] for b in found]
+    spans = [tuple(r.values()) for k in range(3) for b in suffix_dedup._spans(8)(b.filter(pa.array([p == k for p in i])) for b, i in zip(found, ids)) for r in b.to_pylist()]
     assert sorted((s[0], s[2], s[3], s[4]) for s in spans) == sorted(brute_spans([(i, t) for i, t, _ in keep], 8))
+    if chunk > 90:  # one entry for each window of the chunk
+        assert places == len({tuple(words_of(t)[p : p + 8]) for _, t, _ in keep for p in range(len(words_of(t)) - 7)})
+
+
+def test_a_passage_of_half_of_all_documents(spark):
+    rnd = random.Random(3)
+    hot = " ".join(f"h{i}" for i in range(12))
+    rows = [(i, f"a{i} b{i} {hot} c{i}" if i % 2 else " ".join(f"u{rnd.random()}" for _ in range(15))) for i in range(200)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, SCHEMA).repartition(5), 8).collect()
+    assert sorted(map(tuple, got)) == sorted((i, 2, 14, i == 1) for i in range(1, 200, 2))
 
 
 def test_cutting_leaves_one_of_each_passage(spark):
