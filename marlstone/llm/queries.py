@@ -51,8 +51,9 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_findings(_documents(spark, sf_dir))
+def op6_secret_scans(spark: SparkSession, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """``ledger`` is the folder of the ledger (see ``secret_scan`` for what holds without it)."""
+    return secret_scan.secret_findings(_documents(spark, sf_dir), secret_scan.Ledger(spark, ledger))
 
 
 def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +80,6 @@ QUERIES = {
 _WORDS = r"regexp_extract_all(lower(text), '[^ \t\n\x0b\f\r]+')"
 
 
-
 def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -87,9 +87,19 @@ def _quoted(s: str) -> str:
 _GLOBS = ", ".join(f"({k}, {_quoted(url_filters.regex(r))})" for k, r in enumerate(url_filters.RULES))
 
 ORACLE = {
-    "op6_secret_scans": " UNION ".join(
-        f"SELECT doc_id, {_quoted(r.name)} AS rule, {r.version} AS version, sha256(unnest(regexp_extract_all(text, {_quoted(r.pattern)}))) AS secret_sha256 FROM documents WHERE text IS NOT NULL" for r in secret_scan.RULES
-    ),
+    "op6_secret_scans": r"""
+WITH d AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+f AS (
+SELECT doc_id, 'aws_access_key' AS rule, 1 AS version, unnest(regexp_extract_all(text, '\b(AKIA|ASIA)[A-Z0-9]{16}\b')) AS s FROM d
+UNION ALL SELECT doc_id, 'github_token', 2, unnest(regexp_extract_all(text, '\b(ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36}[a-zA-Z0-9]*')) FROM d
+UNION ALL SELECT doc_id, 'slack_token', 2, unnest(regexp_extract_all(text, '\bxox(a|b|p|r|s)-[-a-zA-Z0-9]{10}[-a-zA-Z0-9]*')) FROM d
+UNION ALL SELECT doc_id, 'google_api_key', 2, unnest(regexp_extract_all(text, '\bAIza[-_a-zA-Z0-9]{35}[-_a-zA-Z0-9]*')) FROM d
+UNION ALL SELECT doc_id, 'payment_key', 2, unnest(regexp_extract_all(text, '\b(pk|rk|sk)_(live|test)_[a-zA-Z0-9]{16}[a-zA-Z0-9]*')) FROM d
+UNION ALL SELECT doc_id, 'json_web_token', 1, unnest(regexp_extract_all(text, '\beyJ[-_a-zA-Z0-9]{8,}[.]eyJ[-_a-zA-Z0-9]{8,}[.][-_a-zA-Z0-9]{8,}')) FROM d
+UNION ALL SELECT doc_id, 'private_key', 2, unnest(regexp_extract_all(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----(.*?-----END [A-Z ]*PRIVATE KEY-----|[a-zA-Z0-9+/= \t\n\x0b\f\r]*)')) FROM d
+UNION ALL SELECT doc_id, 'url_password', 2, unnest(regexp_extract_all(text, '[a-z][-+.a-z0-9]{0,30}://[^:/@ \t\n\x0b\f\r]+:[^/@ \t\n\x0b\f\r]+@[^/ \t\n\x0b\f\r]+')) FROM d
+UNION ALL SELECT doc_id, 'assigned_secret', 2, unnest(regexp_extract_all(text, '((?i)password|passwd|secret|token|api-?key|api_key)["'']?[ \t]*(=|:)[ \t]*["'']?[^]"''`<>(){}[,; \t\n\x0b\f\r]{12,}["'']?')) FROM d)
+SELECT DISTINCT doc_id, rule, version, sha256(s) AS secret_sha256 FROM f""",
     "op5_url_filters": rf"""
 WITH r(k, p) AS (VALUES {_GLOBS}),
 a AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(url, ''), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g'), '(?s)#.*$', '') AS u FROM pages),

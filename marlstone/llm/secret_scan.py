@@ -9,11 +9,14 @@ blobs back to all their paths.  A secret that moved, or came back, is found with
 changed rule rescans for that rule alone.
 
 Findings are written before the pairs they belong to, so a run that is lost in between scans these pairs
-again; equal findings count once.  Hashing is narrow.  Blobs to fetch are joined by a broadcast if
-they are few (``checked_broadcast``), else by a shuffle.
-
-A version without text has no blob; a null path is a path like others; versions that repeat are
-one.  An empty table adds nothing.  Other columns are ignored or passed on.
+again; equal findings count once.  The ledger's folder is a parameter; where none is given it is the one that the session's
+``marlstone.secrets.ledger`` names, and a new one in the shared folder without that.  Hashing is narrow.  Texts are filtered by strings that any match must have before they are
+hashed again and joined with the blobs to scan, so only texts that may have a secret can be shuffled, and they are only if
+the blobs are too many for a broadcast (``checked_broadcast``).
+
+Patterns take whole runs, of any length, so nothing of a long secret stays behind when it is replaced.  A version without text has
+no blob, an empty one has no findings; a null path is a path like others; versions that repeat are
+one, and of several paths of a blob the smallest is read.  Very long texts are scanned whole.  An empty table adds nothing.  Other columns are ignored or passed on, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,36 +34,41 @@ from marlstone.llm.store import shared_dir, written
 
 @dataclass(frozen=True)
 class Rule:
-    """A regular expression (in the common ground of Java's and RE2's syntax), and strings one of which any match must have."""
+    """A regular expression (in the common ground of Java's and RE2's syntax), and strings one of which any match must have (in lower case if ``fold``)."""
 
     name: str
     version: int
     pattern: str
     needs: tuple[str, ...] = ()
+    fold: bool = False
 
     @property
     def key(self) -> str:
         return f"{self.name}@{self.version}"
 
     def may_match(self, text: Column) -> Column:
+        text = F.lower(text) if self.fold else text
         out = F.lit(not self.needs)
         for s in self.needs:
             out = out | F.contains(text, F.lit(s))
         return out
 
 
+_SPACE = r" \t\n\x0b\f\r"
 RULES = (
     Rule("aws_access_key", 1, r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", ("AKIA", "ASIA")),
-    Rule("github_token", 1, r"\bgh[pousr]_[0-9A-Za-z]{36,255}\b", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack_token", 1, r"\bxox[abprs]-[0-9A-Za-z-]{10,250}", ("xox",)),
-    Rule("google_api_key", 1, r"\bAIza[0-9A-Za-z_-]{35}", ("AIza",)),
-    Rule("payment_key", 1, r"\b[prs]k_(?:live|test)_[0-9A-Za-z]{16,250}\b", ("k_live_", "k_test_")),
+    Rule("github_token", 2, r"\bgh[pousr]_[0-9A-Za-z]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
+    Rule("slack_token", 2, r"\bxox[abprs]-[0-9A-Za-z-]{10,}", ("xox",)),
+    Rule("google_api_key", 2, r"\bAIza[0-9A-Za-z_-]{35,}", ("AIza",)),
+    Rule("payment_key", 2, r"\b[prs]k_(?:live|test)_[0-9A-Za-z]{16,}", ("k_live_", "k_test_")),
     Rule("json_web_token", 1, r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}", ("eyJ",)),
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", ("PRIVATE KEY-----",)),
-    Rule("url_password", 1, r"\b[a-z][a-z0-9+.-]*://[^\s:/@]+:[^\s:/@]+@[^\s/]+", ("://",)),
-    Rule("assigned_secret", 1, r"\b(?:[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY)[\"']?[ \t]*[=:][ \t]*[\"']?[0-9A-Za-z+/_.-]{12,}[\"']?", ("=", ":")),
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----|[0-9A-Za-z+/=" + _SPACE + r"]*)", ("PRIVATE KEY-----",)),
+    Rule("url_password", 2, r"[a-z][a-z0-9+.-]{0,30}://[^" + _SPACE + r":/@]+:[^" + _SPACE + r"/@]+@[^" + _SPACE + r"/]+", ("://",)),
+    Rule("assigned_secret", 2, r"(?i:password|passwd|secret|token|api[_-]?key)[\"']?[ \t]*[=:][ \t]*[\"']?[^" + _SPACE + r"\"'`<>(){}\[\],;]{12,}[\"']?", ("password", "passwd", "secret", "token", "apikey", "api_key", "api-key"), True),
 )
 
+BLOB_ROW = 600
+"""Bytes that a blob with its rules takes in a hashed relation."""
 _SCANNED = "blob string, rules array<string>"
 _FINDINGS = "blob string, rule string, version int, secret string"
 
@@ -70,7 +78,7 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, folder: str | None = None):
         self.spark = spark
-        self.folder = folder or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+        self.folder = folder or spark.conf.get("marlstone.secrets.ledger", None) or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
     def _read(self, name: str, schema: str) -> DataFrame:
         try:
@@ -113,12 +121,18 @@ def _found(rule: Rule) -> Column:
     return F.transform(secrets, lambda s: F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), s.alias("secret")))
 
 
+def may_have(text: Column, rules: tuple[Rule, ...]) -> Column:
+    """Whether a text has a string that some rule needs."""
+    out = F.lit(False)
+    for r in rules:
+        out = out | r.may_match(text)
+    return text.isNotNull() & out
+
+
 def scan_blobs(docs: DataFrame, todo: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Findings of the blobs to do, each blob's text fetched from one path only."""
-    size = todo.count() * 200
-    todo = todo.select(F.col("blob").alias("__blob"), F.col("path").alias("__path"), F.col("rules").alias("__rules"))
-    small = checked_broadcast(todo, size) if size <= 64 << 20 else todo.hint("shuffle_hash")
-    own = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"), F.sha2("text", 256).alias("__sha"))
+    small = checked_broadcast(todo.select(F.col("blob").alias("__blob"), F.col("path").alias("__path"), F.col("rules").alias("__rules")), todo.count() * BLOB_ROW)
+    own = docs.where(may_have(F.col("text"), rules)).select(F.col("doc_id").cast("long").alias("__doc"), F.col("text").alias("__text"), F.sha2("text", 256).alias("__sha"))
     own = own.join(small, (F.col("__sha") == F.col("__blob")) & F.col("__doc").eqNullSafe(F.col("__path")))
     found = F.flatten(F.array(*(_found(r) for r in rules)))
     return own.select(F.col("__blob").alias("blob"), F.explode(found).alias("f")).select("blob", "f.rule", "f.version", "f.secret").distinct()
@@ -148,8 +162,8 @@ def redacted(docs: DataFrame, ledger: Ledger | None = None, rules: tuple[Rule, .
     ``n_chars``, if there, is counted again where a text changes.
     """
     hit = written(scan(docs, ledger, rules).select("path", "blob").distinct(), "hits")
-    hit = checked_broadcast(hit, hit.count() * 100).withColumn("hit", F.lit(True))
-    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.sha2("text", 256).alias("sha"))
+    hit = checked_broadcast(hit, hit.count() * BLOB_ROW // 2).withColumn("hit", F.lit(True))
+    own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.when(may_have(F.col("text"), rules), F.sha2("text", 256)).alias("sha"))
     own = own.join(hit, F.col("id").eqNullSafe(F.col("path")) & (F.col("sha") == F.col("blob")), "left")
     clean = F.col("doc.text")
     for r in rules:

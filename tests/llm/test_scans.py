@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 
 import corpus_pipeline
-from marlstone.llm import bpe, ngram_join, packing, quality_classifier, secret_scan, suffix_dedup
+from marlstone.llm import bpe, ngram_join, packing, quality_classifier, queries, secret_scan, suffix_dedup
 from marlstone.llm import url_filters as uf
 from marlstone.llm.queries import ORACLE, QUERIES
 from tests.compare import connect, differences
@@ -89,6 +89,33 @@ def test_redaction(spark):
     assert all(r.n_chars in (5, len(r.text or "")) for r in got) and {r.text for r in got if r.doc_id == 4} == {"nothing"}
 
 
+@pytest.mark.parametrize("length", [300, 1000, 5000])
+def test_nothing_of_a_long_secret_stays(spark, length):
+    run = "Zq3" * (length // 3)
+    secrets = ["ghp_" + run, "xoxb-" + run, "AIza" + run, "sk_live_" + run, "eyJ" + run + ".eyJ" + run + "." + run, f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\n{run}\n-----END RSA PRIVATE KEY-----", f"-----BEGIN PRIVATE KEY-----\n{run}=", f"postgres://me:{run}:{run}@host", f'client_secret = "{run}"', f"db_password={run}@{run}", f"AUTH_TOKEN: {run}", f"apiKey='{run}'", f"X-Api-Key: {run}"]
+    docs = spark.createDataFrame([(i, f"before {t} after", "d", 1, "s") for i, t in enumerate(secrets)], "doc_id long, text string, doc string, sha int, id string")
+    got = {r.doc_id: r for r in secret_scan.redacted(docs).collect()}
+    assert len(got) == len(secrets) and not any("Zq3" in r.text for r in got.values())
+    assert all(r.text.endswith("after") and (r.doc, r.sha, r.id) == ("d", 1, "s") for r in got.values())
+    assert secret_scan.redacted(docs.where("false")).columns == docs.columns and secret_scan.redacted(docs.where("false")).count() == 0
+
+
+def test_query_and_stage_take_a_ledger(spark, tmp_path):
+    spark.createDataFrame(texts(), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    folder = str(tmp_path / "ledger")
+    first = queries.op6_secret_scans(spark, str(tmp_path), folder).collect()
+    history = secret_scan.versions(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    assert secret_scan.unseen(history, secret_scan.Ledger(spark, folder), secret_scan.RULES).count() == 0
+    spark.conf.set("marlstone.secrets.ledger", folder)
+    try:
+        assert secret_scan.Ledger(spark).folder == folder
+        assert sorted(queries.op6_secret_scans(spark, str(tmp_path)).collect(), key=repr) == sorted(first, key=repr)
+    finally:
+        spark.conf.unset("marlstone.secrets.ledger")
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    assert not any(KEY in (r.text or "") for r in corpus_pipeline.secrets(spark, docs, "", folder).collect())
+
+
 def encoder():
     return bpe.Codec.of(bpe.vocabulary()).encoding
 
