@@ -28,9 +28,11 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return suffix_dedup.without_repeats(docs)
 
 
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by the name of the rule that found them."""
-    return secret_scan.redacted(docs)
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | None = None) -> DataFrame:
+    """Secrets are replaced by the name of the rule that found them; ``ledger`` is the folder of what was scanned before.
+
+    Null and empty texts stay as they are, and so do all rows and the other columns."""
+    return secret_scan.redacted(docs, secret_scan.Ledger(spark, ledger))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
