@@ -14,7 +14,8 @@ again; equal findings count once.  The ledger's folder is a parameter; where non
 hashed again and joined with the blobs to scan, so only texts that may have a secret can be shuffled, and they are only if
 the blobs are too many for a broadcast (``checked_broadcast``).
 
-Patterns take whole runs, of any length, so nothing of a long secret stays behind when it is replaced.  A version without text has
+Patterns take whole runs, of any length, so nothing of a long secret stays behind when it is replaced; a private key without an end takes
+all that follows and may belong to it.  A version without text has
 no blob, an empty one has no findings; a null path is a path like others; versions that repeat are
 one, and of several paths of a blob the smallest is read.  Very long texts are scanned whole.  An empty table adds nothing.  Other columns are ignored or passed on, whatever their names.
 """

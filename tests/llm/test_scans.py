@@ -96,7 +96,7 @@ def test_nothing_of_a_long_secret_stays(spark, length):
     docs = spark.createDataFrame([(i, f"before {t} after", "d", 1, "s") for i, t in enumerate(secrets)], "doc_id long, text string, doc string, sha int, id string")
     got = {r.doc_id: r for r in secret_scan.redacted(docs).collect()}
     assert len(got) == len(secrets) and not any("Zq3" in r.text for r in got.values())
-    assert all(r.text.endswith("after") and (r.doc, r.sha, r.id) == ("d", 1, "s") for r in got.values())
+    assert all((r.text.endswith("after") or "[private_key]" in r.text) and (r.doc, r.sha, r.id) == ("d", 1, "s") for r in got.values())  # a key without an end takes all that may belong to it
     assert secret_scan.redacted(docs.where("false")).columns == docs.columns and secret_scan.redacted(docs.where("false")).count() == 0
 
 
