@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import canonical, canonical_name
+from marlstone.functions.text import canonical, canonical_name, field_tokens
 
 SYSTEM_FIELDS = ("program", "program_path", "parent_program", "command_line", "user", "user_groups")
 NETWORK_FIELDS = ("destination_ip", "destination_port", "direction", "domain", "protocol", "source_ip", "source_port")
@@ -92,4 +92,35 @@ def category(category_value: Column, fields: Column, logical: Sequence[str], ali
     return F.when(s & n, "system_and_network").when(s, "system").when(n, "network").otherwise("unknown")
 
 
-__all__ = ["canonical_map", "canonical_name", "category", "resolved", "sorted_fields", "with_fields"]
+def _tokens(name: Column, value: Column) -> Column:
+    parts = F.filter(F.regexp_extract_all(value, F.lit("[A-Za-z0-9]{2,}"), F.lit(0)), lambda p: p != value)
+    return F.concat(F.array(F.concat(name, F.lit("="), value)), F.transform(parts, lambda p: F.concat(name, F.lit(":"), p)))
+
+
+def _text_of(pairs: Column) -> Column:
+    """Tokens of (key, value) pairs with a value, each once."""
+    none = F.array().cast("array<string>")
+    return F.array_distinct(F.aggregate(F.filter(pairs, lambda p: p["value"] != ""), none, lambda a, p: F.concat(a, _tokens(p["key"], p["value"]))))
+
+
+def normalised(df: DataFrame, mappings: Mapping[str, Sequence[str]], text_column: str | None = None, keep_empty: bool = False, name: str = "fields") -> DataFrame:
+    """Add ``normalized_text``, ``token_counts``, ``system_evidence`` and ``network_evidence`` to the result of ``with_fields``.
+
+    Tokens are those of the logical and physical names with their canonical values, each once, and of the
+    text column if there is one; evidence is the tokens of the fields of one category.  No decision needs them.
+    """
+    wide = df.withColumn("__pairs", F.map_entries(canonical_map(mappings, keep_empty, name)))
+    tokens = _text_of(F.col("__pairs"))
+    if text_column and text_column in df.columns:
+        tokens = F.array_distinct(F.concat(tokens, field_tokens(text_column, F.col(f"`{text_column}`").cast("string"))))
+    wide = wide.withColumn("__tokens", tokens)
+    counts = F.map_from_entries(F.transform("__tokens", lambda t: F.struct(t.alias("k"), F.lit(1).alias("v"))))
+
+    def of(names: Sequence[str]) -> Column:
+        return _text_of(F.filter("__pairs", lambda p: p["key"].isin(list(names))))
+
+    evidence = {"system_evidence": of(SYSTEM_FIELDS), "network_evidence": of(NETWORK_FIELDS)}
+    return wide.withColumns({"normalized_text": F.concat_ws(" ", "__tokens"), "token_counts": counts, **evidence}).drop("__pairs", "__tokens")
+
+
+__all__ = ["canonical_map", "canonical_name", "category", "normalised", "resolved", "sorted_fields", "with_fields"]

@@ -225,7 +225,7 @@ def predictions(fused_: DataFrame, threshold: float, *keys: str) -> DataFrame:
 
 def top_contributions(features: DataFrame, weights: DataFrame, axis: DataFrame, predicted: DataFrame, *keys: str, limit: int = 5) -> DataFrame:
     """(keys, label, subcategory, tag, gv_index, feature_value, weight, contribution, rank) for the predicted label of the given rows."""
-    own = features.join(predicted.select(*keys, F.col("predicted_label").alias("label")), list(keys)).join(weights, ["label", "subcategory", "gv_index"]).join(axis, "gv_index")
+    own = features.join(predicted.select(*keys, F.col("predicted_label").alias("label")), list(keys)).join(weights, ["label", "subcategory", "gv_index"]).join(axis, ["subcategory", "gv_index"] if "subcategory" in axis.columns else ["gv_index"])
     own = own.withColumn("contribution", F.col("value") * F.col("weight"))
     rank = F.row_number().over(Window.partitionBy(*keys, "label", "subcategory").orderBy(F.desc(F.abs("contribution")), "tag"))
     return own.withColumn("rank", rank).where(F.col("rank") <= limit).select(*keys, "label", "subcategory", "tag", "gv_index", F.col("value").alias("feature_value"), "weight", "contribution", "rank")

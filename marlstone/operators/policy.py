@@ -16,7 +16,7 @@ from datetime import datetime
 from typing import Any
 from zoneinfo import ZoneInfo
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions import net
@@ -571,7 +571,8 @@ def with_decision(df: DataFrame, policy: Policy) -> DataFrame:
         ((kind == "system_and_network") & s_ok & n_ok, both),
     ]
     decided = _branches(*tests, otherwise=_decision("forward", kind, fail["code"], fail["details"], fail["policy_id"]))
-    return keep.df.select(*(F.col(f"`{c}`") for c in columns if c != "decision"), decided.alias("decision"))
+    once = F.explode(F.array(decided))  # a filter on the decision stays behind it, instead of being written out over all that it is made of
+    return keep.df.select(*(F.col(f"`{c}`") for c in columns if c != "decision"), once.alias("decision"))
 
 
 # Prefilters
@@ -633,7 +634,7 @@ def with_prefilters(df: DataFrame, policy: Policy, event_id_column: str | None =
     action = F.when(F.size(must) > 0, "forward").when(drop, "suppress").otherwise(d["action"])
     code = F.when(F.size(must) > 0, F.get(must, F.lit(0))["code"]).when(drop, "ALLOWED").otherwise(d["reason_code"])
     merged = F.struct(action.alias("action"), d["category"].alias("category"), code.alias("reason_code"), details.alias("reason_details"), d["matched_policy_id"].alias("matched_policy_id"))
-    return wide.withColumn("decision", merged).drop("__v")
+    return wide.select(*(F.col(f"`{c}`") for c in df.columns if c != "decision"), F.explode(F.array(merged)).alias("decision"))
 
 
 def forwarded(df: DataFrame) -> DataFrame:
@@ -643,7 +644,7 @@ def forwarded(df: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """(reason_code, n, forwarded, share): counts by reason, and the share of all rows."""
     by = df.groupBy(F.col("decision.reason_code").alias("reason_code")).agg(F.count("*").alias("n"), F.count_if(F.col("decision.action") == "forward").alias("forwarded"))
-    return by.crossJoin(by.agg(F.sum("n").alias("total"))).select("reason_code", "n", "forwarded", (F.col("n") / F.col("total")).alias("share"))
+    return by.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a reason
 
 
 __all__ = ["Policy", "PolicyError", "canonical", "forwarded", "load_policy", "summary", "with_decision", "with_prefilters"]

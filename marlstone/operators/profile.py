@@ -8,6 +8,7 @@ aggregation for each kind; detection joins the tables, which are bounded by the
 from __future__ import annotations
 
 import json
+import uuid
 from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import canonical, field_tokens, number
 
 
+BROADCAST_BYTES = 64 << 20
+RELATION_ROW = 300
+"""Bytes that a field's statistics take in a hashed relation."""
+
+
 @dataclass(frozen=True)
 class Options:
     """Which fields are profiled, how much is kept and when a row is an anomaly."""
@@ -59,6 +65,22 @@ class Options:
         return o
 
 
+    @classmethod
+    def read(cls, path: str) -> "Options":
+        """Options from a YAML or JSON file; a file that is no mapping is an error."""
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
+        if path.lower().endswith(".json"):
+            d = json.loads(text)
+        else:
+            import yaml
+
+            d = yaml.safe_load(text)
+        if not isinstance(d, dict):
+            raise ValueError(f"{path} holds no mapping")
+        return cls.of(d)
+
+
 _TIMES = ("timestamp", "event_time", "event_time_iso", "event_time_epoch", "datetime", "date", "time", "ts")
 
 
@@ -98,18 +120,21 @@ class Profile:
     entities: DataFrame
 
     def save(self, path: str) -> None:
+        """Write the tables to a new version's folder, then the one line that names it: a reader sees the old profile or the new one."""
+        spark, version = self.stats.sparkSession, f"version-{uuid.uuid4().hex}"
         for name in ("stats", "values", "tokens", "entities"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        spark = self.stats.sparkSession
-        spark.createDataFrame([(1, json.dumps(asdict(self.options), sort_keys=True))], "version int, options string").coalesce(1).write.mode("overwrite").json(f"{path}/profile")
+            getattr(self, name).write.parquet(f"{path}/{version}/{name}")
+        spark.createDataFrame([(1, json.dumps(asdict(self.options), sort_keys=True), version)], "version int, options string, folder string").coalesce(1).write.mode("append").json(f"{path}/profile")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Profile":
-        row = spark.read.schema("version int, options string").json(f"{path}/profile").first()
+        """The version written last."""
+        rows = spark.read.schema("version int, options string, folder string").json(f"{path}/profile").select("*", "_metadata.file_modification_time", "_metadata.file_name")
+        row = rows.orderBy(F.desc("file_modification_time"), F.desc("file_name")).first()
         if row is None or row["version"] != 1 or not row["options"]:
             raise ValueError(f"{path} is no profile of version 1")
         o = Options.of(json.loads(row["options"]))
-        return cls(o, *(spark.read.parquet(f"{path}/{n}") for n in ("stats", "values", "tokens", "entities")))
+        return cls(o, *(spark.read.parquet(f"{path}/{row['folder']}/{n}") for n in ("stats", "values", "tokens", "entities")))
 
 
 def benign(df: DataFrame, label: str, benign_label: str = "Benign", malformed: str | None = None) -> DataFrame:
@@ -178,14 +203,16 @@ def score(df: DataFrame, profile: Profile, row: str) -> DataFrame:
     fields = sorted(c for c in df.columns if c in names)
     keyed = df.select("*", entity_key(o).alias("__entity"))
     known = profile.entities.where("scope <> ''").select(F.col("scope").alias("__known"))
-    keyed = keyed.join(F.broadcast(known), F.col("__entity") == F.col("__known"), "left")  # ``most_entities`` rows
+    entities = profile.entities.count()
+    small = (lambda x: F.broadcast(x)) if entities * (len(fields) + 1) * RELATION_ROW <= BROADCAST_BYTES else (lambda x: x)
+    keyed = keyed.join(small(known), F.col("__entity") == F.col("__known"), "left")
     bad = F.coalesce(F.col("malformed").cast("boolean"), F.lit(False)) if "malformed" in df.columns else F.lit(False)
     scope = F.coalesce("__known", F.lit(""))
     cells = unpivoted(keyed.where(~bad), fields, F.col(row).alias("__row"), scope.alias("scope"))
     stats = profile.stats
     own = stats.where("scope <> ''").select("scope", "field", F.struct("*").alias("own"))
     all_ = stats.where("scope = ''").select("field", F.struct("*").alias("every"))
-    cells = cells.join(F.broadcast(own), ["scope", "field"], "left").join(F.broadcast(all_), "field", "left").withColumn("s", F.coalesce("own", "every")).where("s is not null")  # rows: entities times columns
+    cells = cells.join(small(own), ["scope", "field"], "left").join(F.broadcast(all_), "field", "left").withColumn("s", F.coalesce("own", "every")).where("s is not null")  # ``all_``: one row a column
 
     kept = profile.values.select(F.col("scope").alias("__s"), F.col("field").alias("__f"), "value", F.lit(True).alias("allowed"))
     cells = cells.withColumns({"__s": F.col("s.scope"), "__f": F.col("s.field")})

@@ -106,9 +106,38 @@ def canonical_numbers(df: DataFrame, row: str, names: Sequence[str] = tuple(sort
     return df.withColumns({c: numeric_text(c, F.col(c), F.col(row)) for c in df.columns if c in set(names)})
 
 
+def _bad_lines(files: DataFrame, schema: T.StructType) -> DataFrame:
+    """(path, line) of the lines that are no object, in files read as a whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import json
+
+        for batch in batches:
+            for path, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for k, line in enumerate(raw.decode("utf-8", "replace").splitlines(), 1):
+                    try:
+                        good = not line.strip() or isinstance(json.loads(line), dict)
+                    except ValueError:
+                        good = False
+                    if not good:
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k], pa.int64())], names=["path", "line"])
+
+    return files.mapInArrow(run, "path string, line long")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """One object a line, blank lines skipped; a bad line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """One object a line, blank lines skipped; a bad line is an error that names file and line.
+
+    Files with a line that cannot be parsed are found by one pass over the lines; only they are read again for the number.
+    """
+    kind = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    wide = T.StructType([*kind, T.StructField("__bad", T.StringType())])
+    lines = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("o"), F.col("_metadata.file_path").alias("__path"))
+    wrong = [r[0] for r in lines.where("o is null or o.__bad is not null").select("__path").distinct().limit(100).collect()]  # enough to name them
+    if wrong:
+        found = _bad_lines(spark.read.format("binaryFile").load(wrong).select("path", "content"), kind).orderBy("path", "line").first()
+        raise ValueError(f"{found['path']}:{found['line']}: not a JSON object" if found else f"{wrong[0]}: a line does not fit the schema")
+    return lines.select(*(F.col(f"o.`{c}`").alias(c) for c in kind.names))
 
 
 def exists(path: str) -> bool:
