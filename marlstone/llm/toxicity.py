@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine on a block-max inverted index.
 
-Terms are lower-case words and their beginnings of four to six bytes (which catch inflected and compounded forms).
+Terms are lower-case words and their beginnings of four and six bytes (which catch inflected and compounded forms).
 The vocabulary is every term of the labelled sample; nothing is left out of it.  Document frequencies
 are counted over all documents, once each.  An example or a document is the vector of ``(1 + ln tf) * idf ** POWER`` over
 the vocabulary's terms, of unit length.
@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.labelled import labelled_sample
-from marlstone.llm.store import shared_dir, written
+from marlstone.llm.store import shared_dir, trimmed, written
 
 SAMPLE = 6_000
 DENSE = 2048
@@ -50,7 +50,7 @@ NEIGHBOURS = 120
 POWER = 1.5
 EVIDENCE = 10
 CUT = 0.5
-STEMS = (4, 5, 6)
+STEMS = (4, 6)
 
 
 class Shared:
@@ -355,7 +355,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Fitted | No
     df[counted["term"].to_numpy()] = counted["df"].to_numpy()
     del counted
     idf = ((np.log((1 + df[-1]) / (1 + df[:-1])) + 1) ** POWER).astype(np.float32)
-    url = own.repartition(1).mapInArrow(_indexed(Shared(folder, (hashes, idf)), folder), "url string").first()["url"]
+    url = own.repartition(1).mapInArrow(trimmed(_indexed(Shared(folder, (hashes, idf)), folder)), "url string").first()["url"]
     model = Shared(folder, url=url)
     voted = own.mapInArrow(_left_out(model), "doc_id long, vote double, y double").toPandas().sort_values("doc_id")  # ``sample`` rows
     curve = isotonic(voted["vote"].to_numpy(), voted["y"].to_numpy()) if len(voted) else (np.zeros(1), np.zeros(1))
@@ -395,4 +395,4 @@ def toxic_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cu
     fitted = fit(docs, labels, sample)
     if fitted is None:
         return docs.sparkSession.createDataFrame([], FOUND)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(_score(fitted, cut), FOUND)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text")).mapInArrow(trimmed(_score(fitted, cut)), FOUND)
