@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.ngram_join import RELATION_ROW, SETS, _SETS_ARROW, checked_broadcast, classed, gram_sets, leaders, linked_sets, shared_keys
-from marlstone.llm.store import written
+from marlstone.llm.store import trimmed, written
 
 SHINGLE = 3
 BANDS = 20
@@ -109,5 +109,5 @@ def minhash_classes(docs: DataFrame, n: int = SHINGLE, bands: int = BANDS, rows:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.xxhash64("text").alias("row")).where("doc_id is not null and text is not null")
     own = own.join(checked_broadcast(reps, reps.count() * RELATION_ROW), (F.col("doc_id") == F.col("rep_id")) & (F.col("row") == F.col("rep_row")), "left_semi")
     copies = signed.groupBy("sig").agg(F.countDistinct("doc_id").alias("copies"))
-    sets = own.select("doc_id", "text", "row").mapInArrow(_shingled(n), SETS)
+    sets = own.select("doc_id", "text", "row").mapInArrow(trimmed(_shingled(n)), SETS)
     return classed(signed, linked_sets(sets, led, threshold, parts, False, copies, signed)).select("doc_id", "sig", "class_id", "links").distinct().select("doc_id", "class_id", "links")

@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
-from marlstone.llm.store import written
+from marlstone.llm.store import bounded_batches, trimmed, written
 
 CHUNK_GRAMS = 2_000_000
 CHUNK_DOCS = 65_535
@@ -63,6 +63,7 @@ def input_parts(df: DataFrame, target: int = 8 << 20) -> int:
     The size is what the planner knows of the files of a plain scan; for other plans, whose
     estimates can be off by any factor, the texts are measured.
     """
+    bounded_batches(df.sparkSession)
     plan = df._jdf.queryExecution().optimizedPlan()
     if any(s in plan.toString() for s in ("Join", "LogicalRDD", "Aggregate", "InMemoryRelation", "Generate")):
         size = (df.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 2
@@ -246,8 +247,8 @@ def shared_keys(docs: DataFrame, sets, threshold: float | None) -> tuple[DataFra
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"), F.xxhash64("text").alias("row")).where("doc_id is not null and text is not null")
     parts = input_parts(own)
-    census = by_id(own.mapInArrow(_census(sets, parts), CENSUS), parts, "part").mapInArrow(_count, CENSUS)
-    return written(census.repartition(parts, "chunk").mapInArrow(_prefixes(threshold), SETS), "sets"), parts
+    census = by_id(own.mapInArrow(trimmed(_census(sets, parts)), CENSUS), parts, "part").mapInArrow(trimmed(_count), CENSUS)
+    return written(census.repartition(parts, "chunk").mapInArrow(trimmed(_prefixes(threshold)), SETS), "sets"), parts
 
 
 def candidate_sets(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD) -> tuple[DataFrame, int]:
@@ -435,7 +436,7 @@ def linked_sets(sets: DataFrame, led: DataFrame, threshold: float, parts: int, u
     placed = reps.select("*", F.col("seats.leader").alias("leaders"), F.explode("seats").alias("seat")).select("*", "seat.leader", "seat.cuts")
     placed = placed.withColumn("side", F.pmod(F.xxhash64("sig"), F.col("cuts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
     placed = placed.select("leader", F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "sig", "copies", "size", "prefix", "side", "grams", "leaders")
-    return placed.repartition(parts, "leader", "ci", "cj").sortWithinPartitions("leader", "ci", "cj").mapInArrow(_verify(threshold, use_prefix), FOUND)
+    return placed.repartition(parts, "leader", "ci", "cj").sortWithinPartitions("leader", "ci", "cj").mapInArrow(trimmed(_verify(threshold, use_prefix)), FOUND)
 
 
 def classed(sets: DataFrame, found: DataFrame) -> DataFrame:

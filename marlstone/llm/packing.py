@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
-from marlstone.llm.store import written
+from marlstone.llm.store import trimmed, written
 
 CAPACITY = 2048
 
@@ -145,7 +145,7 @@ def _placed(runs: np.ndarray, firsts: dict[int, tuple[np.ndarray, np.ndarray]]):
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start_word, n_words, sequence, position) of every piece of every document."""
     spark = docs.sparkSession
-    items = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(_pieces(capacity), _PIECES), "pieces")
+    items = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(trimmed(_pieces(capacity)), _PIECES), "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = [F.desc("n_words"), F.asc_nulls_first("doc_id"), F.asc("piece")]
     ranged = items.repartitionByRange(parts, *key).sortWithinPartitions(*key)

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.labelled import SAMPLE, labelled_sample
+from marlstone.llm.store import trimmed
 
 BITS = 18
 EPOCHS = 3
@@ -78,7 +79,7 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, e
 
 def example(f: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     i, c = np.unique(f, return_counts=True)
-    return np.append(i, 1 << bits), np.append(c / np.sqrt(max(len(f), 1)), 1.0)
+    return np.append(i, 1 << bits).astype(np.int32), np.append(c / np.sqrt(max(len(f), 1)), 1.0).astype(np.float32)
 
 
 def _train(bits: int, epochs: int):
@@ -98,7 +99,7 @@ def _train(bits: int, epochs: int):
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, target: str = "quality") -> np.ndarray:
     """Weights fitted on the labelled sample; all zero without labels."""
     own = labelled_sample(docs.select("doc_id", F.lower("text").alias("text")), labels, target, sample)
-    rows = own.repartition(1).mapInArrow(_train(BITS, EPOCHS), "weights binary").collect()
+    rows = own.repartition(1).mapInArrow(trimmed(_train(BITS, EPOCHS)), "weights binary").collect()
     return np.frombuffer(rows[0][0], np.float32) if rows else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -124,7 +125,7 @@ def _score(weights: np.ndarray):
 def scored(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """(doc, score): the rows as structs with their score; one narrow pass."""
     own = docs.select(F.struct("*").alias("doc"), F.lower("text").alias("lower"))
-    return own.mapInArrow(_score(weights), own.select("doc", F.lit(0.0).alias("score")).schema)
+    return own.mapInArrow(trimmed(_score(weights)), own.select("doc", F.lit(0.0).alias("score")).schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut: float = CUT) -> DataFrame:
@@ -136,5 +137,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, cut
     """(doc_id, score, keep) of the documents that the classifier keeps."""
     weights = fit(docs, labels, sample)
     own = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("doc"), F.lower("text").alias("lower"))
-    own = own.mapInArrow(_score(weights), "doc struct<doc_id: long>, score double")
+    own = own.mapInArrow(trimmed(_score(weights)), "doc struct<doc_id: long>, score double")
     return own.where(F.col("score") >= cut).select("doc.doc_id", "score", F.lit(True).alias("keep"))

@@ -7,12 +7,18 @@ must set its own, since a machine-local folder would not be seen by others.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+"""Bytes of an Arrow batch; texts are long, and 10,000 of them in one batch take much memory on both sides."""
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder's URL, read from the session."""
@@ -27,6 +33,34 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches have ``BATCH_BYTES`` at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def trimmed(run: Run) -> Run:
+    """The same function over batches, after which the worker gives its free memory back; workers live on between tasks."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
+
+    return over
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and return it as read from there.
 
@@ -34,6 +68,7 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
     recomputation.  The shuffle files of the finished lineage are released.
     """
     spark = df.sparkSession
+    bounded_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     w = df.write.option("compression", "zstd")
     (w.partitionBy(partition_by) if partition_by else w).parquet(path)
@@ -58,10 +93,3 @@ def table_bytes(df: DataFrame) -> int:
         path = jvm.org.apache.hadoop.fs.Path(f)
         total += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
     return total
-
-
-def text_bytes(docs: DataFrame) -> int:
-    """Characters of all texts, in one narrow pass; sizes the shuffles that follow."""
-    from pyspark.sql import functions as F
-
-    return int(docs.agg(F.sum(F.length("text"))).first()[0] or 0)

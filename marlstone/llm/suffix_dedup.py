@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm import text as tx
 from marlstone.llm.ngram_join import by_id, checked_broadcast, input_parts
-from marlstone.llm.store import table_bytes, written
+from marlstone.llm.store import table_bytes, trimmed, written
 
 DEPTH = 50
 CHUNK = 1 << 20
@@ -269,8 +269,8 @@ def _spans(depth: int):
 def _repeated(docs: DataFrame, depth: int) -> DataFrame:
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     parts = input_parts(own)
-    found = by_id(own.mapInArrow(_suffixes(depth, parts), SUFFIXES), parts, "part").mapInArrow(_groups(parts), FOUND)
-    return by_id(found, parts, "part").mapInArrow(_spans(depth), SPANS)
+    found = by_id(own.mapInArrow(trimmed(_suffixes(depth, parts)), SUFFIXES), parts, "part").mapInArrow(trimmed(_groups(parts)), FOUND)
+    return by_id(found, parts, "part").mapInArrow(trimmed(_spans(depth)), SPANS)
 
 
 def repeated_spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -335,4 +335,4 @@ def without_repeats(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     own = docs.select(F.struct("*").alias("doc"), F.col("doc_id").cast("long").alias("id"), F.crc32(F.encode("text", "UTF-8")).alias("crc"))
     joined = own.join(listed, (F.col("id") == F.col("cut_id")) & (F.col("crc") == F.col("cut_crc")), "left").select("doc", "spans")
     names = docs.columns
-    return joined.mapInArrow(_cut(names, names.index("text"), names.index("n_chars") if "n_chars" in names else None), docs.schema)
+    return joined.mapInArrow(trimmed(_cut(names, names.index("text"), names.index("n_chars") if "n_chars" in names else None)), docs.schema)
