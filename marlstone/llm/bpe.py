@@ -12,6 +12,7 @@ Tokens are exactly those of the whole text, for any text, as ordinary text: stri
 meaning.  Decoding joins each token's bytes for a batch at once in numpy.  The vocabulary is a file of public ranks, read once
 by the driver and sent with the tasks (under 1 MB, whatever the data).
 
+Of pairs with the same rank the first is merged, so there are no ties.
 A null text has null tokens, an empty one none.  A null doc_id is kept; rows that repeat are
 encoded each.  Other columns are ignored.  An empty table gives an empty result.
 """

@@ -503,15 +503,15 @@ def one_per_group(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD)
     kept_rows = found.where("doc_id = class_id").groupBy("class_id").agg(F.min("row").alias("kept"))
     gone = found.join(kept_rows, "class_id").where("doc_id <> class_id or row <> kept").select(F.col("doc_id").alias("gone_id"), F.col("row").alias("gone_row")).distinct()
     gone = written(gone, "gone")
-    own = docs.select("*", F.xxhash64("text").alias("__row"), F.col("doc_id").cast("long").alias("__id"))
-    kept = own.join(checked_broadcast(gone, gone.count() * RELATION_ROW), (F.col("__id") == F.col("gone_id")) & (F.col("__row") == F.col("gone_row")), "left_anti")
+    own = docs.select(F.struct("*").alias("doc"), F.xxhash64("text").alias("hash"), F.col("doc_id").cast("long").alias("id"))
+    kept = own.join(checked_broadcast(gone, gone.count() * RELATION_ROW), (F.col("id") == F.col("gone_id")) & (F.col("hash") == F.col("gone_row")), "left_anti")
     repeated = sets.groupBy("doc_id", "row").count().where("count > 1").select(F.col("doc_id").alias("two_id"), F.col("row").alias("two_row"))
     if not repeated.isEmpty():
         twice = written(repeated, "repeated")
-        once, same = checked_broadcast(twice, twice.count() * RELATION_ROW), (F.col("__id") == F.col("two_id")) & (F.col("__row") == F.col("two_row"))
-        again = kept.join(once, same, "left_semi").dropDuplicates(["doc_id", "text"])
-        kept = kept.join(once, same, "left_anti").unionByName(again)
-    return kept.select(*docs.columns)
+        once, same = checked_broadcast(twice, twice.count() * RELATION_ROW), (F.col("id") == F.col("two_id")) & (F.col("hash") == F.col("two_row"))
+        again = kept.join(once, same, "left_semi").groupBy("id", "hash").agg(F.first("doc").alias("doc"))
+        kept = kept.join(once, same, "left_anti").select("doc").unionByName(again.select("doc"))
+    return kept.select("doc.*")
 
 
 def checked_broadcast(df: DataFrame, size: int, most: int = BROADCAST_BYTES) -> DataFrame:

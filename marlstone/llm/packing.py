@@ -16,6 +16,8 @@ corpus, and the driver sees a few numbers for each length and partition.  Then e
 partition of pieces finds its places by one sorted search (the successor
 among the runs), without another shuffle.
 
+Pieces of equal length go by (doc_id, piece), and of gaps with equal room the sequence opened first is filled, so ties
+are decided.  A very long text is counted in a slice of its own and becomes as many pieces as it takes.
 A null text or one without words has no pieces.  A null doc_id is packed like
 others, first among equals.  Rows that repeat are packed once each.  An
 empty table gives an empty result.  Other columns are ignored.
@@ -144,6 +146,8 @@ def _placed(runs: np.ndarray, firsts: dict[int, tuple[np.ndarray, np.ndarray]]):
 
 def best_fit_packing(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start_word, n_words, sequence, position) of every piece of every document."""
+    if not 0 < capacity < 1 << 19:  # lengths and ranks share 64 bits
+        raise ValueError("the capacity must be 1 to 524,287 words")
     spark = docs.sparkSession
     items = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInArrow(trimmed(_pieces(capacity)), _PIECES), "pieces")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -11,7 +11,8 @@ in one task, since the examples come one after the other; scoring is narrow, wit
 weights (1 MB) go with the task.
 
 A text that is null or has no words has no evidence and counts as rejected; a null doc_id is scored as
-any other row, and rows that repeat are scored each.  Without any labels all documents with words are
+any other row, and rows that repeat are scored each.  A very long text is read whole, in a slice of its own.  A score equal
+to the cut is kept.  An empty table gives an empty result.  Without any labels all documents with words are
 kept at a score of 0.5.  Other columns are ignored (or passed on by ``keep_good``).
 """
 

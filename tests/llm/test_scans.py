@@ -7,7 +7,6 @@ import re
 
 import numpy as np
 import pytest
-import tiktoken
 
 import corpus_pipeline
 from marlstone.llm import bpe, ngram_join, packing, quality_classifier, queries, secret_scan, suffix_dedup
@@ -134,14 +133,6 @@ def test_bpe_is_that_of_the_whole_text(spark, chunk, overlap):
     assert bpe.bpe_encode(got.where("false").selectExpr("doc_id", "'' as text")).count() == 0
 
 
-def test_another_tokenizer_library_agrees():
-    import base64
-
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, bpe.vocabulary().splitlines())}
-    other = tiktoken.Encoding("other", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    assert bpe.Codec.of(bpe.vocabulary()).encode("Hello, wörld's  end\n") == other.encode_ordinary("Hello, wörld's  end\n")
-
-
 def small(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
