@@ -14,17 +14,23 @@ from marlstone.llm.store import written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    Null texts and texts without words are rejected; rows without a doc_id and repeated rows are scored each."""
     return quality_classifier.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the smallest doc_id."""
+    """One document of each group of near duplicates stays, the one with the smallest doc_id.
+
+    Rows without a doc_id and texts without words stay; a row that repeats another stays once."""
     return ngram_join.one_per_group(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of passages of 50 words or more are cut out."""
+    """Later occurrences of passages of 50 words or more are cut out.
+
+    Null and empty texts, and rows without a doc_id, stay as they are; a document of which nothing is left goes."""
     return suffix_dedup.without_repeats(docs)
 
 
@@ -36,7 +42,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str, ledger: str | Non
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each piece of each document gets its place in a training sequence."""
+    """Each piece of each document gets its place in a training sequence.
+
+    Null and empty texts have no pieces."""
     return packing.best_fit_packing(docs)
 
 
@@ -53,7 +61,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the table of documents."""
+    """Apply the stages to the table of documents; an empty table gives no places."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
