@@ -6,7 +6,7 @@ space only; white space is Unicode's.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d+)?$"
@@ -64,6 +64,23 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.flatten(parts), lambda t: F.length(t) >= 2)
 
 
+def word_tokens(word: Column) -> Column:
+    """Tokens of one lower-case word, as ``tokenize`` makes them."""
+    bare = F.regexp_replace(word, f"^[{_QUOTES}]+|[{_QUOTES}]+$", "")
+    return F.when(bare.contains("=") | bare.contains(":"), F.array(F.regexp_replace(bare, "^[.,;]+|[.,;]+$", ""))).otherwise(F.split(bare, "[^a-z0-9]+"))
+
+
+def token_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep, token): a row for each token of ``tokenize``.
+
+    Words become rows first, so all that is done with a word is generated code; in an array it would be interpreted.
+    """
+    words = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), _WHITE, " " * len(_WHITE)), " ")
+    flat = df.select(*keep, F.explode(words).alias("__word")).where("__word <> ''")
+    plain = F.col("__word").rlike("^[a-z0-9]+$")
+    return flat.select(*keep, F.explode(F.when(plain, F.array("__word")).otherwise(word_tokens(F.col("__word")))).alias("token")).where(F.length("token") >= 2)
+
+
 def number(c: Column) -> Column:
     """A finite double, or null; digits may be grouped by single underscores, as canonical values have them."""
     text = F.lower(strip(c))
@@ -98,17 +115,15 @@ def guarded(c: Column) -> Column:
 
 def compact_ranges(values: Column) -> Column:
     """Ascending ranges of an array of integers: ``4-5;8;10-12``."""
-    start = F.struct(F.lit("").alias("text"), F.lit(None).cast("bigint").alias("low"), F.lit(None).cast("bigint").alias("high"))
+    every = F.array_sort(F.array_distinct(values.cast("array<bigint>")))
 
     def shown(s: Column) -> Column:
-        span = F.when(s["low"] == s["high"], s["low"].cast("string")).otherwise(F.concat(s["low"].cast("string"), F.lit("-"), s["high"].cast("string")))
-        return F.when(s["low"].isNull(), "").otherwise(F.concat(s["text"], F.when(s["text"] == "", "").otherwise(";"), span))
-
-    def step(s: Column, v: Column) -> Column:
-        near = v == s["high"] + 1
-        return F.struct(F.when(near, s["text"]).otherwise(shown(s)).alias("text"), F.when(near, s["low"]).otherwise(v).alias("low"), v.alias("high"))
+        last = F.size(s) - 1
+        first = F.filter(s, lambda x, i: (i == 0) | (F.get(s, i - 1) != x - 1))
+        final = F.filter(s, lambda x, i: (i == last) | (F.get(s, i + 1) != x + 1))
+        return F.array_join(F.zip_with(first, final, lambda a, b: F.when(a == b, a.cast("string")).otherwise(F.concat(a.cast("string"), F.lit("-"), b.cast("string")))), ";")
 
-    return F.aggregate(F.array_sort(F.array_distinct(values.cast("array<bigint>"))), start, step, shown)
+    return F.get(F.transform(F.array(every), shown), F.lit(0))  # the sorted array is bound once
 
 
 def entropy(c: Column) -> Column:

@@ -13,6 +13,7 @@ from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marlstone.functions.text import canonical, field_tokens, number
 
@@ -103,10 +104,14 @@ def entity_key(o: Options) -> Column:
     return F.when(filled, F.to_json(F.array(*parts)))
 
 
-def unpivoted(df: DataFrame, fields: list[str], *keep: Column) -> DataFrame:
-    """(…keep, field, value, tokens): a row for each profiled cell; value and tokens are empty when blank."""
-    cells = F.array(*(F.struct(F.lit(c).alias("field"), canonical(F.col(f"`{c}`").cast("string")).alias("value"), field_tokens(c, F.col(f"`{c}`").cast("string")).alias("tokens")) for c in fields))
-    return df.select(*keep, F.inline(cells))
+def unpivoted(df: DataFrame, fields: list[str], *keep: Column, tokens: bool = False) -> DataFrame:
+    """(…keep, field, value, tokens): a row for each profiled cell; value and tokens are empty when blank.  Tokens cost much and are made if asked for."""
+
+    def cell(c: str) -> Column:
+        text = F.col(f"`{c}`").cast("string")
+        return F.struct(F.lit(c).alias("field"), canonical(text).alias("value"), *([field_tokens(c, text).alias("tokens")] if tokens else []))
+
+    return df.select(*keep, F.inline(F.array(*map(cell, fields))))
 
 
 @dataclass
@@ -150,6 +155,19 @@ def _kept(counts: DataFrame, most: int, least: int, name: str) -> DataFrame:
     return ranked.where((F.col("__d") <= 2 * most) | (F.col("__r") <= most)).where(F.col("n") >= least).drop("__d", "__r")
 
 
+def _numeric_stats(keyed: DataFrame, names: list[str], entities: DataFrame) -> DataFrame:
+    """Statistics of columns that are numbers, of all rows and of the entities, from one aggregation by entity."""
+    cells = keyed.select("__scope", F.inline(F.array(*(F.struct(F.lit(c).alias("field"), F.col(f"`{c}`").cast("double").alias("x")) for c in names))))
+    x = F.when(F.abs("x") < float("inf"), F.col("x"))
+    each = cells.groupBy("__scope", "field").agg(F.count("*").alias("rows"), F.count("x").alias("count"), F.count(x).alias("numbers"), F.min(x).alias("minimum"), F.max(x).alias("maximum"), F.avg(x).alias("mean"), (F.var_pop(x) * F.count(x)).alias("m2"))
+    own = each.withColumnRenamed("__scope", "scope").join(entities.select("scope"), "scope", "left_semi")
+    middle = each.groupBy("field").agg((F.sum(F.col("mean") * F.col("numbers")) / F.sum("numbers")).alias("middle"))
+    spread = F.col("m2") + F.col("numbers") * F.pow(F.col("mean") - F.col("middle"), F.lit(2))
+    every = each.join(F.broadcast(middle), "field").groupBy(F.lit("").alias("scope"), "field").agg(F.sum("rows").alias("rows"), F.sum("count").alias("count"), F.sum("numbers").alias("numbers"), F.min("minimum").alias("minimum"), F.max("maximum").alias("maximum"), F.first("middle").alias("mean"), F.sum(spread).alias("m2"))
+    names_ = ["scope", "field", "rows", "count", (F.col("rows") - F.col("count")).alias("missing"), "numbers", "minimum", "maximum", "mean", F.sqrt(F.col("m2") / F.nullif(F.col("numbers"), F.lit(0))).alias("deviation")]
+    return every.select(*names_).unionByName(own.select(*names_))
+
+
 def learn(df: DataFrame, o: Options, order: Column | None = None) -> Profile:
     """Learn a profile of rows that are all taken for benign.
 
@@ -163,18 +181,32 @@ def learn(df: DataFrame, o: Options, order: Column | None = None) -> Profile:
     first = keyed.where("__scope is not null").groupBy(F.col("__scope").alias("scope")).agg(F.count("*").alias("rows"), F.min(order if order is not None else F.col("__scope")).alias("__first"))
     entities = first.orderBy("__first", "scope").limit(o.most_entities).where(F.col("rows") >= o.entity_minimum).select("scope", "rows")
     total = keyed.agg(F.lit("").alias("scope"), F.count("*").alias("rows"))
-    own = keyed.join(entities.select(F.col("scope").alias("__scope")), "__scope", "left_semi") if o.entity else keyed.where("false")
-    cells = unpivoted(keyed, fields, F.lit("").alias("scope")).unionByName(unpivoted(own, fields, F.col("__scope").alias("scope")))
+    numbers = [f for f in o.numeric if isinstance(df.schema[f].dataType, T.NumericType)]  # these need no text
+    stats = _numeric_stats(keyed, numbers, entities) if numbers else None
+    rest = [f for f in fields if f not in numbers]
+    given = [(f, k) for k in ("categorical", "numeric", "text") for f in getattr(o, k)]
+    own = keyed.join(entities.select(F.col("scope").alias("__scope")), "__scope", "left_semi") if o.entity else None
+
+    def of_both(names: list[str], tokens: bool = False) -> DataFrame:
+        cells = unpivoted(keyed if names else keyed.where("false"), names or fields[:1], F.lit("").alias("scope"), tokens=tokens)
+        return cells if own is None or not names else cells.unionByName(unpivoted(own, names, F.col("__scope").alias("scope"), tokens=tokens))
+
+    cells = of_both(rest)
     n, filled = number(F.col("value")), F.col("value") != ""
-    stats = cells.groupBy("scope", "field").agg(F.count("*").alias("rows"), F.count_if(filled).alias("count"), F.count_if(~filled).alias("missing"), F.count(n).alias("numbers"), F.min(n).alias("minimum"), F.max(n).alias("maximum"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("deviation"))
+    textual = cells.groupBy("scope", "field").agg(F.count("*").alias("rows"), F.count_if(filled).alias("count"), F.count_if(~filled).alias("missing"), F.count(n).alias("numbers"), F.min(n).alias("minimum"), F.max(n).alias("maximum"), F.avg(n).alias("mean"), F.stddev_pop(n).alias("deviation"))
+    stats = textual if stats is None else stats.unionByName(textual) if rest else stats
     values = cells.where(filled).groupBy("scope", "field", "value").agg(F.count("*").alias("n"))
-    variety = values.where("scope = ''").groupBy("field").agg(F.count("*").alias("kinds"))
-    given = [(f, k) for k in ("categorical", "numeric", "text") for f in getattr(o, k)]
     explicit = F.create_map(*(F.lit(x) for pair in given for x in pair)) if given else F.lit(None).cast("map<string,string>")
-    guess = F.when(F.col("numbers") / F.col("count") >= o.numeric_ratio, "numeric").when(F.coalesce("kinds", F.lit(0)) <= o.most_values, "categorical").otherwise("text")
-    kinds = stats.where("scope = ''").join(variety, "field", "left").select("field", F.coalesce(F.try_element_at(explicit, F.col("field")), F.when(F.col("count") > 0, guess)).alias("kind")).where("kind is not null")
+    known = stats.where("scope = ''")
+    if set(fields) <= {f for f, _ in given}:
+        kinds = known.select("field", F.try_element_at(explicit, F.col("field")).alias("kind"))
+    else:  # only then are different values counted
+        variety = values.where("scope = ''").groupBy("field").agg(F.count("*").alias("kinds"))
+        guess = F.when(F.col("numbers") / F.col("count") >= o.numeric_ratio, "numeric").when(F.coalesce("kinds", F.lit(0)) <= o.most_values, "categorical").otherwise("text")
+        kinds = known.join(variety, "field", "left").select("field", F.coalesce(F.try_element_at(explicit, F.col("field")), F.when(F.col("count") > 0, guess)).alias("kind")).where("kind is not null")
     kinds = F.broadcast(kinds)  # one row a column
-    tokens = cells.join(kinds.where("kind = 'text'"), "field").select("scope", "field", F.explode("tokens").alias("value")).groupBy("scope", "field", "value").agg(F.count("*").alias("n"))
+    worded = [f for f in rest if dict(given).get(f, "text") == "text"]
+    tokens = of_both(worded, True).join(kinds.where("kind = 'text'"), "field").select("scope", "field", F.explode("tokens").alias("value")).groupBy("scope", "field", "value").agg(F.count("*").alias("n"))
     stats = stats.join(kinds, "field").where("kind <> 'numeric' or numbers > 0").select("scope", "field", "kind", F.when(F.col("kind") == "numeric", F.col("numbers")).otherwise(F.col("count")).alias("count"), "missing", "minimum", "maximum", "mean", "deviation")
     values = values.join(kinds.where("kind = 'categorical'").select("field"), "field", "left_semi")
     return Profile(o, stats, _kept(values, o.most_values, o.categorical_minimum, "value"), _kept(tokens, o.most_tokens, o.token_minimum, "value"), total.unionByName(entities))
@@ -199,8 +231,8 @@ def score(df: DataFrame, profile: Profile, row: str) -> DataFrame:
     is held against the global one.  A column ``malformed`` makes a row an anomaly whatever it has.
     """
     o = profile.options
-    names = {r["field"] for r in profile.stats.where("scope = ''").select("field").collect()}  # one row a column
-    fields = sorted(c for c in df.columns if c in names)
+    kinds = {r["field"]: r["kind"] for r in profile.stats.where("scope = ''").select("field", "kind").collect()}  # one row a column
+    fields = sorted(c for c in df.columns if c in kinds)
     keyed = df.select("*", entity_key(o).alias("__entity"))
     known = profile.entities.where("scope <> ''").select(F.col("scope").alias("__known"))
     entities = profile.entities.count()
@@ -208,21 +240,33 @@ def score(df: DataFrame, profile: Profile, row: str) -> DataFrame:
     keyed = keyed.join(small(known), F.col("__entity") == F.col("__known"), "left")
     bad = F.coalesce(F.col("malformed").cast("boolean"), F.lit(False)) if "malformed" in df.columns else F.lit(False)
     scope = F.coalesce("__known", F.lit(""))
-    cells = unpivoted(keyed.where(~bad), fields, F.col(row).alias("__row"), scope.alias("scope"))
     stats = profile.stats
     own = stats.where("scope <> ''").select("scope", "field", F.struct("*").alias("own"))
     all_ = stats.where("scope = ''").select("field", F.struct("*").alias("every"))
-    cells = cells.join(small(own), ["scope", "field"], "left").join(F.broadcast(all_), "field", "left").withColumn("s", F.coalesce("own", "every")).where("s is not null")  # ``all_``: one row a column
-
-    kept = profile.values.select(F.col("scope").alias("__s"), F.col("field").alias("__f"), "value", F.lit(True).alias("allowed"))
-    cells = cells.withColumns({"__s": F.col("s.scope"), "__f": F.col("s.field")})
-    categorical = cells.where("s.kind = 'categorical'").join(kept, ["__s", "__f", "value"], "left").withColumn("unseen", F.lit(0)).withColumn("total", F.lit(0))
-    numeric = cells.where("s.kind = 'numeric'").withColumns({"allowed": F.lit(True), "unseen": F.lit(0), "total": F.lit(0)})
-    vocabulary = profile.tokens.select(F.col("scope").alias("__s"), F.col("field").alias("__f"), F.col("value").alias("token"), F.lit(1).alias("hit"))
-    words = cells.where("s.kind = 'text'").select("__row", "scope", "field", "value", "s", "__s", "__f", F.explode_outer("tokens").alias("token")).join(vocabulary, ["__s", "__f", "token"], "left")
-    text = words.groupBy("__row", "scope", "field").agg(F.first("value").alias("value"), F.first("s").alias("s"), F.count("token").cast("int").alias("total"), F.count_if(F.col("token").isNotNull() & F.col("hit").isNull()).cast("int").alias("unseen")).withColumn("allowed", F.lit(True))
-    names_ = ["__row", "scope", "field", "value", "s", "allowed", "unseen", "total"]
-    checked = categorical.select(*names_).unionByName(numeric.select(*names_)).unionByName(text.select(*names_))
+
+    def cells(kind: str) -> DataFrame:
+        """The rows' cells of one kind with the statistics that they are held against."""
+        flat = unpivoted(keyed.where(~bad), [c for c in fields if kinds[c] == kind], F.col(row).alias("__row"), scope.alias("scope"), tokens=kind == "text")
+        flat = flat.join(small(own), ["scope", "field"], "left") if o.entity else flat.withColumn("own", F.lit(None).cast(own.schema["own"].dataType))
+        flat = flat.join(F.broadcast(all_), "field", "left").withColumn("s", F.coalesce("own", "every")).where("s is not null")  # ``all_``: one row a column
+        return flat.withColumns({"__s": F.col("s.scope"), "__f": F.col("s.field")})
+
+    names_, parts = ["__row", "scope", "field", "value", "s", "allowed", "unseen", "total"], []
+    there = {kinds[c] for c in fields}
+    if "categorical" in there:
+        kept = profile.values.select(F.col("scope").alias("__s"), F.col("field").alias("__f"), "value", F.lit(True).alias("allowed"))
+        parts.append(cells("categorical").join(kept, ["__s", "__f", "value"], "left").withColumn("unseen", F.lit(0)).withColumn("total", F.lit(0)).select(*names_))
+    if "numeric" in there or not there:
+        none_ = unpivoted(keyed.where("false"), [row], F.col(row).alias("__row"), scope.alias("scope")).crossJoin(all_.limit(0).select(F.col("every").alias("s"))) if not there else cells("numeric")
+        parts.append(none_.withColumns({"allowed": F.lit(True), "unseen": F.lit(0), "total": F.lit(0)}).select(*names_))
+    if "text" in there:
+        vocabulary = profile.tokens.select(F.col("scope").alias("__s"), F.col("field").alias("__f"), F.col("value").alias("token"), F.lit(1).alias("hit"))
+        words = cells("text").select("__row", "scope", "field", "value", "s", "__s", "__f", F.explode_outer("tokens").alias("token")).join(vocabulary, ["__s", "__f", "token"], "left")
+        text = words.groupBy("__row", "scope", "field").agg(F.first("value").alias("value"), F.first("s").alias("s"), F.count("token").cast("int").alias("total"), F.count_if(F.col("token").isNotNull() & F.col("hit").isNull()).cast("int").alias("unseen")).withColumn("allowed", F.lit(True))
+        parts.append(text.select(*names_))
+    checked = parts[0]
+    for part in parts[1:]:
+        checked = checked.unionByName(part)
 
     f, blank, x, s = F.col("field"), F.col("value") == "", number(F.col("value")), F.col("s")
     z = F.when(s["deviation"] > 0, F.abs(x - s["mean"]) / s["deviation"]).otherwise(F.lit(0.0))

@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.keyed import tag
+from marlstone.functions.text import token_rows
+
+
+SLICES = 64
 
 
 def term_frequency(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
@@ -17,6 +21,11 @@ def term_frequency(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
     return df.select(*keys, F.explode(tokens).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
 
 
+def text_frequency(df: DataFrame, text: Column, *keys: str) -> DataFrame:
+    """(keys, token, tf) of a text column; as ``term_frequency`` of its tokens, but for large texts."""
+    return token_rows(df, text, *keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+
+
 def document_frequency(tf: DataFrame, *org: str) -> DataFrame:
     """(org, token, df): rows that have a token."""
     return tf.groupBy(*org, "token").agg(F.count("*").alias("df"))
@@ -36,13 +45,15 @@ def local_vocabulary(df: DataFrame, documents: DataFrame, features: int, min_df:
     """
     if features <= 0 or min_df < 1:
         raise ValueError("features and min_df must be 1 or more")
-    by = Window.partitionBy(org)
     order = [F.desc("df"), F.asc("token")]
     wide = df.join(F.broadcast(documents), org)  # one row an organisation
     wide = wide.withColumn("__in", (F.col("df") >= min_df) & (F.col("df") <= most_df(max_df, F.col("n"))))
-    wide = wide.withColumn("used_fallback", F.count_if("__in").over(by) < F.least(F.lit(features), F.count("*").over(by)))
-    kept = wide.where(F.col("__in") | F.col("used_fallback"))
-    ranked = kept.withColumn("position", F.row_number().over(by.orderBy(*order)) - 1)
+    enough = wide.groupBy(org).agg((F.count_if("__in") < F.least(F.lit(features), F.count("*"))).alias("used_fallback"))
+    kept = wide.join(F.broadcast(enough), org).where(F.col("__in") | F.col("used_fallback"))
+    # the best of each slice of an organisation first, so no task ranks all its tokens
+    kept = kept.withColumn("__slice", F.pmod(F.xxhash64("token"), F.lit(SLICES)))
+    best = kept.withColumn("__r", F.row_number().over(Window.partitionBy(org, "__slice").orderBy(*order))).where(F.col("__r") <= features)
+    ranked = best.withColumn("position", F.row_number().over(Window.partitionBy(org).orderBy(*order)) - 1)
     return ranked.where(F.col("position") < features).select(org, "token", "df", "position", "used_fallback")
 
 

@@ -14,6 +14,7 @@ from marlstone.functions.times import Weekly, iso_time
 from marlstone.operators import collapse as dup
 from marlstone.operators import indicators, orgs, policy, profile, signals
 from marlstone.operators.fields import resolved
+from marlstone.sources.artifacts import scratch
 from marlstone.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -310,7 +311,9 @@ SELECT event_id, CAST(stranger + novel + far AS DOUBLE) AS anomaly_score, strang
 def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spread(table(spark, sf_dir, "events")).select("event_id", "user_id", "event_type", "value", F.when((F.col("event_type") != "error") & (F.col("event_id") % 3 > 0), " BENIGN").otherwise("attack").alias("label"))
     o = profile.Options(entity=("user_id",), categorical=("event_type",), numeric=("value",), ignored=("event_id", "label"), categorical_minimum=2, entity_minimum=30, most_entities=1 << 30, deviations=3.0)
-    scored = profile.score(e, profile.learn(profile.benign(e, "label"), o), "event_id")
+    path = scratch(spark, "profile")
+    profile.learn(profile.benign(e, "label"), o).save(path)  # learned once, then used as it is stored
+    scored = profile.score(e, profile.Profile.load(spark, path), "event_id")
     return scored.select("event_id", "anomaly_score", "is_anomaly", "profile_scope", F.concat_ws(",", F.transform("evidence", lambda x: x["reason_code"])).alias("codes"))
 
 
