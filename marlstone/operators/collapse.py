@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from marlstone.functions.text import compact_ranges, utc_text
 
 BLOCK = 1 << 20
+FEW = 256
 
 
 def running_max(df: DataFrame, file: str, row: str, value: str, name: str, block: int = BLOCK) -> DataFrame:
@@ -55,6 +56,18 @@ def anchors(key: np.ndarray, time: np.ndarray, top: np.ndarray, window: int, car
         first[0], limit[0] = -1, carry[1] + window
     opened = carry[1] if carry is not None and key[0] == carry[0] else None
     while len(now):
+        if len(now) <= FEW:  # rounds over a few keys gain nothing: one search after the other
+            for k in range(len(now)):
+                at, end_, head, until = int(now[k]), int(stop[k]), int(first[k]), int(limit[k])
+                own, own_time = top[:end_], time
+                while at < end_:
+                    low = at + int(own[at:].searchsorted(until, "right"))
+                    low = max(low, at + 1) if head >= 0 else low
+                    out[at:low] = head
+                    at = head = low
+                    if at < end_:
+                        until = int(own_time[at]) + window
+            break
         low, high = now.copy(), stop.copy()
         while (gap := low < high).any():  # first row beyond the limit
             mid = (low + high) >> 1

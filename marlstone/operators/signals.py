@@ -257,12 +257,26 @@ def scopes(columns: Sequence[str], wanted: Sequence[str] = SCOPES) -> Column:
     return F.flatten(F.array(*out)) if out else F.array().cast("array<struct<scope:int,value:string>>")
 
 
-def pair_numbers(current: Column, available: Column, scope: Column) -> Column:
-    """Numbers of the tokens that close a pair, from masks of the row's own and of all available signals."""
+_LEFT_BITS = (1 << len(LEFT)) - 1
+_RIGHT_BITS = (1 << len(ACTIVE)) - 1 - _LEFT_BITS
+
+
+def may_close(available: Column) -> Column:
+    """Whether there is a signal of either side at all; most rows end here, before any pair is tried."""
+    return (available.bitwiseAND(F.lit(_LEFT_BITS).cast("bigint")) != 0) & (available.bitwiseAND(F.lit(_RIGHT_BITS).cast("bigint")) != 0)
+
+
+def pairs_closed(current: Column, available: Column) -> Column:
+    """Numbers (in the first scope) of the pairs that a row closes, from masks of its own and of all available signals."""
     pairs = [(1 << a | 1 << (len(LEFT) + b), (a * len(RIGHT) + b) * len(SCOPES)) for a in range(len(LEFT)) for b in range(len(RIGHT))]
     every = F.array(*(F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(n).alias("n")) for m, n in pairs))
     closed = F.filter(every, lambda p: (available.bitwiseAND(p["m"]) == p["m"]) & (current.bitwiseAND(p["m"]) != 0))
-    return F.transform(closed, lambda p: p["n"] + scope)
+    return F.transform(closed, lambda p: p["n"])
+
+
+def pair_numbers(current: Column, available: Column, scope: Column) -> Column:
+    """Numbers of the tokens that close a pair in a scope."""
+    return F.transform(pairs_closed(current, available), lambda n: n + scope)
 
 
 def _named(numbers: Column) -> Column:
@@ -276,8 +290,8 @@ def row_tokens(df: DataFrame, novel: Column | None = None) -> DataFrame:
     supported = F.array_compact(F.array(*(F.when(r.filled(f"{ZONE_COLUMNS} network_zone" if s == "same_network_zone" else SCOPE_COLUMNS[s]), F.lit(i)) for i, s in enumerate(SCOPES))))
     wide = prepared(df).withColumn("__mask", mask(active(df.columns, novel))).withColumn("__scopes", supported)
     m = F.col("__mask")
-    numbers = F.flatten(F.transform("__scopes", lambda s: pair_numbers(m, m, s)))
-    return wide.withColumn("cross_tokens", _named(F.when(m != 0, numbers).otherwise(F.array().cast("array<int>")))).drop("__mask", "__scopes", "__all")
+    numbers = F.get(F.transform(F.array(pairs_closed(m, m)), lambda closed: F.flatten(F.transform("__scopes", lambda s: F.transform(closed, lambda n: n + s)))), F.lit(0))  # pairs are tried once, not for each scope
+    return wide.withColumn("cross_tokens", F.when(may_close(m), _named(numbers)).otherwise(F.array().cast("array<string>"))).drop("__mask", "__scopes", "__all")
 
 
 def context_tokens(df: DataFrame, row: str, epoch: str | None = "event_time_epoch", iso: str | None = "event_time_iso", minutes: float = 15, novel: Column | None = None, partition: Sequence[str] = (), chunk: int = CHUNK_SECONDS) -> DataFrame:
@@ -303,7 +317,7 @@ def context_tokens(df: DataFrame, row: str, epoch: str | None = "event_time_epoc
     seen = timed.select("*", *(c.alias(n) for n, c in last.items())).where("__chunk = __own")
     available = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("__time") - F.col(f"__s{i}") <= window, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(len(ACTIVE))])
     keys = ["__row", *partition]
-    closed = seen.select(*keys, pair_numbers(F.col("__mask"), available, F.col("scope")).alias("n"))
-    alone = flat.where("__time is null").select(*keys, pair_numbers(F.col("__mask"), F.col("__mask"), F.col("scope")).alias("n"))
+    closed = seen.select(*keys, "__mask", "scope", available.alias("__available")).where(may_close(F.col("__available"))).select(*keys, pair_numbers(F.col("__mask"), F.col("__available"), F.col("scope")).alias("n"))
+    alone = flat.where("__time is null").where(may_close(F.col("__mask"))).select(*keys, pair_numbers(F.col("__mask"), F.col("__mask"), F.col("scope")).alias("n"))
     out = closed.unionByName(alone).where(F.size("n") > 0).groupBy(*keys).agg(_named(F.flatten(F.collect_list("n"))).alias("cross_tokens"))
     return out.withColumnRenamed("__row", row)

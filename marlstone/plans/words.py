@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.keyed import hmac_sha256_sql, key_of
 from marlstone.functions.text import label
 from marlstone.operators import metrics, model, vocabulary
-from marlstone.sources.tables import table
+from marlstone.sources.tables import spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -34,7 +34,7 @@ tf AS (SELECT doc_id, lang, token, count(*) AS tf FROM t WHERE length(token) >=
 
 
 def _tf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vocabulary.text_frequency(table(spark, sf_dir, "documents"), F.col("text"), "doc_id", "lang")
+    return vocabulary.text_frequency(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")), F.col("text"), "doc_id", "lang")
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
