@@ -571,8 +571,7 @@ def with_decision(df: DataFrame, policy: Policy) -> DataFrame:
         ((kind == "system_and_network") & s_ok & n_ok, both),
     ]
     decided = _branches(*tests, otherwise=_decision("forward", kind, fail["code"], fail["details"], fail["policy_id"]))
-    once = F.explode(F.array(decided))  # a filter on the decision stays behind it, instead of being written out over all that it is made of
-    return keep.df.select(*(F.col(f"`{c}`") for c in columns if c != "decision"), once.alias("decision"))
+    return keep.df.select(*(F.col(f"`{c}`") for c in columns if c != "decision"), decided.alias("decision"))
 
 
 # Prefilters
@@ -634,11 +633,16 @@ def with_prefilters(df: DataFrame, policy: Policy, event_id_column: str | None =
     action = F.when(F.size(must) > 0, "forward").when(drop, "suppress").otherwise(d["action"])
     code = F.when(F.size(must) > 0, F.get(must, F.lit(0))["code"]).when(drop, "ALLOWED").otherwise(d["reason_code"])
     merged = F.struct(action.alias("action"), d["category"].alias("category"), code.alias("reason_code"), details.alias("reason_details"), d["matched_policy_id"].alias("matched_policy_id"))
-    return wide.select(*(F.col(f"`{c}`") for c in df.columns if c != "decision"), F.explode(F.array(merged)).alias("decision"))
+    return wide.withColumn("decision", merged).drop("__v")
 
 
-def forwarded(df: DataFrame) -> DataFrame:
-    return df.where("decision.action = 'forward'")
+def forwarded(df: DataFrame, action: str = "forward") -> DataFrame:
+    """The rows with an action.
+
+    The action comes out of an ``explode`` of one element, or the planner would write the filter out over all that the
+    decision is made of.
+    """
+    return df.select("*", F.explode(F.array("decision.action")).alias("__action")).where(F.col("__action") == action).drop("__action")
 
 
 def summary(df: DataFrame) -> DataFrame:
