@@ -11,7 +11,7 @@ import ipaddress
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,6 +60,27 @@ def in_networks(c: Column, networks: list[str]) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def join_networks(df: DataFrame, address: str, networks: DataFrame, cidr: str = "cidr") -> DataFrame:
+    """Rows with the IPv4 networks of a table that their address lies in, one row for each.
+
+    A network is the leading bits of its addresses, so for each prefix length that the table has (33 at most) a row looks
+    up one number: an equi-join, whatever the number of networks.
+    """
+    size = F.split(F.col(cidr), "/")[1].try_cast("int")
+    base = ipv4(F.split(F.col(cidr), "/")[0])
+    wide = networks.select("*", F.coalesce(size, F.lit(32)).alias("__len"), base.alias("__start")).where("__start is not null and __len between 0 and 32")
+
+    def cut(n: Column, k: Column) -> Column:
+        return F.floor(n / F.pow(F.lit(2.0), F.lit(32) - k)).cast("bigint")
+
+    wide = wide.withColumn("__start", cut(F.col("__start"), F.col("__len")))
+    lengths = sorted(r[0] for r in wide.select("__len").distinct().collect())  # 33 at most
+    number = F.explode(F.array(ipv4(F.col(f"`{address}`"))))
+    own = df.select("*", number.alias("__ip"))
+    probes = F.array(*(F.struct(F.lit(k).alias("__len"), cut(F.col("__ip"), F.lit(k)).alias("__start")) for k in lengths)) if lengths else F.array().cast("array<struct<__len:int,__start:bigint>>")
+    return own.select("*", F.inline(probes)).join(wide, ["__len", "__start"]).drop("__len", "__start", "__ip")
+
+
 def same_address(c: Column, addresses: list[str]) -> Column:
     return in_networks(c, list(addresses))
 

@@ -170,10 +170,14 @@ def train_round(examples: DataFrame, weights: DataFrame, biases: DataFrame, voca
         items = state["model"].iloc[0]
         index, w, scale = (np.array([x[k] for x in items]) for k in ("gv_index", "weight", "idf"))
         rows = rows.sort_values("row")
-        lists = [[(np.searchsorted(index, x["gv_index"]), x["value"]) for x in f if x["gv_index"] <= index[-1] and index[np.searchsorted(index, x["gv_index"])] == x["gv_index"]] for f in rows["features"]]
-        start = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
-        at = np.array([i for x in lists for i, _ in x], np.int64)
-        value = np.array([v for x in lists for _, v in x], float)
+        size = rows["__index"].map(len).to_numpy()
+        there = [c for c in rows["__index"] if len(c)]
+        number = np.concatenate(there) if there else np.zeros(0, np.int64)
+        value = np.concatenate([c for c in rows["__value"] if len(c)]) if there else np.zeros(0)
+        at = np.minimum(np.searchsorted(index, number), len(index) - 1)
+        known = index[at] == number
+        start = np.concatenate([[0], np.cumsum(np.bincount(np.repeat(np.arange(len(rows)), size)[known], minlength=len(rows)))]).astype(np.int64)
+        at, value = at[known], value[known].astype(float)
         if scaled:
             value, w = value * scale[at], w / scale
         shift = sum(map(ord, f"{label}|{sub}|{org}"))
@@ -182,7 +186,8 @@ def train_round(examples: DataFrame, weights: DataFrame, biases: DataFrame, voca
         return pd.DataFrame([{"label": label, "subcategory": sub, "org": org, "examples": len(rows), "loss": out["loss"], "accuracy": out["accuracy"], "bias": out["bias"], "low": out["low"], "high": out["high"], "indexes": index.tolist(), "weights": final.tolist()}])
 
     keys = ["label", "subcategory", "org"]
-    return examples.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(train, TRAINED)
+    flat = examples.withColumns({"__index": F.transform("features", lambda x: x["gv_index"]), "__value": F.transform("features", lambda x: x["value"].cast("double"))}).drop("features")
+    return flat.groupBy(*keys).cogroup(model.groupBy(*keys)).applyInPandas(train, TRAINED)
 
 
 def averaged(weights: DataFrame, updates: DataFrame, by: str = "sample_size") -> tuple[DataFrame, DataFrame]:

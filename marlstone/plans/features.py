@@ -287,3 +287,16 @@ SELECT row, 'cross:' || a || '_and_' || b || '_' || s || '_15m' AS token FROM l
 def row_cross_token_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals.row_tokens(_flows(spark, sf_dir)).select("row", F.explode("cross_tokens").alias("token"))
 
+
+@query("""WITH n AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 24 WHEN 1 THEN 16 ELSE 28 END AS len, s_suppkey % 200 AS b, s_suppkey * 7 % 256 AS c FROM supplier),
+w AS (SELECT s_suppkey, '10.' || b || '.' || CASE len WHEN 16 THEN 0 ELSE c END || '.' || CASE len WHEN 28 THEN 32 ELSE 0 END || '/' || len AS cidr, len, b, c FROM n),
+e AS (SELECT event_id, user_id % 200 AS b, event_id % 256 AS c, event_id * 3 % 256 AS d FROM events)
+SELECT event_id, s_suppkey, cidr FROM e JOIN w ON e.b = w.b AND (w.len = 16 OR (w.len = 24 AND e.c = w.c) OR (w.len = 28 AND e.c = w.c AND e.d BETWEEN 32 AND 47))""")
+def cidr_table_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of events joined with a table of networks of three sizes."""
+    k, key = F.col("event_id"), F.col("s_suppkey")
+    text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
+    size = F.when(key % 3 == 0, 24).when(key % 3 == 1, 16).otherwise(28)
+    nets = table(spark, sf_dir, "supplier").select("s_suppkey", text("10.", key % 200, ".", F.when(size == 16, 0).otherwise(key * 7 % 256), ".", F.when(size == 28, 32).otherwise(0), "/", size).alias("cidr"))
+    e = table(spark, sf_dir, "events").select("event_id", text("10.", F.col("user_id") % 200, ".", k % 256, ".", k * 3 % 256).alias("ip"))
+    return net.join_networks(e, "ip", nets).select("event_id", "s_suppkey", "cidr")

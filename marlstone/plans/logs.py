@@ -253,13 +253,12 @@ def dup_collapse_late(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH v AS (SELECT DISTINCT l_orderkey AS k, l_linenumber AS n FROM lineitem WHERE l_quantity > 20),
-i AS (SELECT k, n, n - row_number() OVER (PARTITION BY k ORDER BY n) AS g FROM v), s AS (SELECT k, min(n) AS a, max(n) AS b FROM i GROUP BY k, g)
-SELECT k AS l_orderkey, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ';' ORDER BY a) AS ranges FROM s GROUP BY k"""
+    """WITH v AS (SELECT DISTINCT l_orderkey AS k, l_returnflag AS f, l_linenumber AS n FROM lineitem),
+i AS (SELECT k, f, n, n - row_number() OVER (PARTITION BY k, f ORDER BY n) AS g FROM v), s AS (SELECT k, f, min(n) AS a, max(n) AS b FROM i GROUP BY k, f, g)
+SELECT k AS l_orderkey, f AS l_returnflag, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ';' ORDER BY a) AS ranges FROM s GROUP BY k, f"""
 )
 def compact_row_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").where("l_quantity > 20")
-    return l.groupBy("l_orderkey").agg(compact_ranges(F.collect_list("l_linenumber")).alias("ranges"))
+    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(compact_ranges(F.collect_list("l_linenumber")).alias("ranges"))
 
 
 _NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -422,15 +421,17 @@ def stix_indicator_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_iocs(spark, sf_dir).select("indicator_type", "indicator_value").distinct().withColumn("indicator_id", indicators.stix_id("indicator", F.concat_ws(":", "indicator_type", "indicator_value")))
 
 
-_SIDES_SQL = _IOC_SQL + """, a AS (SELECT DISTINCT indicator_type, indicator_value FROM i WHERE page_id % 2 = 0), b AS (SELECT DISTINCT indicator_type, indicator_value FROM i WHERE page_id % 3 = 0),
+_LOW_SQL = _IOC_SQL.replace("WITH u AS", ", u2 AS").replace("h AS (", "h2 AS (").replace("k AS (", "k2 AS (").replace("i AS (", "i2 AS (").replace("FROM u)", "FROM u2)").replace("FROM h)", "FROM h2)").replace("FROM k ", "FROM k2 ").replace("all(url", "all(lower(url)")
+_SIDES_SQL = _IOC_SQL + _LOW_SQL + """, a AS (SELECT DISTINCT indicator_type, indicator_value FROM i), b AS (SELECT DISTINCT indicator_type, indicator_value FROM i2),
 c AS (SELECT coalesce(a.indicator_type, b.indicator_type) AS indicator_type, count(a.indicator_value) AS test_count, count(b.indicator_value) AS truth_count, count(*) FILTER (a.indicator_value IS NOT NULL AND b.indicator_value IS NOT NULL) AS in_both
   FROM a FULL JOIN b ON a.indicator_type = b.indicator_type AND a.indicator_value = b.indicator_value GROUP BY 1)
 """
 
 
 def _compared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = _page_iocs(spark, sf_dir)
-    return indicators.compare(i.where("page_id % 2 = 0"), i.where("page_id % 3 = 0"))
+    """Indicators of all addresses as they are, against those of all addresses in lower case."""
+    low = table(spark, sf_dir, "pages").select(F.inline(indicators.extract(F.lower("url"))))
+    return indicators.compare(_page_iocs(spark, sf_dir), low)
 
 
 @query(_SIDES_SQL + "SELECT *, test_count - in_both AS only_in_test, truth_count - in_both AS only_in_truth FROM c")
