@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.functions.keyed import hmac_sha256_sql, key_of
 from marlstone.functions.text import label
 from marlstone.operators import metrics, model, vocabulary
+from marlstone.operators.federated import written
 from marlstone.sources.tables import spread, table
 
 QUERIES: dict = {}
@@ -71,7 +72,7 @@ def vocab_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_VOC + "SELECT doc_id, count(*) AS terms, round(sum(tf * (ln((1 + greatest(1, n)) / (1 + df)) + 1)), 4) AS weight FROM tf JOIN v USING (lang, token) JOIN n USING (lang) GROUP BY doc_id")
 def tf_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tf = _tf(spark, sf_dir)
+    tf = written(_tf(spark, sf_dir), "tf")
     v = vocabulary.idf(_vocabulary(spark, sf_dir, tf), _documents(spark, sf_dir), "lang").select("lang", "token", "idf")
     own = tf.join(v, ["lang", "token"])
     return own.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum(F.col("tf") * F.col("idf")), 4).alias("weight"))
@@ -150,10 +151,11 @@ class _State:
     """Features of all documents and hashed weights."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        tf = _tf(spark, sf_dir)
+        tf = written(_tf(spark, sf_dir), "tf")  # several tables are made of it
         own = vocabulary.tagged(_vocabulary(spark, sf_dir, tf), KEY, "text")
-        self.axis = vocabulary.global_axis(own)
-        index = vocabulary.index_vectors(own, self.axis).select("lang", "token", "gv_index")
+        own = written(vocabulary.index_vectors(own, vocabulary.global_axis(own)).select("lang", "token", "tag", "gv_index"), "vocabulary")
+        self.axis = own.select("tag", "gv_index").distinct()
+        index = own.select("lang", "token", "gv_index")
         subs = spark.createDataFrame([(c, s) for c in _CLASSES for s in _SUBS], "label string, subcategory string")
         names = [F.col("label"), F.col("subcategory")]
         self.features = tf.join(index, ["lang", "token"]).select("doc_id", "gv_index", (F.col("tf") / 50).alias("value"))
@@ -216,19 +218,21 @@ def fed_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sgd_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of training by language on the labelled documents, and what every organisation's update says."""
     labels = table(spark, sf_dir, "labels").where("toxic in (0, 1)").dropDuplicates(["doc_id"]).select("doc_id", F.col("toxic").alias("y"))
-    tf = _tf(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi")
+    tf = written(_tf(spark, sf_dir).join(labels.select("doc_id"), "doc_id", "left_semi"), "tf")
     n = tf.select("doc_id", "lang").distinct().groupBy("lang").agg(F.count("*").alias("n"))
     own = vocabulary.local_vocabulary(vocabulary.document_frequency(tf, "lang"), n, FEATURES, 2, 0.95, "lang")
     own = vocabulary.idf(vocabulary.tagged(own, KEY, "text"), n, "lang")
-    axis = vocabulary.global_axis(own)
-    index = vocabulary.index_vectors(own, axis).select(F.lit("text").alias("subcategory"), F.col("lang").alias("org"), "gv_index", "idf")
-    found = tf.join(vocabulary.index_vectors(own, axis).select("lang", "token", "gv_index"), ["lang", "token"])
+    own = written(vocabulary.index_vectors(own, vocabulary.global_axis(own)), "vocabulary")
+    axis = own.select("tag", "gv_index").distinct()
+    index = own.select(F.lit("text").alias("subcategory"), F.col("lang").alias("org"), "gv_index", "idf")
+    found = tf.join(own.select("lang", "token", "gv_index"), ["lang", "token"])
     lists = found.groupBy("doc_id", "lang").agg(F.sort_array(F.collect_list(F.struct("gv_index", F.col("tf").cast("double").alias("value")))).alias("features"))
     weight = model.class_weights(labels, F.col("y") == 1)
     examples = lists.join(labels, "doc_id").crossJoin(F.broadcast(weight)).select(F.lit("toxic").alias("label"), F.lit("text").alias("subcategory"), F.col("lang").alias("org"), F.col("doc_id").alias("row"), "y", "positive_weight", "negative_weight", "features")
     weights = axis.select(F.lit("toxic").alias("label"), F.lit("text").alias("subcategory"), "gv_index", model.initial_weight(42, F.lit("toxic"), F.lit("text"), "gv_index").alias("weight"))
     biases = spark.createDataFrame([("toxic", "text", 0.0)], "label string, subcategory string, bias double")
-    first = model.train_round(examples, weights, biases, index)
+    examples = written(examples, "examples")
+    first = written(model.train_round(examples, weights, biases, index), "updates")
     weights, biases = model.averaged(weights, first)
     return model.train_round(examples, weights, biases, index, round_index=1).select("org", "examples", "loss", "accuracy", "bias", "low", "high")
 
