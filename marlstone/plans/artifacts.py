@@ -227,7 +227,7 @@ SELECT gv_index, round(sum(n * w) / sum(n), 9) AS weight FROM o GROUP BY gv_inde
 def sgd_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights after a round of one batch in each of three organisations, averaged by their sizes."""
     weights = spark.range(10).select(F.lit("t").alias("label"), F.lit("s").alias("subcategory"), F.col("id").alias("gv_index"), F.lit(0.0).alias("weight"))
-    new, _ = model.averaged(weights, _one_batch(spark, sf_dir))
+    new, _ = model.averaged(weights, federated.written(_one_batch(spark, sf_dir), "updates"))  # read twice
     return new.select("gv_index", F.round("weight", 9).alias("weight"))
 
 
