@@ -1,13 +1,20 @@
 """String expressions: blank tests, canonical values, tokens, ranges and entropy.
 
-All are Column expressions, so they stay in generated code.  Blank is null, empty or white
+All but ``token_counts`` are Column expressions, so they stay in generated code.  Blank is null, empty or white
 space only; white space is Unicode's.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d+)?$"
 _WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
@@ -64,21 +71,56 @@ def tokenize(c: Column) -> Column:
     return F.filter(F.flatten(parts), lambda t: F.length(t) >= 2)
 
 
-def word_tokens(word: Column) -> Column:
-    """Tokens of one lower-case word, as ``tokenize`` makes them."""
-    bare = F.regexp_replace(word, f"^[{_QUOTES}]+|[{_QUOTES}]+$", "")
-    return F.when(bare.contains("=") | bare.contains(":"), F.array(F.regexp_replace(bare, "^[.,;]+|[.,;]+$", ""))).otherwise(F.split(bare, "[^a-z0-9]+"))
-
+_AROUND, _ENDS, _BETWEEN = re.compile(f"^[{_QUOTES}]+|[{_QUOTES}]+\\Z"), re.compile(r"^[.,;]+|[.,;]+\Z"), re.compile("[^a-z0-9]+")
+PIECE_BYTES = 4 << 20
 
-def token_rows(df: DataFrame, text: Column, *keep: str) -> DataFrame:
-    """(keep, token): a row for each token of ``tokenize``.
 
-    Words become rows first, so all that is done with a word is generated code; in an array it would be interpreted.
+def word_tokens(word: str) -> list[str]:
+    """Tokens of one lower-case word, as ``tokenize`` makes them."""
+    if word.isascii() and word.isalnum():
+        return [word] if len(word) > 1 else []
+    bare = _AROUND.sub("", word)
+    return [t for t in ([_ENDS.sub("", bare)] if "=" in bare or ":" in bare else _BETWEEN.split(bare)) if len(t) > 1]
+
+
+def _counted(rows: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """Tokens of each text (the last column) and their numbers; the texts are lower case with spaces only."""
+    words = pc.split_pattern(rows.column(rows.num_columns - 1), " ")
+    row = np.repeat(np.arange(rows.num_rows), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    coded = words.flatten().dictionary_encode()  # different words are looked at once
+    number: dict[str, int] = {}
+    own = [[number.setdefault(t, len(number)) for t in word_tokens(w)] for w in coded.dictionary.to_pylist()]
+    size = np.fromiter(map(len, own), np.int64, len(own))
+    flat, start = np.fromiter((k for ks in own for k in ks), np.int64, size.sum()), np.cumsum(size) - size
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    many = size[code]
+    at = np.repeat(start[code] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    pair, tf = np.unique(np.repeat(row, many) * max(len(number), 1) + flat[at], return_counts=True)
+    row, token = np.divmod(pair, max(len(number), 1))
+    kept = [c.take(pa.array(row)) for c in rows.columns[:-1]]
+    return pa.RecordBatch.from_arrays([*kept, pa.array(list(number), pa.string()).take(pa.array(token)), pa.array(tf, pa.int64())], schema=schema)
+
+
+def token_counts(df: DataFrame, text: Column, *keep: str) -> DataFrame:
+    """(keep, token, tf): the different tokens of each row's text, as ``tokenize`` makes them, with their numbers.
+
+    A piece of rows is split and counted at once by Arrow and numpy, and only its different words are looked at;
+    a row for each word would cost more than all that follows.
     """
-    words = F.split(F.translate(F.lower(F.coalesce(text, F.lit(""))), _WHITE, " " * len(_WHITE)), " ")
-    flat = df.select(*keep, F.explode(words).alias("__word")).where("__word <> ''")
-    plain = F.col("__word").rlike("^[a-z0-9]+$")
-    return flat.select(*keep, F.explode(F.when(plain, F.array("__word")).otherwise(word_tokens(F.col("__word")))).alias("token")).where(F.length("token") >= 2)
+    flat = df.select(*keep, F.translate(F.lower(F.coalesce(text, F.lit(""))), _WHITE, " " * len(_WHITE)).alias("__text"))
+    fields = T.StructType([*flat.schema.fields[:-1], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            schema = pa.schema([*(batch.schema.field(i) for i in range(batch.num_columns - 1)), ("token", pa.string()), ("tf", pa.int64())])
+            ends = np.cumsum(pc.binary_length(batch.column(batch.num_columns - 1)).to_numpy(zero_copy_only=False), dtype=np.int64)
+            first = 0
+            while first < batch.num_rows:
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + PIECE_BYTES, "right")))
+                yield _counted(batch.slice(first, last - first), schema)
+                first = last
+
+    return flat.mapInArrow(run, fields)
 
 
 def number(c: Column) -> Column:

@@ -6,11 +6,13 @@ tokens, leave an organisation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.keyed import tag
-from marlstone.functions.text import token_rows
+from marlstone.functions.text import token_counts
 
 
 SLICES = 64
@@ -22,8 +24,17 @@ def term_frequency(df: DataFrame, tokens: Column, *keys: str) -> DataFrame:
 
 
 def text_frequency(df: DataFrame, text: Column, *keys: str) -> DataFrame:
-    """(keys, token, tf) of a text column; as ``term_frequency`` of its tokens, but for large texts."""
-    return token_rows(df, text, *keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
+    """(keys, token, tf) of a text column; as ``term_frequency`` of its tokens, but for large texts.
+
+    A row's tokens are counted where it is.  Only rows whose keys occur again (found by a job over the keys) are
+    shuffled to be added up.
+    """
+    again = df.groupBy(*keys).agg(F.count("*").alias("__n")).where("__n > 1").select(*(F.col(k).alias(f"__{k}") for k in keys))
+    if again.isEmpty():
+        return token_counts(df, text, *keys)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    added = token_counts(df.join(again, same, "left_semi"), text, *keys).groupBy(*keys, "token").agg(F.sum("tf").alias("tf"))
+    return token_counts(df.join(again, same, "left_anti"), text, *keys).unionByName(added)
 
 
 def document_frequency(tf: DataFrame, *org: str) -> DataFrame:

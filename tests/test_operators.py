@@ -2,6 +2,7 @@
 
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from marlstone.functions import net, text, times
-from marlstone.operators import collapse, indicators, model, orgs, profile, signals
+from marlstone.operators import collapse, indicators, model, orgs, profile, signals, vocabulary
 from marlstone.plans import registry
 from marlstone.sources import sinks, tables
 from marlstone.streaming.collapse import collapse_stream
@@ -293,3 +294,15 @@ def test_indicators_of_html_are_found(spark, tmp_path):
     spark.createDataFrame(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = {tuple(r) for r in registry.QUERIES["ioc_html"](spark, str(tmp_path)).collect()}
     assert got == {(1, "url", "http://a.example.com/x"), (1, "domain", "a.example.com"), (1, "ipv4", "10.0.0.1")}
+
+
+def test_tokens_are_counted_in_pieces_of_a_batch(spark, monkeypatch):
+    monkeypatch.setattr(text, "PIECE_BYTES", 20)
+    rows = [(0, "a", None), (1, None, ""), (2, "b", "Ab ab, (AB) x=1. 'y:z;' café-au lait İx"), (3, "b", "ab " * 30 + "q"), (3, "b", "zz ab")]
+    df = spark.createDataFrame(rows, "k int, g string, t string").coalesce(1)
+    want = Counter((r.k, r.g, t) for r in df.select("k", "g", text.tokenize(F.col("t")).alias("x")).collect() for t in r.x)
+    got = vocabulary.text_frequency(df, F.col("t"), "k", "g").collect()
+    assert {(r.k, r.g, r.token): r.tf for r in got} == dict(want) and len(got) == len(want)
+    words = pa.RecordBatch.from_pydict({"k": [7], "t": ["one " * 1000]})
+    counted = text._counted(words, pa.schema([("k", pa.int64()), ("token", pa.string()), ("tf", pa.int64())]))
+    assert counted.to_pylist() == [{"k": 7, "token": "one", "tf": 1000}]  # a row a token, not one a word
