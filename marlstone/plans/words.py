@@ -158,8 +158,7 @@ class _State:
         index = own.select("lang", "token", "gv_index")
         subs = spark.createDataFrame([(c, s) for c in _CLASSES for s in _SUBS], "label string, subcategory string")
         names = [F.col("label"), F.col("subcategory")]
-        self.features = tf.join(index, ["lang", "token"]).select("doc_id", "gv_index", (F.col("tf") / 50).alias("value"))
-        self.features = self.features.crossJoin(F.broadcast(subs.select("subcategory").distinct()))
+        self.features = tf.join(index, ["lang", "token"]).select("doc_id", "gv_index", (F.col("tf") / 50).alias("value"))  # of all subcategories
         self.weights = self.axis.select("gv_index").crossJoin(F.broadcast(subs)).withColumn("weight", _hashed(F.col("gv_index").cast("string"), *names))
         self.biases = subs.withColumn("bias", _hashed(F.lit("bias"), *names))
         self.rows = table(spark, sf_dir, "documents").select("doc_id").distinct()

@@ -306,3 +306,16 @@ def test_tokens_are_counted_in_pieces_of_a_batch(spark, monkeypatch):
     words = pa.RecordBatch.from_pydict({"k": [7], "t": ["one " * 1000]})
     counted = text._counted(words, pa.schema([("k", pa.int64()), ("token", pa.string()), ("tf", pa.int64())]))
     assert counted.to_pylist() == [{"k": 7, "token": "one", "tf": 1000}]  # a row a token, not one a word
+
+
+def test_logits_of_features_without_a_subcategory(spark):
+    w = spark.createDataFrame([(a, s, i, 1.0 + i + 10 * (a == "b") + 100 * (s == "u")) for a in "ab" for s in "tu" for i in range(2)], "label string, subcategory string, gv_index long, weight double")
+    b = spark.createDataFrame([(a, s, 0.5) for a in "ab" for s in "tu"], "label string, subcategory string, bias double")
+    f = spark.createDataFrame([(1, 0, 1.0), (1, 1, 2.0)], "row long, gv_index long, value double")
+    rows = spark.range(1, 3).withColumnRenamed("id", "row")
+    shared = {tuple(r) for r in model.logits(f, w, b, rows, "row").collect()}
+    assert shared == {(1, "a", "t", 5.5), (1, "b", "t", 35.5), (1, "a", "u", 305.5), (1, "b", "u", 335.5), *((2, a, s, 0.5) for a in "ab" for s in "tu")}
+    both = f.crossJoin(w.select("subcategory").distinct())
+    assert {tuple(r) for r in model.logits(both, w, b, rows, "row").collect()} == shared
+    one = {tuple(r) for r in model.logits(both.where("subcategory = 't'"), w, b, rows, "row").collect()}
+    assert (1, "b", "t", 35.5) in one and (1, "b", "u", 0.5) in one
