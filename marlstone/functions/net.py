@@ -94,6 +94,15 @@ def is_external(c: Column, v6: bool = False) -> Column:
     return F.coalesce(out, F.lit(False))
 
 
+def is_external_number(n: Column) -> Column:
+    """The same of an IPv4 address as an integer; false for null."""
+
+    def within(networks: tuple[str, ...]) -> Column:
+        return reduce(Column.__or__, [n.between(int(x[0]), int(x[-1])) for x in map(ipaddress.ip_network, networks)])
+
+    return F.coalesce(~within(_NOT_GLOBAL) | within(_GLOBAL_AGAIN), F.lit(False))
+
+
 def is_address(c: Column, v6: bool = True) -> Column:
     return ipv4(c).isNotNull() | ip_bytes(c).isNotNull() if v6 else ipv4(c).isNotNull()
 

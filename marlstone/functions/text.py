@@ -125,8 +125,16 @@ def token_counts(df: DataFrame, text: Column, *keep: str) -> DataFrame:
 
 def number(c: Column) -> Column:
     """A finite double, or null; digits may be grouped by single underscores, as canonical values have them."""
-    text = F.lower(strip(c))
-    value = F.replace(F.when(text.rlike(FLOAT), text), F.lit("_"), F.lit("")).try_cast("double")
+    return finite(number_value(F.lower(c)))
+
+
+def number_value(c: Column) -> Column:
+    """The double that a lower-case text says, also an infinite one, or null."""
+    text = strip(c)
+    return F.replace(F.when(text.rlike(FLOAT), text), F.lit("_"), F.lit("")).try_cast("double")
+
+
+def finite(value: Column) -> Column:
     return F.when(F.abs(value) < float("inf"), value)
 
 

@@ -7,7 +7,6 @@ the row's own, the other its own as well or that of an earlier row of the same s
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import net
 from marlstone.functions.keyed import novelty_tag
-from marlstone.functions.text import canonical, domain, entropy, is_blank, number, strip
+from marlstone.functions.text import canonical, domain, entropy, finite, number_value, strip
 from marlstone.functions.times import context_time
 
 LEFT = tuple("encoded_command sensitive_file_read llm_file_read_tool failed_login_burst secret_read_tool".split())
@@ -45,12 +44,18 @@ SCOPE_COLUMNS = {
     "same_cluster": "cluster cluster_name k8s_cluster",
     "same_cloud_account": "cloud_account cloud_provider cloud_region",
 }
+_PORTS = "src_port local_port remote_port destination_port dst_port"
+_DOMAINS = "hostname_query tls_sni http_host query dns_query domain"
+_NUMERIC = frozenset(f"{_PORTS} upload_bytes total_sum bytes_out total_size connection_rate beacon_rate drate srate rate failure_count auth_failure_count failed_login_count download_bytes bytes_in txt_query_count dns_txt_count nxdomain_count dns_query_count dst_count connection_count unique_dst_count fanout east_west_count internal_connection_count packet_number dst_port_count syn_count duration_ms duration flow_duration pkts_out failed_tls_count tls_failure_count".split())
 ZONE_COLUMNS = f"{_ADDRESSES} local_address local_ip source_ip src_ip destination_endpoint source_endpoint endpoint"
 _NAMES = {"domains": "hostname_query http_host query dns_query destination_domain domain", "snis": "sni tls_sni", "destination_ips": _ADDRESSES}
 
 
 class Row:
-    """Tests on the columns that are there; names are given with spaces in between."""
+    """Tests on the columns that are there; names are given with spaces in between.
+
+    Texts, numbers and addresses are read from what ``prepared`` made of each column.
+    """
 
     def __init__(self, columns: Sequence[str], v6: bool = False):
         self.columns, self.v6 = list(columns), v6
@@ -58,40 +63,38 @@ class Row:
     def here(self, names: str) -> list[Column]:
         return [F.col(f"`{n}`").cast("string") for n in names.split() if n in self.columns]
 
-    def _joined(self, columns: list[Column]) -> Column:
-        return F.concat_ws(" ", *(F.when(~is_blank(c), F.lower(c)) for c in columns)) if columns else F.lit("")
+    def made(self, kind: str, names: str) -> list[Column]:
+        return [F.col(f"`__{kind}_{n}`") for n in names.split() if n in self.columns]
 
     def has(self, names: str, needles: str) -> Column:
         """One of the needles (separated by ``|``) occurs in the columns."""
-        return self._any(self._joined(self.here(names)), needles)
+        texts = self.made("low", names)
+        return self._any(F.concat_ws(" ", *texts) if len(texts) > 1 else F.coalesce(*texts, F.lit("")), needles)
 
     def anywhere(self, needles: str) -> Column:
         """The same in all columns but the labels; the joined text is the column ``__all`` of ``prepared``."""
         return self._any(F.col("__all"), needles)
 
-    def all_text(self) -> Column:
-        return self._joined([F.col(f"`{c}`").cast("string") for c in self.columns if c.lower() not in LABEL_COLUMNS])
-
     @staticmethod
     def _any(text: Column, needles: str) -> Column:
-        return text.rlike("|".join(re.sub(r"([^A-Za-z0-9_ |])", r"\\\1", x) for x in needles.split("|")))
+        return reduce(Column.__or__, [text.contains(x) for x in needles.split("|")])
 
     def most(self, names: str) -> Column:
-        values = [F.coalesce(number(c), F.lit(float("-inf"))) for c in self.here(names)]
+        values = [F.coalesce(c, F.lit(float("-inf"))) for c in self.made("number", names)]
         top = F.greatest(*values, F.lit(float("-inf"))) if values else F.lit(float("-inf"))
         return F.when(top == float("-inf"), 0.0).otherwise(top)
 
     def filled(self, names: str) -> Column:
-        return reduce(Column.__or__, [~is_blank(c) for c in self.here(names)], F.lit(False))
+        return reduce(Column.__or__, [c.isNotNull() for c in self.made("low", names)], F.lit(False))
 
     def port(self, *ports: int) -> Column:
-        return reduce(Column.__or__, [F.coalesce(F.floor(number(c)).isin(list(ports)), F.lit(False)) for c in self.here("src_port local_port remote_port destination_port dst_port")], F.lit(False))
+        return reduce(Column.__or__, [F.coalesce(F.floor(c).isin(list(ports)), F.lit(False)) for c in self.made("number", _PORTS)], F.lit(False))
 
     def external(self, names: str) -> Column:
-        return reduce(Column.__or__, [net.is_external(c, self.v6) for c in self.here(names)], F.lit(False))
+        return reduce(Column.__or__, [net.is_external(c, True) for c in self.here(names)] if self.v6 else [net.is_external_number(n) for n in self.made("v4", names)], F.lit(False))
 
     def domains(self) -> list[Column]:
-        return [F.rtrim(F.lower(strip(c)), F.lit(".")) for c in self.here("hostname_query tls_sni http_host query dns_query domain")]
+        return self.made("domain", _DOMAINS)
 
     def target(self) -> Column:
         return self.filled("dns_query domain tls_sni http_host remote_address") | self.external(_ADDRESSES)
@@ -119,7 +122,7 @@ def library(columns: Sequence[str], v6: bool = False) -> dict[str, Column]:
     reach = r.outbound() | r.filled("remote_address dst_ip")
     long_name = reduce(Column.__or__, [F.coalesce((F.length(d) >= 80) | (F.length(F.regexp_replace(d, r"[^.]", "")) >= 5), F.lit(False)) for d in r.domains()], F.lit(False))
     common = [3389, 995, 993, 587, 465, 445, 443, 143, 123, 110, 80, 53, 25, 22, 21, 20]
-    odd_port = reduce(Column.__or__, [F.coalesce(~F.floor(number(c)).isin(common), F.lit(False)) for c in r.here("remote_port destination_port dst_port")], F.lit(False))
+    odd_port = reduce(Column.__or__, [F.coalesce(~F.floor(c).isin(common), F.lit(False)) for c in r.made("number", "remote_port destination_port dst_port")], F.lit(False))
     return {
         "encoded_command": has("cmdline command_line process_exe process_name process_command_line", "powershell|cmd.exe|encodedcommand| -enc |frombase64string"),
         "sensitive_file_read": sensitive,
@@ -139,8 +142,8 @@ def library(columns: Sequence[str], v6: bool = False) -> dict[str, Column]:
         "dns_tunnel_pattern": anywhere("dnscat|dns tunnel|dns_tunnel|iodine") | long_name,
         "dns_txt_query_burst": anywhere("type=txt|dns_txt| txt ") | (most("txt_query_count dns_txt_count") >= 5),
         "dns_nxdomain_burst": anywhere("nxdomain") & (most("nxdomain_count dns_query_count") >= 5),
-        "domain_generation_pattern": anywhere("dga|domain_generation") | r.random_domain(),
-        "high_entropy_domain": r.random_domain(),
+        "domain_generation_pattern": anywhere("dga|domain_generation") | F.col("__random"),
+        "high_entropy_domain": F.col("__random"),
         "high_beacon_rate": beacon,
         "repeated_404_beacon": anywhere("404_beacon|repeated_404") | (has("http_status status_code status", "404") & beacon),
         "high_connection_fanout": (most("dst_count connection_count unique_dst_count fanout") >= 20) | anywhere("fanout"),
@@ -168,8 +171,23 @@ def library(columns: Sequence[str], v6: bool = False) -> dict[str, Column]:
 
 
 def prepared(df: DataFrame) -> DataFrame:
-    """Add the joined text that many signals search, once."""
-    return df.withColumn("__all", Row(df.columns).all_text())
+    """Add what the signals read: each column as lower-case text, null if blank, and as number, address or domain, and all texts joined.
+
+    Each is made once, in a projection below those that use it; written out in every signal that looks at a column they
+    would cost many times the signals.
+    """
+    names = df.columns
+    text, r = {c: F.col(f"`{c}`").cast("string") for c in names}, Row(names)
+    wide = df.withColumns({f"__low_{c}": F.when(strip(t) != "", F.lower(t)) for c, t in text.items()})
+    low = {c: F.col(f"`__low_{c}`") for c in names}
+    shown = [low[c] for c in names if c.lower() not in LABEL_COLUMNS]
+    added = {"__all": F.concat_ws(" ", *shown) if shown else F.lit("")}
+    added |= {f"__number_{c}": number_value(low[c]) for c in names if c in _NUMERIC}
+    added |= {f"__v4_{c}": net.ipv4(low[c]) for c in names if c in _ADDRESSES.split()}
+    added |= {f"__domain_{c}": F.rtrim(strip(low[c]), F.lit(".")) for c in names if c in _DOMAINS.split()}
+    wide = wide.withColumns(added)
+    numbers = {f"__number_{c}": finite(F.col(f"`__number_{c}`")) for c in names if c in _NUMERIC}
+    return wide.withColumns(numbers | {"__random": r.random_domain()})
 
 
 def novelty_values(columns: Sequence[str], kind: str) -> Column:
@@ -268,10 +286,16 @@ def may_close(available: Column) -> Column:
 
 def pairs_closed(current: Column, available: Column) -> Column:
     """Numbers (in the first scope) of the pairs that a row closes, from masks of its own and of all available signals."""
-    pairs = [(1 << a | 1 << (len(LEFT) + b), (a * len(RIGHT) + b) * len(SCOPES)) for a in range(len(LEFT)) for b in range(len(RIGHT))]
-    every = F.array(*(F.struct(F.lit(m).cast("bigint").alias("m"), F.lit(n).alias("n")) for m, n in pairs))
-    closed = F.filter(every, lambda p: (available.bitwiseAND(p["m"]) == p["m"]) & (current.bitwiseAND(p["m"]) != 0))
-    return F.transform(closed, lambda p: p["n"])
+    def there(first: int, many: int) -> Column:
+        return F.filter(F.array(*(F.lit(i) for i in range(first, first + many))), lambda i: F.getbit(available, i) == 1)
+
+    left, right = there(0, len(LEFT)), there(len(LEFT), len(RIGHT))
+
+    def closed(a: Column) -> Column:
+        own = F.filter(right, lambda b: (F.getbit(current, a) == 1) | (F.getbit(current, b) == 1))
+        return F.transform(own, lambda b: (a * len(RIGHT) + b - len(LEFT)) * len(SCOPES))
+
+    return F.flatten(F.transform(left, closed))
 
 
 def pair_numbers(current: Column, available: Column, scope: Column) -> Column:
@@ -281,17 +305,21 @@ def pair_numbers(current: Column, available: Column, scope: Column) -> Column:
 
 def _named(numbers: Column) -> Column:
     names = F.array(*map(F.lit, TOKENS))
-    return F.transform(F.array_sort(F.array_distinct(numbers)), lambda k: F.element_at(names, (k + 1).cast("int")))
+    return F.transform(F.sort_array(F.array_distinct(numbers)), lambda k: F.element_at(names, (k + 1).cast("int")))
 
 
 def row_tokens(df: DataFrame, novel: Column | None = None) -> DataFrame:
-    """Add ``cross_tokens`` of each row by itself; a scope counts if one of its columns is filled."""
+    """Add ``cross_tokens`` of each row by itself; a scope counts if one of its columns is filled.
+
+    The tokens come out of an ``explode`` of one element, as the mask does.
+    """
     r = Row(df.columns)
     supported = F.array_compact(F.array(*(F.when(r.filled(f"{ZONE_COLUMNS} network_zone" if s == "same_network_zone" else SCOPE_COLUMNS[s]), F.lit(i)) for i, s in enumerate(SCOPES))))
     wide = prepared(df).withColumn("__mask", mask(active(df.columns, novel))).withColumn("__scopes", supported)
     m = F.col("__mask")
     numbers = F.get(F.transform(F.array(pairs_closed(m, m)), lambda closed: F.flatten(F.transform("__scopes", lambda s: F.transform(closed, lambda n: n + s)))), F.lit(0))  # pairs are tried once, not for each scope
-    return wide.withColumn("cross_tokens", F.when(may_close(m), _named(numbers)).otherwise(F.array().cast("array<string>"))).drop("__mask", "__scopes", "__all")
+    tokens = F.when(may_close(m), _named(numbers)).otherwise(F.array().cast("array<string>"))
+    return wide.select(*(F.col(f"`{c}`") for c in df.columns if c != "cross_tokens"), F.explode(F.array(tokens)).alias("cross_tokens"))
 
 
 def context_tokens(df: DataFrame, row: str, epoch: str | None = "event_time_epoch", iso: str | None = "event_time_iso", minutes: float = 15, novel: Column | None = None, partition: Sequence[str] = (), chunk: int = CHUNK_SECONDS) -> DataFrame:
