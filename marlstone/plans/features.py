@@ -12,7 +12,7 @@ from marlstone.operators import fields, indicators, model, orgs, policy, profile
 from marlstone.operators.federated import evaluate, unknown_labels
 from marlstone.plans.logs import _flows
 from marlstone.plans.words import _PREDICTED, HIERARCHY, _State
-from marlstone.sources.tables import spread, table
+from marlstone.sources.tables import PIECE, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -227,7 +227,7 @@ def _all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, u = F.col("event_id"), F.col("user_id")
     words = F.element_at(F.array(*map(F.lit, _WORDS)), (k % len(_WORDS) + 1).cast("int"))
     number = lambda n: (u % n).cast("string")
-    return spread(table(spark, sf_dir, "events")).select(
+    return spread(table(spark, sf_dir, "events"), PIECE).select(
         k.alias("row"), words.alias("message"), F.when(k % 7 == 0, words).alias("process_command_line"), F.when(k % 11 == 0, words).alias("tool_name"), F.when(k % 13 == 0, F.lit("Outbound")).alias("direction"),
         F.element_at(F.array(*map(F.lit, _PORTS)), (u % len(_PORTS) + 1).cast("int")).alias("dst_port"), F.when(k % 5 == 0, F.concat(F.lit("203.0."), number(200), F.lit(".9"))).when(k % 5 == 1, F.concat(F.lit("10.0.0."), number(200))).alias("dst_ip"),
         F.when(k % 6 == 0, F.element_at(F.array(*map(F.lit, _DOMAINS)), (u % len(_DOMAINS) + 1).cast("int"))).alias("domain"), F.when(k % 9 == 0, F.lit("sni.example.org")).alias("tls_sni"), F.when(k % 10 == 0, F.lit("abc")).alias("ja3"),

@@ -15,7 +15,7 @@ from marlstone.operators import collapse as dup
 from marlstone.operators import indicators, orgs, policy, profile, signals
 from marlstone.operators.fields import resolved
 from marlstone.sources.artifacts import scratch
-from marlstone.sources.tables import spread, table
+from marlstone.sources.tables import PIECE, spread, table
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -103,7 +103,7 @@ def severity_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def log_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log made of the events: system rows, network rows, rows that are both and rows that are neither."""
-    e, u, k = spread(table(spark, sf_dir, "events")), F.col("user_id"), F.col("event_id")
+    e, u, k = spread(table(spark, sf_dir, "events"), PIECE), F.col("user_id"), F.col("event_id")
     system, network = F.col("event_type").isin("view", "click", "signup"), F.col("event_type").isin("purchase", "signup")
     text = lambda *p: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in p))
     return e.select(
@@ -308,7 +308,7 @@ SELECT event_id, CAST(stranger + novel + far AS DOUBLE) AS anomaly_score, strang
   array_to_string(list_filter([CASE WHEN stranger = 1 THEN 'UNKNOWN_ENTITY' END, CASE WHEN novel = 1 THEN 'UNKNOWN_CATEGORICAL_VALUE' END, CASE WHEN far = 1 THEN 'NUMERIC_OUTSIDE_BENIGN_PROFILE' END], lambda z: z IS NOT NULL), ',') AS codes FROM y"""
 )
 def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spread(table(spark, sf_dir, "events")).select("event_id", "user_id", "event_type", "value", F.when((F.col("event_type") != "error") & (F.col("event_id") % 3 > 0), " BENIGN").otherwise("attack").alias("label"))
+    e = spread(table(spark, sf_dir, "events"), PIECE).select("event_id", "user_id", "event_type", "value", F.when((F.col("event_type") != "error") & (F.col("event_id") % 3 > 0), " BENIGN").otherwise("attack").alias("label"))
     o = profile.Options(entity=("user_id",), categorical=("event_type",), numeric=("value",), ignored=("event_id", "label"), categorical_minimum=2, entity_minimum=30, most_entities=1 << 30, deviations=3.0)
     path = scratch(spark, "profile")
     profile.learn(profile.benign(e, "label"), o).save(path)  # learned once, then used as it is stored
@@ -319,7 +319,7 @@ def anomaly_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _logins(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     what = F.when(kind == "error", "LOGIN_FAILED").when(kind == "signup", "accepted")
-    return spread(table(spark, sf_dir, "events")).select(F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("user_uid"), what.alias("login_result"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_time_iso"))
+    return spread(table(spark, sf_dir, "events"), PIECE).select(F.col("event_id").alias("row"), F.col("user_id").cast("string").alias("user_uid"), what.alias("login_result"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("event_time_iso"))
 
 
 def _pairs_sql(minutes: int) -> str:
@@ -340,7 +340,7 @@ def causal_pair_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, k, u = spread(table(spark, sf_dir, "events")), F.col("event_id"), F.col("user_id")
+    e, k, u = spread(table(spark, sf_dir, "events"), PIECE), F.col("event_id"), F.col("user_id")
     return e.select(k.alias("row"), F.concat(F.lit("h"), (u % 9).cast("string")).alias("host"), F.concat(F.lit("203.0."), (u % 200).cast("string"), F.lit(".9")).alias("dst_ip"), F.when(k % 4 == 0, "22").when(k % 4 == 1, "445").otherwise("443").alias("dst_port"), (F.col("value") * 100).cast("string").alias("total_size"), F.concat(F.lit("open "), F.when(u % 3 == 0, "Password").otherwise("notes"), F.lit(".txt"), F.when(k % 10 == 0, " powershell -enc x").otherwise("")).alias("process_command_line"), F.lit("label secret").alias("label"))
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from marlstone.functions.text import numeric_text
 
 NUMERIC_COLUMNS = frozenset("ack_count dst_port drate duration fin_count flow_duration header_length iat local_port packet_number process_pid process_ppid process_tgid protocol_dns protocol_http protocol_https protocol_icmp protocol_number protocol_tcp protocol_udp rate remote_port rst_count src_port srate syn_count tcp_ack tcp_cwr tcp_ece tcp_fin tcp_psh tcp_rst tcp_syn tcp_urg total_size total_sum urg_count".split())
+PIECE = 8 << 20  # bytes of a log file that a task takes; a row costs much more than to read it
 PROVENANCE = ("source_file", "source_row_number", "source_line_number", "malformed", "malformed_reason")
 
 
@@ -27,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores, if a small input has fewer partitions than there are cores; for wide projections."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, piece: int = 0) -> DataFrame:
+    """The rows over all cores, if an input has fewer partitions than there are cores; for wide projections.
+
+    With ``piece`` there is a partition for as many bytes of files, so that tasks don't grow with the input.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if piece:
+        wanted = max(wanted, -(-int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) // piece))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 
 
 def header(spark: SparkSession, path: str, delimiter: str = ",", encoding: str = "utf-8") -> list[str]:

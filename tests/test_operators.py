@@ -121,6 +121,22 @@ def test_context_is_causal_and_inclusive(spark):
     assert contexts(spark, [("u", "success failure", None)], minutes=0) == {0: token}
 
 
+def test_signals_read_each_column_once(spark):
+    df = spark.createDataFrame([(1, "203.0.114.9", " 22 ", "Open Secret.txt", "x1y2z3a4b5c6.example.org.", "5000.0")], "row long, dst_ip string, dst_port string, process_command_line string, domain string, total_size string")
+    wide = signals.prepared(df)
+    out = wide.select("row", *(c.alias(s) for s, c in signals.library(wide.columns).items()))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("trim(") <= 4 * len(df.columns)
+    on = {s for s, x in out.first().asDict().items() if x is True}
+    assert {"sensitive_file_read", "large_upload", "outbound_ssh", "rare_destination_ip", "first_seen_domain", "high_entropy_domain"} <= on and "external_tls_post" not in on
+
+
+def test_tasks_do_not_grow_with_the_input(spark, tmp_path):
+    spark.range(100_000).write.parquet(str(tmp_path / "t.parquet"))
+    df, cores = tables.table(spark, str(tmp_path), "t"), spark.sparkContext.defaultParallelism
+    assert tables.spread(df, 4096).rdd.getNumPartitions() > max(cores, 50) and tables.spread(df, 4096).count() == 100_000
+    assert tables.spread(df).rdd.getNumPartitions() == max(cores, df.rdd.getNumPartitions())
+
+
 def test_zones_and_addresses(spark):
     cases = ["10.1.2.3", "10.1.2.3:80", "[2001:db8::1]:443", "2001:db8::1", "http://10.1.2.9/x", "name:80", "", None, "10.1.2.3/8"]
     df = spark.createDataFrame([(c,) for c in cases], "a string")
