@@ -45,18 +45,23 @@ def ip_bytes(text: pd.Series) -> pd.Series:
     return pd.Series([known[t] if t in known else known.setdefault(t, one(t)) for t in text])
 
 
-def in_networks(c: Column, networks: list[str]) -> Column:
-    """Whether the address lies in one of the networks; false for null or other text.  IPv6 is parsed only if a network asks for it."""
+def in_networks(c: Column, networks: list[str], number: Column | None = None) -> Column:
+    """Whether the address lies in one of the networks; false for null or other text.  IPv6 is parsed only if a network asks for it.
+
+    ``number``, if given, is a column with ``ipv4`` of the address, so that it isn't parsed again for each test.
+    """
     nets = [ipaddress.ip_network(n, strict=False) for n in networks]
     four = [n for n in nets if n.version == 4]
     out = F.lit(False)
-    if four:  # the number is bound once, not written out for every network
+    if four and number is not None:
+        out = reduce(Column.__or__, [number.between(int(n[0]), int(n[-1])) for n in four])
+    elif four:  # the number is bound once, not written out for every network
         out = F.exists(F.array(ipv4(c)), lambda x: reduce(Column.__or__, [x.between(int(n[0]), int(n[-1])) for n in four]))
     if any(n.version == 6 for n in nets):
         packed = ip_bytes(c)
         for n in nets:
             if n.version == 6:
-                out = out | packed.between(F.lit(bytearray(n[0].packed)), F.lit(bytearray(n[-1].packed)))
+                out = F.coalesce(out, F.lit(False)) | packed.between(F.lit(bytearray(n[0].packed)), F.lit(bytearray(n[-1].packed)))
     return F.coalesce(out, F.lit(False))
 
 
@@ -81,8 +86,8 @@ def join_networks(df: DataFrame, address: str, networks: DataFrame, cidr: str =
     return own.select("*", F.inline(probes)).join(wide, ["__len", "__start"]).drop("__len", "__start", "__ip")
 
 
-def same_address(c: Column, addresses: list[str]) -> Column:
-    return in_networks(c, list(addresses))
+def same_address(c: Column, addresses: list[str], number: Column | None = None) -> Column:
+    return in_networks(c, list(addresses), number)
 
 
 def is_external(c: Column, v6: bool = False) -> Column:
@@ -103,8 +108,9 @@ def is_external_number(n: Column) -> Column:
     return F.coalesce(~within(_NOT_GLOBAL) | within(_GLOBAL_AGAIN), F.lit(False))
 
 
-def is_address(c: Column, v6: bool = True) -> Column:
-    return ipv4(c).isNotNull() | ip_bytes(c).isNotNull() if v6 else ipv4(c).isNotNull()
+def is_address(c: Column, v6: bool = True, number: Column | None = None) -> Column:
+    four = (ipv4(c) if number is None else number).isNotNull()
+    return four | ip_bytes(c).isNotNull() if v6 else four
 
 
 @F.pandas_udf(T.StringType())

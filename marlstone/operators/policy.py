@@ -430,12 +430,13 @@ def system_outcome(policy: Policy, f, keep: Kept) -> Column:
     """Outcome of the system policies; ``f`` gives a logical field's value, null when missing."""
     time, steps = keep(iso_time(f("timestamp"), policy.zone)), []
     local = keep(F.coalesce(f("local_ip"), f("source_ip")))
+    number = keep(net.ipv4(local))
     groups = keep(F.transform(F.split(F.coalesce(f("user_groups"), F.lit("")), "[,;]"), F.trim))
     for p in (x for x in policy.system if x.enabled):
-        host, has_ip = f("host"), net.is_address(local, any(":" in i for i in p.ips))
+        host, has_ip = f("host"), net.is_address(local, any(":" in i for i in p.ips), number)
         mine = F.coalesce(host.isin(list(p.hosts)), F.lit(False)) if p.hosts else F.lit(False)
         if p.ips:
-            mine = mine | net.same_address(local, list(p.ips))
+            mine = mine | net.same_address(local, list(p.ips), number)
         mine = keep(mine)
         no = [(host.isNotNull(), "UNAUTHORIZED_HOST")] if p.hosts else []
         no += [(has_ip, "UNAUTHORIZED_LOCAL_IP")] if p.ips else []
@@ -462,7 +463,7 @@ def system_outcome(policy: Policy, f, keep: Kept) -> Column:
     return _outcome(steps, "system", keep)
 
 
-def _connection(c: Connection, way: Column, time: Column, f) -> Column:
+def _connection(c: Connection, way: Column, time: Column, f, number: Column) -> Column:
     source, target = f("source_ip"), f("destination_ip")
     remote = F.when(way == "inbound", source).otherwise(target)
     depth, tests = 1, [(way.isNull(), _step(1, "UNKNOWN_NETWORK_DIRECTION", "the direction is missing or ambiguous"))]
@@ -477,7 +478,7 @@ def _connection(c: Connection, way: Column, time: Column, f) -> Column:
 
     if c.ips or c.cidrs:
         six = any(":" in x for x in c.ips + c.cidrs)
-        stage(F.when(net.is_address(remote, six), remote), net.in_networks(remote, [*c.ips, *c.cidrs]), "UNAUTHORIZED_REMOTE_IP", "the remote address")
+        stage(F.when(net.is_address(remote, six, number), remote), net.in_networks(remote, [*c.ips, *c.cidrs], number), "UNAUTHORIZED_REMOTE_IP", "the remote address")
     if c.domains:
         stage(f("domain"), net.matches_domain(f("domain"), list(c.domains)), "UNAUTHORIZED_REMOTE_DOMAIN", "the remote domain")
     if c.protocols:
@@ -489,14 +490,14 @@ def _connection(c: Connection, way: Column, time: Column, f) -> Column:
     return _branches(*tests, otherwise=_step(2, "ALLOWED", "allowed", depth=depth + 1)).cast(_STEP)
 
 
-def direction(networks: tuple[str, ...], f) -> Column:
+def direction(networks: tuple[str, ...], f, numbers: Mapping[str, Column] = {}) -> Column:
     """The stated direction, or what the local networks say of both addresses; null if neither tells."""
     stated = f("direction")
     told = F.when(stated.isin("inbound", "outbound", "internal"), stated)
     if not networks:
         return told
     six = any(":" in n for n in networks)
-    ends = [(net.is_address(f(n), six), net.in_networks(f(n), list(networks))) for n in ("source_ip", "destination_ip")]
+    ends = [(net.is_address(f(n), six, numbers.get(n)), net.in_networks(f(n), list(networks), numbers.get(n))) for n in ("source_ip", "destination_ip")]
     (s_ok, s), (d_ok, d) = ends
     derived = F.when(s_ok & d_ok, F.when(s & d, "internal").when(s, "outbound").when(d, "inbound"))
     return F.when(stated.isNotNull(), told).otherwise(derived)
@@ -506,18 +507,21 @@ def network_outcome(policy: Policy, f, keep: Kept) -> Column:
     """Outcome of the network policies.  Of failing connections those that got furthest are told apart by priority."""
     time, steps = keep(iso_time(f("timestamp"), policy.zone)), []
     local = keep(F.coalesce(f("local_ip"), f("source_ip")))
+    number = keep(net.ipv4(local))
+    numbers = {n: keep(net.ipv4(f(n))) for n in ("source_ip", "destination_ip")}
     for p in (x for x in policy.network if x.enabled):
         host, nets = f("host"), [*p.ips, *p.networks]
-        has_ip = net.is_address(local, any(":" in n for n in nets))
+        has_ip = net.is_address(local, any(":" in n for n in nets), number)
         mine = F.coalesce(host.isin(list(p.hosts)), F.lit(False)) if p.hosts else F.lit(False)
         if nets:
-            mine = mine | net.in_networks(local, nets)
+            mine = mine | net.in_networks(local, nets, number)
         mine = keep(mine)
         no = [(host.isNotNull(), "UNAUTHORIZED_HOST")] if p.hosts else []
         no += [(has_ip, "UNAUTHORIZED_LOCAL_IP")] if nets else []
         other = _branches(*((t, _step(0, c, "the policy is for other machines", p.policy_id)) for t, c in no), otherwise=_step(0, "MISSING_REQUIRED_FIELD", "the policy is for other machines", p.policy_id))
-        way = keep(direction(p.networks, f))
-        results = keep(F.array(*(_connection(c, way, time, f) for c in p.connections)))
+        way = keep(direction(p.networks, f, numbers))
+        remote = keep(F.when(way == "inbound", numbers["source_ip"]).otherwise(numbers["destination_ip"]))
+        results = keep(F.array(*(_connection(c, way, time, f, remote) for c in p.connections)))
         deepest = keep(F.array_max(F.transform(results, lambda s: s["depth"])))
         worst = keep(_first_by(F.filter(results, lambda s: s["depth"] == deepest), _CONNECTION_ORDER))
         stale = F.when(time.isNull(), "INVALID_TIMESTAMP").otherwise("OUTSIDE_AUTHORIZED_TIME")

@@ -145,3 +145,11 @@ def test_yaml_with_a_repeated_key_is_refused(tmp_path):
     path.write_text("version: 1\nversion: 1\n")
     with pytest.raises(P.PolicyError, match="twice"):
         P.load_policy(str(path))
+
+
+def test_addresses_are_parsed_once(spark):
+    from marlstone.plans.logs import POLICY, log_rows
+
+    out = P.with_decision(log_rows(spark, "/root/testdata/sf0.001"), POLICY).select("event_id", "decision.reason_code")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("^(25[0-5]") <= 3 * 4  # three addresses of four parts
