@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from marlstone.functions.batches import bounded_batches, trimmed
+
 FLOAT = r"^[+-]?(\d(_?\d)*\.?(\d(_?\d)*)?|\.\d(_?\d)*)(e[+-]?\d+)?$"
 _WHITE = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
@@ -72,7 +74,7 @@ def tokenize(c: Column) -> Column:
 
 
 _AROUND, _ENDS, _BETWEEN = re.compile(f"^[{_QUOTES}]+|[{_QUOTES}]+\\Z"), re.compile(r"^[.,;]+|[.,;]+\Z"), re.compile("[^a-z0-9]+")
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def word_tokens(word: str) -> list[str]:
@@ -107,6 +109,7 @@ def token_counts(df: DataFrame, text: Column, *keep: str) -> DataFrame:
     A piece of rows is split and counted at once by Arrow and numpy, and only its different words are looked at;
     a row for each word would cost more than all that follows.
     """
+    bounded_batches(df.sparkSession)
     flat = df.select(*keep, F.translate(F.lower(F.coalesce(text, F.lit(""))), _WHITE, " " * len(_WHITE)).alias("__text"))
     fields = T.StructType([*flat.schema.fields[:-1], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType())])
 
@@ -120,7 +123,7 @@ def token_counts(df: DataFrame, text: Column, *keep: str) -> DataFrame:
                 yield _counted(batch.slice(first, last - first), schema)
                 first = last
 
-    return flat.mapInArrow(run, fields)
+    return flat.mapInArrow(trimmed(run), fields)
 
 
 def number(c: Column) -> Column:

@@ -1,6 +1,8 @@
 """Operators on small rows: collapsing, profiles, context, sources, sinks, models, indicators, streams."""
 
 import random
+import threading
+import time
 import tracemalloc
 from collections import Counter
 
@@ -335,3 +337,39 @@ def test_logits_of_features_without_a_subcategory(spark):
     assert {tuple(r) for r in model.logits(both, w, b, rows, "row").collect()} == shared
     one = {tuple(r) for r in model.logits(both.where("subcategory = 't'"), w, b, rows, "row").collect()}
     assert (1, "b", "t", 35.5) in one and (1, "b", "u", 0.5) in one
+
+
+def test_training_does_not_hold_its_examples(spark):
+    n, per, width = 30_000, 100, 50
+    rng = np.random.default_rng(3)
+    key = {c: pa.array(["x"] * n) for c in ("label", "subcategory", "org")}
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(np.arange(0, n * per + 1, per, dtype=np.int32)), pa.array(values))
+    own = key | {"__is_model": pa.array(np.zeros(n, np.int32)), "gv_index": pa.nulls(n, pa.int64())} | {c: pa.nulls(n, pa.float64()) for c in ("weight", "idf", "bias")} | {"y": pa.array(rng.integers(0, 2, n).astype(np.int8)), "positive_weight": pa.array(np.ones(n)), "negative_weight": pa.array(np.ones(n)), "__index": lists(np.sort(rng.integers(0, width, (n, per)), 1).ravel()), "__value": lists(np.ones(n * per))}
+    head = {c: v[:width] for c, v in key.items()} | {"__is_model": pa.array(np.ones(width, np.int32)), "gv_index": pa.array(np.arange(width))} | {c: pa.array(np.full(width, x)) for c, x in (("weight", 0.01), ("idf", 1.0), ("bias", 0.0))} | {c: pa.nulls(width, own[c].type) for c in ("y", "positive_weight", "negative_weight", "__index", "__value")}
+    s = model._Specialist(("x", "x", "x"), False)
+    for part in (head, own):
+        s.add(pa.RecordBatch.from_pydict(part))
+    mapped = lambda: int(next(x for x in open("/proc/self/status") if x.startswith("RssFile")).split()[1]) >> 10
+    before, seen, done = mapped(), [0], threading.Event()
+
+    def watch():
+        while not done.is_set():
+            seen.append(mapped())
+            time.sleep(0.002)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    got = s.trained(0.05, 64, 1, 1e-4, 42)[0]
+    done.set()
+    watcher.join()
+    assert max(seen) - before < 16  # MB; the examples are 36
+    start, index, value, y = np.arange(0, n * per + 1, per), own["__index"].flatten().to_numpy(), np.ones(n * per), own["y"].to_numpy()
+    want = model.sgd(start, index, value, y, np.full(width, 0.01), 0.0, 0.05, 64, 1, 1e-4, 42 + sum(map(ord, "x|x|x")), 1.0, 1.0)
+    assert got["examples"] == n and got["loss"] == want["loss"] and got["bias"] == want["bias"] and (got["weights"] == want["weights"]).all()
+
+
+def test_texts_are_counted_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    df = spark.createDataFrame([(1, "One two one")], "row long, text string")
+    assert {(r.token, r.tf) for r in text.token_counts(df, F.col("text"), "row").collect()} == {("one", 2), ("two", 1)}
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
