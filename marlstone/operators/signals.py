@@ -26,6 +26,7 @@ ACTIVE = LEFT + RIGHT
 NOVELTY = {"first_seen_domain": ("domains",), "rare_destination_ip": ("destination_ips",), "new_tls_sni": ("snis",), "external_post": ("destination_ips", "domains", "snis")}
 LABEL_COLUMNS = ("label", "sub_label", "sub_label_cat")
 CHUNK_SECONDS = 86_400
+TOGETHER = 4
 
 _ADDRESSES = "remote_address remote_ip destination_ip dst_ip"
 SCOPE_COLUMNS = {
@@ -238,14 +239,23 @@ def active(columns: Sequence[str], novel: Column | None = None, v6: bool = False
     return out
 
 
-def mask(signals: dict[str, Column]) -> Column:
-    """The active signals as bits.
+def masked(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
+    """Add ``__mask``, the active signals as bits.
 
-    It comes out of an ``explode`` of one element, which keeps the planner from writing the
-    whole expression out again in each filter and projection that uses it.
+    A few bits at a time come out of an ``explode`` of one element, which keeps the planner from writing the
+    whole expression out again in each filter and projection that uses it.  It also gives each few a method of generated
+    code; all of them in one have more than the 8,000 bytes up to which a JVM compiles a method.
     """
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [F.when(signals[s], F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, s in enumerate(ACTIVE)])
-    return F.explode(F.array(bits))
+    parts = []
+    for k in range(0, len(ACTIVE), TOGETHER):
+        bits = [F.when(signals[s], F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, s in enumerate(ACTIVE[k : k + TOGETHER], k)]
+        parts.append(f"__mask{k}")
+        df = df.select("*", F.explode(F.array(_either(bits))).alias(parts[-1]))
+    return df.select("*", F.explode(F.array(_either([F.col(c) for c in parts]))).alias("__mask")).drop(*parts)
+
+
+def _either(bits: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
 
 
 def scope_value(c: Column) -> Column:
@@ -303,9 +313,13 @@ def pair_numbers(current: Column, available: Column, scope: Column) -> Column:
     return F.transform(pairs_closed(current, available), lambda n: n + scope)
 
 
-def _named(numbers: Column) -> Column:
+def _names(numbers: Column) -> Column:
     names = F.array(*map(F.lit, TOKENS))
-    return F.transform(F.sort_array(F.array_distinct(numbers)), lambda k: F.element_at(names, (k + 1).cast("int")))
+    return F.transform(numbers, lambda k: F.element_at(names, (k + 1).cast("int")))
+
+
+def _named(numbers: Column) -> Column:
+    return _names(F.sort_array(F.array_distinct(numbers)))
 
 
 def row_tokens(df: DataFrame, novel: Column | None = None) -> DataFrame:
@@ -315,10 +329,10 @@ def row_tokens(df: DataFrame, novel: Column | None = None) -> DataFrame:
     """
     r = Row(df.columns)
     supported = F.array_compact(F.array(*(F.when(r.filled(f"{ZONE_COLUMNS} network_zone" if s == "same_network_zone" else SCOPE_COLUMNS[s]), F.lit(i)) for i, s in enumerate(SCOPES))))
-    wide = prepared(df).withColumn("__mask", mask(active(df.columns, novel))).withColumn("__scopes", supported)
+    wide = masked(prepared(df), active(df.columns, novel)).withColumn("__scopes", supported)
     m = F.col("__mask")
-    numbers = F.get(F.transform(F.array(pairs_closed(m, m)), lambda closed: F.flatten(F.transform("__scopes", lambda s: F.transform(closed, lambda n: n + s)))), F.lit(0))  # pairs are tried once, not for each scope
-    tokens = F.when(may_close(m), _named(numbers)).otherwise(F.array().cast("array<string>"))
+    numbers = F.flatten(F.transform(pairs_closed(m, m), lambda n: F.transform("__scopes", lambda s: n + s)))  # in order, and each once
+    tokens = F.when(may_close(m), _names(numbers)).otherwise(F.array().cast("array<string>"))
     return wide.select(*(F.col(f"`{c}`") for c in df.columns if c != "cross_tokens"), F.explode(F.array(tokens)).alias("cross_tokens"))
 
 
@@ -333,8 +347,9 @@ def context_tokens(df: DataFrame, row: str, epoch: str | None = "event_time_epoc
     if minutes <= 0:
         return row_tokens(df, novel).where(F.size("cross_tokens") > 0).select(row, "cross_tokens")
     time, _ = context_time(F.col(epoch) if epoch in df.columns else None, F.col(iso) if iso in df.columns else None)
-    own = prepared(df).select(F.col(row).alias("__row"), *partition, F.unix_micros(time).alias("__time"), mask(active(df.columns, novel)).alias("__mask"), scopes(df.columns).alias("__scopes"))
-    flat = own.where("__mask <> 0").select("__row", *partition, "__time", "__mask", F.inline("__scopes"))
+    own = masked(prepared(df), active(df.columns, novel)).where("__mask <> 0")
+    own = own.select(F.col(row).alias("__row"), *partition, F.unix_micros(time).alias("__time"), "__mask", scopes(df.columns).alias("__scopes"))
+    flat = own.select("__row", *partition, "__time", "__mask", F.inline("__scopes"))
     window, size = int(minutes * 60_000_000), chunk * 1_000_000
     if size < window:
         raise ValueError("a chunk must hold a window")

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from marlstone.functions.text import numeric_text
 
 NUMERIC_COLUMNS = frozenset("ack_count dst_port drate duration fin_count flow_duration header_length iat local_port packet_number process_pid process_ppid process_tgid protocol_dns protocol_http protocol_https protocol_icmp protocol_number protocol_tcp protocol_udp rate remote_port rst_count src_port srate syn_count tcp_ack tcp_cwr tcp_ece tcp_fin tcp_psh tcp_rst tcp_syn tcp_urg total_size total_sum urg_count".split())
-PIECE = 8 << 20  # bytes of a log file that a task takes; a row costs much more than to read it
+PIECE = 2 << 20  # bytes of a log file that a task takes; a row costs much more than to read it
 PROVENANCE = ("source_file", "source_row_number", "source_line_number", "malformed", "malformed_reason")
 
 

@@ -1,6 +1,7 @@
 """Operators on small rows: collapsing, profiles, context, sources, sinks, models, indicators, streams."""
 
 import random
+import re
 import threading
 import time
 import tracemalloc
@@ -373,3 +374,17 @@ def test_texts_are_counted_in_small_batches(spark):
     df = spark.createDataFrame([(1, "One two one")], "row long, text string")
     assert {(r.token, r.tf) for r in text.token_counts(df, F.col("text"), "row").collect()} == {("one", 2), ("two", 1)}
     assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 4 << 20
+
+
+def test_signals_are_compiled(spark):
+    df = spark.createDataFrame([(1, "h", "203.0.114.9", "22", "open Secret.txt", "9000")], "row long, host string, dst_ip string, dst_port string, process_command_line string, total_size string")
+    tokens = signals.row_tokens(df)
+    found = tokens.first()["cross_tokens"]
+    assert len(found) == len(set(found)) > 0 and [signals.TOKENS.index(t) for t in found] == sorted(signals.TOKENS.index(t) for t in found)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(signals.row_tokens(df)._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) <= 8000  # a JVM does not compile larger methods
