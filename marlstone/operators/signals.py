@@ -240,18 +240,28 @@ def active(columns: Sequence[str], novel: Column | None = None, v6: bool = False
 
 
 def masked(df: DataFrame, signals: dict[str, Column]) -> DataFrame:
-    """Add ``__mask``, the active signals as bits.
+    """Add ``__mask``, the active signals as bits."""
+    return gathered(df, "__mask", [signals[s] for s in ACTIVE])
 
-    A few bits at a time come out of an ``explode`` of one element, which keeps the planner from writing the
-    whole expression out again in each filter and projection that uses it.  It also gives each few a method of generated
-    code; all of them in one have more than the 8,000 bytes up to which a JVM compiles a method.
+
+def once(df: DataFrame, name: str, c: Column) -> DataFrame:
+    """Add a column that comes out of an ``explode`` of one element, which keeps the planner from writing its
+    expression out again in each filter and projection that uses it."""
+    return df.select("*", F.explode(F.array(c)).alias(name))
+
+
+def gathered(df: DataFrame, name: str, flags: Sequence[Column]) -> DataFrame:
+    """Add flags as bits of a number, a few at a time.
+
+    Each few have a method of generated code; all of them in one have more than the 8,000 bytes up to which a JVM
+    compiles a method.
     """
     parts = []
-    for k in range(0, len(ACTIVE), TOGETHER):
-        bits = [F.when(signals[s], F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, s in enumerate(ACTIVE[k : k + TOGETHER], k)]
-        parts.append(f"__mask{k}")
-        df = df.select("*", F.explode(F.array(_either(bits))).alias(parts[-1]))
-    return df.select("*", F.explode(F.array(_either([F.col(c) for c in parts]))).alias("__mask")).drop(*parts)
+    for k in range(0, len(flags), TOGETHER):
+        bits = [F.when(c, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i, c in enumerate(flags[k : k + TOGETHER], k)]
+        parts.append(f"{name}{k}")
+        df = once(df, parts[-1], _either(bits))
+    return once(df, name, _either([F.col(c) for c in parts])).drop(*parts)
 
 
 def _either(bits: Sequence[Column]) -> Column:
@@ -342,25 +352,24 @@ def context_tokens(df: DataFrame, row: str, epoch: str | None = "event_time_epoc
     Rows without a signal can't take part and leave first.  Of each signal the time it was last seen in a
     scope is kept by a running maximum.  Scope values are cut into chunks of time, with the rows
     of one window before a chunk carried into it, so a hot value is many tasks.
-    Rows without a reliable time stand for themselves.
+    Rows without a reliable time stand for themselves; they are spread over chunks, where the others don't see them.
     """
     if minutes <= 0:
         return row_tokens(df, novel).where(F.size("cross_tokens") > 0).select(row, "cross_tokens")
     time, _ = context_time(F.col(epoch) if epoch in df.columns else None, F.col(iso) if iso in df.columns else None)
-    own = masked(prepared(df), active(df.columns, novel)).where("__mask <> 0")
-    own = own.select(F.col(row).alias("__row"), *partition, F.unix_micros(time).alias("__time"), "__mask", scopes(df.columns).alias("__scopes"))
-    flat = own.select("__row", *partition, "__time", "__mask", F.inline("__scopes"))
+    own = once(masked(prepared(df), active(df.columns, novel)).where("__mask <> 0"), "__time", F.unix_micros(time))
+    flat = own.select(F.col(row).alias("__row"), *partition, "__time", "__mask", F.inline(scopes(df.columns)))
     window, size = int(minutes * 60_000_000), chunk * 1_000_000
     if size < window:
         raise ValueError("a chunk must hold a window")
-    timed = flat.where("__time is not null").withColumn("__own", F.floor(F.col("__time") / size))
+    timed = flat.withColumn("__own", F.coalesce(F.floor(F.col("__time") / size), F.xxhash64("__row")))
     timed = timed.withColumn("__chunk", F.explode(F.array_compact(F.array(F.col("__own"), F.when(F.floor((F.col("__time") + window) / size) > F.col("__own"), F.col("__own") + 1)))))
     by = Window.partitionBy(*partition, "scope", "value", "__chunk").orderBy("__time", "__row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = {f"__s{i}": F.max(F.when(F.col("__mask").bitwiseAND(F.lit(1 << i)) != 0, F.col("__time"))).over(by) for i in range(len(ACTIVE))}
     seen = timed.select("*", *(c.alias(n) for n, c in last.items())).where("__chunk = __own")
-    available = reduce(lambda a, b: a.bitwiseOR(b), [F.when(F.col("__time") - F.col(f"__s{i}") <= window, F.lit(1 << i)).otherwise(F.lit(0)).cast("bigint") for i in range(len(ACTIVE))])
-    keys = ["__row", *partition]
-    closed = seen.select(*keys, "__mask", "scope", available.alias("__available")).where(may_close(F.col("__available"))).select(*keys, pair_numbers(F.col("__mask"), F.col("__available"), F.col("scope")).alias("n"))
-    alone = flat.where("__time is null").where(may_close(F.col("__mask"))).select(*keys, pair_numbers(F.col("__mask"), F.col("__mask"), F.col("scope")).alias("n"))
-    out = closed.unionByName(alone).where(F.size("n") > 0).groupBy(*keys).agg(_named(F.flatten(F.collect_list("n"))).alias("cross_tokens"))
+    seen = gathered(seen, "__before", [F.col("__time") - F.col(f"__s{i}") <= window for i in range(len(ACTIVE))])
+    keys, available = ["__row", *partition], F.col("__available")
+    closed = seen.withColumn("__available", F.when(F.col("__time").isNull(), F.col("__mask")).otherwise(F.col("__before"))).where(may_close(available))
+    closed = closed.select(*keys, pair_numbers(F.col("__mask"), available, F.col("scope")).alias("n"))
+    out = closed.where(F.size("n") > 0).groupBy(*keys).agg(_named(F.flatten(F.collect_list("n"))).alias("cross_tokens"))
     return out.withColumnRenamed("__row", row)

@@ -388,3 +388,19 @@ def test_signals_are_compiled(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
     assert sizes and max(sizes) <= 8000  # a JVM does not compile larger methods
+
+
+def test_context_reads_its_rows_once(spark):
+    at = "2026-01-01T{}Z".format
+    rows = [("u", "failure", None), ("u", "accepted", None), ("u", "success failure", "x"), ("u", "accepted", at("10:05:00")), ("u", "failure", at("10:00:00"))]
+    token = ["cross:failed_login_burst_and_successful_login_same_user_15m"]
+    assert contexts(spark, rows) == contexts(spark, rows, minutes=1440) == {2: token, 3: token}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row long, user_uid string, login_result string, event_time_iso string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(signals.context_tokens(df, "row")._jdf.queryExecution(), "codegen")
+        tree = signals.context_tokens(df, "row")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert tree.count("Scan ExistingRDD") == 1
+    assert max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)) <= 8000
