@@ -7,7 +7,7 @@ so does one without a valid time.
 
 Layout.  The running maximum over the input is made in two levels: a maximum for each block of
 rows, a prefix over the blocks (one short row each), then a window within each block.  The
-keys are shuffled once; within a key, late rows are found by a running maximum.  What is left is
+keys are shuffled and sorted once; late rows are found by a running maximum, carried from batch to batch.  What is left is
 non-decreasing in both time and running maximum, so a group ends at the first row where the larger of the two
 passes the group's end: a binary search, made for all the keys of a batch together in numpy, with the
 open group carried from batch to batch.  A key of any number of rows needs constant memory.
@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from marlstone.functions.text import compact_ranges, utc_text
 
-BLOCK = 1 << 20
+BLOCK = 1 << 17
 FEW = 256
 
 
@@ -85,25 +85,45 @@ def anchors(key: np.ndarray, time: np.ndarray, top: np.ndarray, window: int, car
     return out, (key[-1], int(time[last]) if last >= 0 else opened)
 
 
+def late_rows(key: np.ndarray, time: np.ndarray, carry: tuple | None) -> tuple[np.ndarray, tuple]:
+    """Which rows are earlier than one of their key before; ``carry`` is (key, latest time) of the rows so far."""
+    n = len(key)
+    part = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    values, rank = np.unique(time, return_inverse=True)
+    rank = part * len(values) + rank  # grows from key to key, so one running maximum serves all
+    top = np.maximum.accumulate(rank)
+    out = rank < top
+    latest = int(values[top[-1] % len(values)])
+    if carry is not None and key[0] == carry[0]:
+        out |= (part == 0) & (time < carry[1])
+        latest = max(latest, carry[1]) if part[-1] == 0 else latest
+    return out, (key[n - 1], latest)
+
+
 def _anchored(window: int):
-    """Adds ``anchor_file`` and ``anchor_row``; columns: key, file, row, time, top."""
+    """Adds ``anchor_file``, ``anchor_row`` and ``__late``; columns: key, file, row, time, top."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = held = None
+        carry = held = latest = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             names, at = batch.schema.names, {c: i for i, c in enumerate(batch.schema.names)}
             key = batch.column(at["__key"]).to_numpy(zero_copy_only=False)
             time, top = (batch.column(at[c]).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("__time", "__top"))
-            first, carry = anchors(key, time, top, window, carry)
+            late, latest = late_rows(key, time, latest)
+            good, own = np.flatnonzero(~late), np.arange(batch.num_rows)
+            if len(good):
+                first, carry = anchors(key[good], time[good], top[good], window, carry)
+                own[good] = np.where(first < 0, -1, good[first])
             file, row = batch.column(at["__file"]), batch.column(at["__row"])
-            own = np.maximum(first, 0)
-            files, rows = file.take(pa.array(own)).to_pylist(), row.take(pa.array(own)).to_pylist()
-            for i in np.flatnonzero(first < 0):
+            source = pa.array(np.maximum(own, 0))
+            files, rows = file.take(source).to_pylist(), row.take(source).to_pylist()
+            for i in np.flatnonzero(own < 0):
                 files[i], rows[i] = held
-            held = (files[-1], rows[-1])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, file.type), pa.array(rows, pa.int64())], names=[*names, "anchor_file", "anchor_row"])
+            if len(good):
+                held = (files[good[-1]], rows[good[-1]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(files, file.type), pa.array(rows, pa.int64()), pa.array(late)], names=[*names, "anchor_file", "anchor_row", "__late"])
 
     return run
 
@@ -121,19 +141,17 @@ def collapse(df: DataFrame, key: list[Column], time: str, file: str | Column, ro
         raise ValueError("the window must be positive")
     columns, micros = df.columns, int(window_minutes * 60_000_000)
     file = F.lit(file) if isinstance(file, str) and file not in columns else F.col(file) if isinstance(file, str) else file
-    identity = F.sha2(F.to_json(F.struct(F.struct(file.alias("f")), *(k.cast("string").alias(f"k{i}") for i, k in enumerate(key))), {"ignoreNullFields": "false"}), 256)
+    identity = F.unhex(F.sha2(F.to_json(F.struct(F.struct(file.alias("f")), *(k.cast("string").alias(f"k{i}") for i, k in enumerate(key))), {"ignoreNullFields": "false"}), 256))
     wide = df.select(F.struct("*").alias("__first"), identity.alias("__key"), file.cast("string").alias("__file"), F.col(row).cast("bigint").alias("__row"), F.unix_micros(F.col(time).cast("timestamp")).alias("__time"), *([F.col(line).cast("bigint").alias("__line")] if line else []))
     if global_flush:
         wide = running_max(wide, "__file", "__row", "__time", "__seen")
     else:
         wide = wide.withColumn("__seen", F.lit(None).cast("bigint"))
-    seen = Window.partitionBy("__key").orderBy("__file", "__row").rowsBetween(Window.unboundedPreceding, -1)
-    wide = wide.withColumn("__late", F.coalesce(F.col("__time") < F.max("__time").over(seen), F.lit(False))).withColumn("__alone", F.col("__time").isNull() | F.col("__late"))
-    good = wide.where("not __alone").withColumn("__top", F.greatest("__time", "__seen"))
+    good = wide.where("__time is not null").withColumn("__top", F.greatest("__time", "__seen"))
     good = good.repartition("__key").sortWithinPartitions("__key", "__file", "__row")
-    schema = T.StructType([*good.schema, T.StructField("anchor_file", T.StringType()), T.StructField("anchor_row", T.LongType())])
-    good = good.mapInArrow(_anchored(micros), schema).drop("__top")
-    alone = wide.where("__alone").withColumns({"anchor_file": F.col("__file"), "anchor_row": F.col("__row")})
+    schema = T.StructType([*good.schema, T.StructField("anchor_file", T.StringType()), T.StructField("anchor_row", T.LongType()), T.StructField("__late", T.BooleanType())])
+    good = good.mapInArrow(_anchored(micros), schema).drop("__top").withColumn("__alone", F.col("__late"))
+    alone = wide.where("__time is null").withColumns({"anchor_file": F.col("__file"), "anchor_row": F.col("__row"), "__late": F.lit(False), "__alone": F.lit(True)})
     both = good.unionByName(alone.select(*good.columns))
     ranges = {"row": F.col("__row"), **({"line": F.col("__line")} if line else {})}
     aggregates = [F.min_by("__first", F.col("__row")).alias("__first")]

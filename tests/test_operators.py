@@ -404,3 +404,16 @@ def test_context_reads_its_rows_once(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert tree.count("Scan ExistingRDD") == 1
     assert max(int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", plan)) <= 8000
+
+
+def test_late_rows_are_found_without_a_window_of_a_key(spark):
+    df = spark.createDataFrame([("k", "f", 1, "2026-01-01 10:00:00")], "k string, f string, r long, t string").withColumn("ts", F.col("t").cast("timestamp"))
+    plan = collapse.collapse(df, [F.col("k")], "ts", "f", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"windowspecdefinition\(__key", plan)
+    rng, carry, top = np.random.default_rng(5), None, {}
+    keys, times = np.sort(rng.integers(0, 12, 400)).astype(object), rng.integers(-50, 50, 400)
+    for a in range(0, 400, 23):
+        late, carry = collapse.late_rows(keys[a : a + 23], times[a : a + 23], carry)
+        for k, x, got in zip(keys[a : a + 23], times[a : a + 23], late):
+            assert got == (k in top and x < top[k])
+            top[k] = max(top.get(k, x), x)
